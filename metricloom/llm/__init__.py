@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("p1_percentiles",)
+MODULES = ("p1_percentiles", "p2_spans")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
