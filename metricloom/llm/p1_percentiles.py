@@ -12,32 +12,43 @@ The histogram of the leading bits is also a summary that can be added up: days o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from metricloom.llm.shared import cut, small
+
 METRICS = ("query_ns", "index_distance_count", "rho", "radius")
 #: Columns in which a negative value is a measurement; elsewhere it stands for a missing one.
 SIGNED = ("rho",)
 
 
-def order_key(value: Column) -> Column:
-    """Signed 64-bit integer in the order of the doubles; -0.0 and 0.0 are equal. Null and NaN give null.
+def order_keys(df: DataFrame, keep: Sequence[str], values: Sequence[str], signed: Sequence[str] = ()) -> DataFrame:
+    """`keep` and, under their names, the signed 64-bit order keys of the values. What does not count has a null key: null
+    and NaN, and a negative value of a column outside `signed`. -0.0 and 0.0 have the same key.
 
-    Built from exact arithmetic (powers of two only), hence JVM code without a UDF.
+    The bits of a double can't be read by built-in functions, and arithmetic on logarithms and powers costs ten times as
+    much, so this one step runs on Arrow batches.
     """
-    x = value.cast("double")
-    ax = F.abs(x)
-    guess = F.floor(F.log2(ax))
-    two = F.pow(F.lit(2.0), guess)
-    e = guess + F.when(two > ax, -1).when(two * 2 <= ax, 1).otherwise(0)
-    mantissa = (ax / F.pow(F.lit(2.0), e) - 1) * float(1 << 52)
-    normal = F.shiftleft(e.cast("bigint") + 1023, 52) + mantissa.cast("bigint")
-    tiny = (ax * 2.0**537 * 2.0**537).cast("bigint")
-    bits = F.when(ax < 2.0**-1022, tiny).when(ax == float("inf"), F.lit(2047 << 52)).otherwise(normal)
-    return F.when(x.isNull() | F.isnan(x), F.lit(None).cast("bigint")).when(x < 0, -bits).otherwise(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for i, v in enumerate(values, len(keep)):
+                x = batch.column(i).cast(pa.float64(), safe=False)
+                x = np.nan_to_num(x.to_numpy(zero_copy_only=False), nan=np.nan, posinf=np.inf, neginf=-np.inf)
+                bits = np.abs(x).view(np.int64)
+                skip = np.isnan(x) if v in signed else ~(x >= 0)
+                keys.append(pa.array(np.where(x < 0, -bits, bits), pa.int64(), mask=skip))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *keys], [*keep, *values])
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"`{v}` bigint" for v in values])
+    return df.select(*keep, *values).mapInArrow(run, schema)
 
 
 def key_value(key: Column) -> Column:
@@ -53,34 +64,24 @@ def key_value(key: Column) -> Column:
     return F.when(key < 0, -size).otherwise(size)
 
 
-def once(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
-    """One row for each id. Copies of an id agree but for unnamed columns; where they don't, the largest value counts."""
-    return df.groupBy(F.col(id_col)).agg(*[F.max(F.col(c)).alias(c) for c in cols if c != id_col])
+def once(df: DataFrame, id_col: str) -> DataFrame:
+    """One row for each id. Copies of an id agree; where they don't, the largest value of each column counts."""
+    return df.groupBy(id_col).agg(*[F.max(c).alias(c) for c in df.columns if c != id_col])
 
 
-def keyed(df: DataFrame, groups: Sequence[str], values: Sequence[str], signed: Sequence[str] = ()) -> DataFrame:
-    """(groups..., metric_name, _k): one row for each value that counts. Null and NaN never count, nor does a negative
-    value of a column outside `signed`."""
-    parts = [
-        F.struct(F.lit(v).alias("metric_name"), (F.col(v) if v in signed else F.when(F.col(v) >= 0, F.col(v))).cast("double").alias("x"))
-        for v in values
-    ]
-    long = df.select(*groups, F.explode(F.array(*parts)).alias("_v")).where("_v.x is not null and not isnan(_v.x)")
-    return long.select(*groups, F.col("_v.metric_name").alias("metric_name"), order_key(F.col("_v.x")).alias("_k"))
+def _long(keys: DataFrame, groups: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """(groups..., metric_name, _k): one row for each value that counts."""
+    parts = F.array(*[F.struct(F.lit(v).alias("metric_name"), F.col(v).alias("k")) for v in values])
+    return keys.select(*groups, F.explode(parts).alias("_v")).where("_v.k is not null").select(*groups, F.col("_v.metric_name").alias("metric_name"), F.col("_v.k").alias("_k"))
 
 
 def radix_percentiles(
-    df: DataFrame,
-    groups: Sequence[str],
-    values: Sequence[str],
-    probs: Sequence[float],
-    signed: Sequence[str] = (),
-    digits: Sequence[int] = (16, 16, 16, 16),
+    keys: DataFrame, groups: Sequence[str], values: Sequence[str], probs: Sequence[float], digits: Sequence[int] = (16, 16, 16, 16)
 ) -> DataFrame:
     """(groups..., metric_name, p, n, value, rel_error): nearest-rank percentiles, the ceil(p * n)-th smallest value.
 
-    digits: widths of the radix digits, most significant first. Together 64 they give the exact value (rel_error 0);
-    fewer give the lower edge of the last bucket, at most rel_error below the value for normal numbers.
+    keys: from `order_keys`. digits: widths of the radix digits, most significant first. Together 64 they give the exact
+    value (rel_error 0); fewer give the edge nearest zero of the last bucket, at most rel_error off for normal numbers.
     Groups may be null (a group of its own); a group without a counting value has no row; an empty table gives none.
     Infinite values count at the ends of the order. p must lie in (0, 1].
     """
@@ -88,46 +89,49 @@ def radix_percentiles(
         raise ValueError("probs must lie in (0, 1]")
     if sum(digits) > 64 or min(digits) < 1:
         raise ValueError("digits must be positive and sum to at most 64")
-    long = keyed(df, groups, values, signed)
+    keys = cut(keys.select(*groups, *values))
+    long = _long(keys, groups, values)
     g = [*groups, "metric_name"]
     shift = 64 - digits[0]
     w = Window.partitionBy(*g).orderBy("_d")
     hist = long.groupBy(*g, F.shiftright("_k", shift).alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
     hist = hist.withColumn("_cum", F.sum("_c").over(w)).withColumn("n", F.sum("_c").over(Window.partitionBy(*g)))
-    ranks = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.ceil(F.lit(float(p)) * F.col("n") - 1e-9).alias("rank")) for p in probs])
-    at = (
-        hist.select(*g, "_d", "_c", "_cum", "n", F.explode(ranks).alias("_t"))
-        .where("_t.rank <= _cum and _t.rank > _cum - _c")
-        .select(*g, "n", F.col("_t.p").alias("p"), "_d", (F.col("_t.rank") - F.col("_cum") + F.col("_c")).alias("_r"))
-    )
+    at = _at_ranks(hist, probs).select(*g, "n", F.col("_t.p").alias("p"), "_d", (F.col("_t.rank") - F.col("_cum") + F.col("_c")).alias("_r"))
     for width in digits[1:]:
-        at, shift = _follow(long, at, g, shift, width), shift - width
+        at, shift = _follow(long, *small(at), g, shift, width), shift - width
     rel = 0.0 if shift == 0 else 2.0 ** (shift - 52) if shift <= 52 else float("inf")
-    return at.select(*g, "p", "n", key_value(F.shiftleft("_d", shift)).alias("value"), F.lit(rel).alias("rel_error"))
+    low = F.shiftleft("_d", shift)
+    near = F.when(F.col("_d") < 0, low + F.lit((1 << shift) - 1)).otherwise(low)
+    return at.select(*g, "p", "n", key_value(near).alias("value"), F.lit(rel).alias("rel_error"))
+
+
+def _at_ranks(hist: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """The buckets that hold the ranks of probs: hist with _t (p, rank), once for each."""
+    ranks = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.ceil(F.lit(float(p)) * F.col("n") - 1e-9).alias("rank")) for p in probs])
+    return hist.withColumn("_t", F.explode(ranks)).where("_t.rank <= _cum and _t.rank > _cum - _c")
 
 
-def _follow(long: DataFrame, at: DataFrame, g: list[str], shift: int, width: int) -> DataFrame:
+def _follow(long: DataFrame, at: DataFrame, hint: Callable[[DataFrame], DataFrame], g: list[str], shift: int, width: int) -> DataFrame:
     """The next digit of each target: histogram of the rows whose leading digits hold a target."""
     held = at.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(g)], F.col("_d").alias("_hd")).distinct()
     same = lambda right: [F.col(c).eqNullSafe(F.col(f"{right}{i}")) for i, c in enumerate(g)]
     hist = (
-        long.join(held, [F.shiftright("_k", shift) == F.col("_hd"), *same("_h")], "left_semi")
+        long.join(hint(held), [F.shiftright("_k", shift) == F.col("_hd"), *same("_h")], "left_semi")
         .groupBy(*g, F.shiftright("_k", shift).alias("_up"), F.shiftright("_k", shift - width).alias("_d"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     hist = hist.withColumn("_cum", F.sum("_c").over(Window.partitionBy(*g, "_up").orderBy("_d")))
     t = at.select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(g)], "n", "p", F.col("_d").alias("_td"), F.col("_r").alias("_tr"))
     within = (F.col("_tr") <= F.col("_cum")) & (F.col("_tr") > F.col("_cum") - F.col("_c"))
-    joined = hist.join(t, [F.col("_up") == F.col("_td"), *same("_t"), within])
+    joined = hist.join(hint(t), [F.col("_up") == F.col("_td"), *same("_t"), within])
     return joined.select(*g, "n", "p", "_d", (F.col("_tr") - F.col("_cum") + F.col("_c")).alias("_r"))
 
 
-def sketch(df: DataFrame, groups: Sequence[str], values: Sequence[str], signed: Sequence[str] = (), mantissa_bits: int = 10) -> DataFrame:
+def sketch(keys: DataFrame, groups: Sequence[str], values: Sequence[str], mantissa_bits: int = 10) -> DataFrame:
     """(groups..., metric_name, digit, n): counts by the leading 12 + mantissa_bits bits. Sketches of disjoint rows add up."""
     if not 0 <= mantissa_bits <= 52:
         raise ValueError("mantissa_bits must lie in 0..52")
-    long = keyed(df, groups, values, signed)
-    return long.groupBy(*groups, "metric_name", F.shiftright("_k", 52 - mantissa_bits).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
+    return _long(keys, groups, values).groupBy(*groups, "metric_name", F.shiftright("_k", 52 - mantissa_bits).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge_sketches(parts: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -137,32 +141,30 @@ def merge_sketches(parts: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 def sketch_percentiles(sk: DataFrame, groups: Sequence[str], probs: Sequence[float], mantissa_bits: int = 10) -> DataFrame:
     """(groups..., metric_name, p, n, low, high, estimate, rel_error): the nearest-rank percentile lies in [low, high];
-    |estimate - percentile| <= rel_error * |percentile|. mantissa_bits as in `sketch`."""
+    |estimate - percentile| <= rel_error * |percentile| for normal numbers. mantissa_bits as in `sketch`."""
     g = [*groups, "metric_name"]
     shift = 52 - mantissa_bits
-    hist = sk.withColumn("_cum", F.sum("n").over(Window.partitionBy(*g).orderBy("digit"))).withColumn("_n", F.sum("n").over(Window.partitionBy(*g)))
-    ranks = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.ceil(F.lit(float(p)) * F.col("_n") - 1e-9).alias("rank")) for p in probs])
-    at = hist.withColumn("_t", F.explode(ranks)).where("_t.rank <= _cum and _t.rank > _cum - n")
+    hist = sk.withColumnRenamed("n", "_c")
+    hist = hist.withColumn("_cum", F.sum("_c").over(Window.partitionBy(*g).orderBy("digit"))).withColumn("n", F.sum("_c").over(Window.partitionBy(*g)))
+    at = _at_ranks(hist, probs)
     low = key_value(F.shiftleft("digit", shift))
     high = key_value(F.shiftleft("digit", shift) + F.lit((1 << shift) - 1))
-    return at.select(
-        *g, F.col("_t.p").alias("p"), F.col("_n").alias("n"), low.alias("low"), high.alias("high"),
-        F.when(low == high, low).otherwise(low + (high - low) / 2).alias("estimate"), F.lit(2.0 ** -(mantissa_bits + 1)).alias("rel_error"),
-    )
+    at = at.select(*g, F.col("_t.p").alias("p"), "n", low.alias("low"), high.alias("high"))
+    return at.withColumns({"estimate": F.expr("if(low = high, low, low + (high - low) / 2)"), "rel_error": F.lit(2.0 ** -(mantissa_bits + 1))})
 
 
 def _runs(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    return once(spark.read.parquet(f"{d}/query_runs.parquet"), "run_id", ["dataset_id", *METRICS, *more])
+    """Order keys of the runs, each run once."""
+    return once(order_keys(spark.read.parquet(f"{d}/query_runs.parquet"), ["run_id", "dataset_id", *more], METRICS, SIGNED), "run_id")
 
 
 def q_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    out = radix_percentiles(_runs(spark, d), ["dataset_id"], METRICS, (0.05, 0.25, 0.5, 0.75, 0.9, 0.99), SIGNED)
-    return out.select("dataset_id", "metric_name", "p", "n", "value")
+    return radix_percentiles(_runs(spark, d), ["dataset_id"], METRICS, (0.05, 0.25, 0.5, 0.75, 0.9, 0.99)).drop("rel_error")
 
 
 def q_daily(spark: SparkSession, d: str) -> DataFrame:
     """A summary for each day of run_ts."""
-    return sketch(_runs(spark, d, "run_ts").withColumn("day", F.to_date("run_ts")), ["dataset_id", "day"], METRICS, SIGNED)
+    return sketch(_runs(spark, d, "run_ts").withColumn("day", F.to_date("run_ts")), ["dataset_id", "day"], METRICS)
 
 
 def q_merged(spark: SparkSession, d: str) -> DataFrame:
@@ -171,8 +173,9 @@ def q_merged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_found(spark: SparkSession, d: str) -> DataFrame:
+    """Two digits of 16 bits: either percentile is at most 2**-20 of itself too small."""
     limits = spark.read.parquet(f"{d}/spread_limits.parquet").select("metric_name", "min_ratio")
-    at = radix_percentiles(_runs(spark, d), ["dataset_id"], METRICS, (0.5, 0.9), SIGNED)
+    at = radix_percentiles(_runs(spark, d), ["dataset_id"], METRICS, (0.5, 0.9), (16, 16))
     wide = at.groupBy("dataset_id", "metric_name").agg(F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("med"), F.max(F.when(F.col("p") == 0.9, F.col("value"))).alias("p90"))
     return wide.join(limits, "metric_name").where("p90 >= min_ratio * med").select("dataset_id", "metric_name").distinct()
 
