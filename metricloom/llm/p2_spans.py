@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from metricloom.llm.shared import cut
+
 LENGTH = 64
-#: A hash that makes up more than this share of all rows is hot; there are at most HOT_SHARE of them.
+#: A hash with more than one in HOT_SHARE of the shared rows is hot; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 4096
 #: Symbols that are hashed at once.
 BLOCK = 1 << 20
@@ -128,10 +130,11 @@ def _shared(rows: DataFrame) -> DataFrame:
 def _keep_shared(rows: DataFrame, shared: DataFrame) -> DataFrame:
     """Rows of shared hashes, with `first`. Hot hashes are joined by broadcast (fewer than HOT_SHARE by construction), so no
     task gets more than its share of the rows of one hash."""
-    total = shared.agg(F.sum("n").alias("total"))
-    marked = shared.crossJoin(F.broadcast(total)).withColumn("hot", F.col("n") * HOT_SHARE > F.col("total"))
-    hot = F.broadcast(marked.where("hot").select("h1", "h2", F.col("first").alias("_first"), "hot"))
-    cold = marked.where("not hot").select("h1", "h2", "first")
+    shared = cut(shared)
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * HOT_SHARE > total
+    hot = F.broadcast(shared.where(is_hot).select("h1", "h2", F.col("first").alias("_first"), F.lit(True).alias("hot")))
+    cold = shared.where(~is_hot).select("h1", "h2", "first")
     split = rows.join(hot, ["h1", "h2"], "left")
     by_hot = split.where("hot").drop("hot").withColumnRenamed("_first", "first")
     by_hash = split.where("hot is null").drop("hot", "_first").join(cold, ["h1", "h2"])
