@@ -151,6 +151,7 @@ def nearest_in_block(ids: np.ndarray, x: np.ndarray, k: int, piece: int = PIECE)
         order = np.argsort(gap, kind="stable")
         z = x[mine] - centres[i]
         norm = (z * z).sum(1)
+        left = np.concatenate([-2 * z, np.ones((len(z), 1))], axis=1)
         bound = np.full(len(mine), np.inf)
         at = 0
         cand_r, cand_c = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -163,15 +164,15 @@ def nearest_in_block(ids: np.ndarray, x: np.ndarray, k: int, piece: int = PIECE)
             at = at + 2 if at == 0 else len(order)
             cols = np.concatenate([parts[j] for j in take])
             y = x[cols] - centres[i]
-            sq = norm[:, None] + (y * y).sum(1)[None] - 2 * (z @ y.T)
-            slack = 1e-9 * (norm + 1e-300)
+            # squared distances less the row's own norm, in one product
+            sq = left @ np.concatenate([y, (y * y).sum(1)[:, None]], axis=1).T
             if np.isinf(bound).any():
                 width = min(k + 1, len(cols))
-                kth = np.partition(sq, width - 1, axis=1)[:, width - 1]
+                kth = np.partition(sq, width - 1, axis=1)[:, width - 1] + norm
                 kth = kth if width == k + 1 else np.full(len(mine), np.inf)
             else:
                 kth = bound * bound
-            hit = np.flatnonzero(sq <= (kth * (1 + 1e-9) + slack)[:, None])
+            hit = np.flatnonzero(sq <= (kth * (1 + 1e-9) + 1e-9 * (norm + 1e-300) - norm)[:, None])
             r, c = hit // len(cols), cols[hit % len(cols)]
             other = c != mine[r]
             r, c = r[other], c[other]
@@ -310,14 +311,10 @@ def nearest(
     placed = rows.withColumn("h", F.xxhash64(F.transform("vec", lambda x: x + 0.0))).mapInArrow(_assign(sent), "block bigint, code bigint, grp int, id bigint, vec array<double>, h bigint")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * blocks, 4000))
     lists = placed.repartition(parts, "block").sortWithinPartitions("block", "code", "id").mapInArrow(_search(k, cap, piece), "grp int, id bigint, h bigint, near array<struct<d:double,id:bigint>>")
-    if all(len(t) == 1 for t in forest.values()):
-        merged = lists
-    else:
-        single = sorted(g for g, t in forest.items() if len(t) == 1)
-        done = F.col("grp").isin(single) if single else F.lit(False)
-        several = lists.where(~done).groupBy("grp", "id").agg(F.first("h").alias("h"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))  # one list of k from each tree
-        merged = lists.where(done).unionByName(several)
-    return _copies(merged, k)
+    if any(len(t) > 1 for t in forest.values()):  # a list of k from each tree
+        every = F.array_distinct(F.flatten(F.collect_list("near")))
+        lists = lists.groupBy("grp", "id").agg(F.first("h").alias("h"), F.slice(F.array_sort(every), 1, k).alias("near"))
+    return _copies(lists, k)
 
 
 def _copies(merged: DataFrame, k: int) -> DataFrame:
