@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("p1_percentiles", "p2_spans", "p4_clusters", "p5_neighbours", "p6_tokens", "p7_mix")
+MODULES = ("p1_percentiles", "p2_spans", "p3_subset", "p4_clusters", "p5_neighbours", "p6_tokens", "p7_mix")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
