@@ -19,6 +19,8 @@ _NEWLINE = re.compile(r"(?i)<\s*(?:br|/p|/div|p|div|/tr|/li|pre|/pre|hr|/h\d)\b[
 _TAG = re.compile(r"<[^<>]{0,2000}>")
 #: A line between rules or dashes that opens a forwarded or quoted mail.
 _FORWARD = re.compile(r"^\s*[-_=]{3,}\s*[^\W\d_][^\n]{3,60}?\s*[-_=]{3,}\s*$|^\s*Begin forwarded message", re.I)
+_FROM = re.compile(r"^\s*\*?(?:From|Von|De|Da|Van)\*?\s*:\*?\s", re.I)
+_FIELD = re.compile(r"^\s*\*?(?:Sent|Date|To|Subject|Gesendet|Datum|An|Betreff|Envoyé|À|Objet|Enviado|Fecha|Para|Asunto|Data|Inviato|Oggetto|Onderwerp)\*?\s*:", re.I)
 _RULE = re.compile(r"^\s*(?:--|—|_{3,}|\*{5,}|={5,}|-{5,}|~{3,})\s*$")
 _QUOTED = re.compile(r"^\s*(?:>|\||&gt;)")
 _CLOCK = re.compile(r"\d{1,2}:\d{2}")
@@ -144,15 +146,21 @@ def _bare(name: str) -> str:
     return " ".join(re.sub(r"[^\w\s\-]", " ", name).lower().split())
 
 
+def _before_forward(lines: list[str]) -> list[str]:
+    """The lines before a forwarded or quoted mail that is kept with its own header fields or under a title line."""
+    for i, line in enumerate(lines):
+        if _FORWARD.match(line) or _FROM.match(line) and any(_FIELD.match(x) for x in lines[i + 1 : i + 4]):
+            return lines[:i]
+    return lines
+
+
 def _own_lines(text: str, sender: str) -> list[str]:
-    lines = text.split("\n")
+    lines = _before_forward(text.split("\n"))
     out: list[str] = []
     said = 0
     at = 0
     while at < len(lines):
         line = lines[at].replace("\xa0", " ").strip()
-        if _FORWARD.match(line):
-            break
         if _QUOTED.match(line):
             at += 1
             continue
@@ -192,7 +200,7 @@ def _own_lines(text: str, sender: str) -> list[str]:
         at += 1
     # after the end of the sender's text there may be answers between later quotes
     rest = lines[at:]
-    if rest and any(_QUOTED.match(x) for x in rest) and not any(_FORWARD.match(x) for x in rest):
+    if rest and any(_QUOTED.match(x) for x in rest):
         last = max(i for i, x in enumerate(rest) if _QUOTED.match(x))
         tail = rest[last + 1 :]
         if sum(len(x) for x in tail) > 0 and at + last + 1 < len(lines):
