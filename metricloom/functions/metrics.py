@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from metricloom.functions.sequences import WeightMatrix
 
@@ -133,7 +134,7 @@ def ms_value(a: Any, b: Any, tolerance: float = MS_TOLERANCE) -> float | None:
     return 0.0 if abs(cos - 1) < MS_SNAP else math.acos(min(1.0, cos))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ms(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         yield pd.Series([ms_value(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -355,11 +355,15 @@ def assign_cells(embedded: DataFrame, pd: list[str], levels: list[Level]) -> Dat
         else:
             cut = out.groupBy("cell").agg(*[F.percentile_approx(name, list(level.fractions), 10_000).alias(f"_c{j}") for j, name in enumerate(names)])
             got = cut.collect()  # a row for each cell
-            given = out.sparkSession.createDataFrame([tuple(r) for r in got], "cell int, " + ", ".join(f"_c{j} array<double>" for j in range(len(names))))
-            out = out.join(F.broadcast(given), "cell")  # MAX_CELLS rows at most
+            if len(got) <= 1:  # one parent cell: its cuts are literals
+                cuts = [F.array(*[F.lit(float(t)) for t in got[0][1 + j]]) if got and got[0][1 + j] else F.array().cast("array<double>") for j in range(len(names))]
+            else:
+                given = out.sparkSession.createDataFrame([tuple(r) for r in got], "cell int, " + ", ".join(f"_c{j} array<double>" for j in range(len(names))))
+                out = out.join(F.broadcast(given), "cell")  # MAX_CELLS rows at most
+                cuts = [F.col(f"_c{j}") for j in range(len(names))]
             code = F.col("cell")
-            for j, name in enumerate(names):
-                code = code * (len(level.fractions) + 1) + bucket(F.col(name), F.col(f"_c{j}"))
+            for name, c in zip(names, cuts, strict=True):
+                code = code * (len(level.fractions) + 1) + bucket(F.col(name), c)
             out = out.withColumn("cell", code).drop(*[f"_c{j}" for j in range(len(names))])
         out = out.drop(*names)
     return out
