@@ -70,10 +70,9 @@ def partial_l2(start: int, end: int) -> Callable[[Column, Column], Column]:
 
 def hamming(matrix: WeightMatrix) -> Callable[[Column, Column], Column]:
     """Sum of the weights of opposite symbols. Fragments of different lengths have a null distance."""
-    weights = matrix.column()
 
     def column(a: Column, b: Column) -> Column:
-        x, y = F.upper(a), F.upper(b)
+        weights, x, y = matrix.column(), F.upper(a), F.upper(b)
         same = F.length(x) == F.length(y)
         pairs = F.zip_with(F.split(x, ""), F.split(y, ""), lambda s, t: F.when(s == t, F.lit(0.0)).otherwise(F.coalesce(F.element_at(weights, F.concat(s, t)), F.lit(matrix.other))))
         return F.when(same, F.when(F.length(x) == 0, F.lit(0.0)).otherwise(_total(pairs)))
