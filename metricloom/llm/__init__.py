@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("p1_percentiles", "p2_spans", "p3_subset", "p4_clusters", "p5_neighbours", "p6_tokens", "p7_mix", "p8_reading")
+MODULES = ("p1_percentiles", "p2_spans", "p3_subset", "p4_clusters", "p4_spectral", "p5_neighbours", "p6_tokens", "p7_mix", "p8_reading")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
