@@ -320,7 +320,7 @@ def nearest(
 def _copies(merged: DataFrame, k: int) -> DataFrame:
     """Rows with k or more copies: their neighbours are the copies with the smallest ids, wherever blocks ended."""
     merged, _ = small(merged)
-    is_copy = F.coalesce(F.element_at("near", -1)["d"] == 0, F.lit(False)) & (F.size("near") == k)
+    is_copy = F.coalesce(F.try_element_at("near", F.lit(-1))["d"] == 0, F.lit(False)) & (F.size("near") == k)
     w = Window.partitionBy("grp", "h").orderBy("id")
     heads = merged.where(is_copy).select("grp", "h", "id").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1)
     heads, hint = small(heads.groupBy("grp", "h").agg(F.sort_array(F.collect_list("id")).alias("heads")))  # k + 1 ids at most
