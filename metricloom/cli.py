@@ -12,7 +12,6 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from metricloom.functions import metrics as M
 from metricloom.functions import sequences as S
@@ -36,9 +35,7 @@ def search(table: MetricTable, queries: DataFrame, radius: float, family: str, k
     """Range search by index, or for metrics without the triangle inequality query by query."""
     if table.metric.triangle:
         return index.build(table, family, k, parts, selection).range_join(queries, radius)
-    asked = F.broadcast(queries.select("query_id", F.col("v").alias("qv"))) if queries.count() <= index.MAX_CELLS else queries.select("query_id", F.col("v").alias("qv"))
-    pairs = table.rows().join(asked, F.lit(True))  # a stated query set against all rows
-    return pairs.withColumn("distance", table.metric.column(F.col("qv"), F.col("v"))).where(F.col("distance") <= radius).select("query_id", "id", "distance")
+    return index.scan_join(table, queries, radius)
 
 
 def parser() -> argparse.ArgumentParser:

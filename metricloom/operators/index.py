@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from metricloom.functions import transforms as X
-from metricloom.operators.pivots import Pivot, distances, embed, select_pivots
+from metricloom.operators.pivots import Pivot, distances, embed, plain, select_pivots
 from metricloom.operators.table import MetricTable
 
 #: Cells of an index, at most: their bounds are kept on the driver and sent to the tasks.
@@ -416,6 +416,78 @@ def linear_scan(table: MetricTable, query: Pivot, radius: float) -> DataFrame:
     return table.rows().select("id", d.alias("distance")).where(F.col("distance") <= float(radius))
 
 
+#: Queries of a block of `scan_join`.
+BLOCK = 64
+
+
+def scan_join(table: MetricTable, queries: DataFrame, radius: float, query_id: str = "query_id", value: str = "v") -> DataFrame:
+    """(query_id, id, distance): a stated set of queries against all rows, in blocks of literals; one pass for each block and
+    no shuffle. For metrics without the triangle inequality and as ground truth; queries may number some thousands."""
+    kind = queries.schema[query_id].dataType.simpleString()
+    out = None
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(value).alias("v")).where("query_id is not null and v is not null").collect()
+    for i in range(0, len(asked), BLOCK):
+        block = F.array(*[F.struct(F.lit(r["query_id"]).cast(kind).alias("query_id"), Pivot(r["query_id"], plain(r["v"])).column().alias("qv")) for r in asked[i : i + BLOCK]])
+        pairs = table.rows().select("id", "v", F.explode(block).alias("q"))
+        part = pairs.select("q.query_id", "id", table.metric.column(F.col("q.qv"), F.col("v")).alias("distance")).where(F.col("distance") <= float(radius))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return table.rows().limit(0).select(F.lit(None).cast(kind).alias("query_id"), "id", F.lit(0.0).alias("distance"))
+    return out
+
+
+@dataclass(frozen=True)
+class LocalIndex:
+    """Pivots of their own in each cell: an index over each cell of a top index. Cells too small for one are searched by the
+    bounds of the top index alone."""
+
+    top: CellIndex
+    parts: dict[int, CellIndex]
+
+    def range_join(self, queries: DataFrame, radius: float, query_id: str = "query_id", value: str = "v") -> DataFrame:
+        """As of CellIndex. A query goes on only to the parts that its ball may meet."""
+        asked = self.top._placed(self.top._queries(queries, query_id, value, radius)).select("query_id", "v", "r", "cells")
+        out = None
+        for cell, part in self.parts.items():
+            mine = asked.where(F.array_contains("cells", cell)).select("query_id", "v", "r")
+            found = part.range_join(mine, F.col("r"))
+            out = found if out is None else out.unionByName(found)
+        return out if out is not None else self.top.range_join(queries, radius, query_id, value)
+
+
+def build_local(table: MetricTable, family: str, k: int = 2, parts: int = 2, selection: str = "fft") -> LocalIndex:
+    """Local mode: the cells of a first index each choose pivots among their own rows. A plan for each cell, so for a few."""
+    top = build(table, family, k, parts, selection)
+    if len(top.cells) > 32:
+        raise ValueError(f"{len(top.cells)} cells; at most 32 in local mode")
+    subs = {}
+    for cell in top.cells:
+        mine = MetricTable(top.members.where(F.col("cell") == cell).select("id", "v"), "id", "v", table.metric)
+        pool = select_pivots(mine, k, selection)
+        levels = FAMILIES[family](k, parts) if len(pool) == k else [vp(range(len(pool)), parts)]
+        subs[cell] = build_index(mine, pool, levels)
+    return LocalIndex(top, subs)
+
+
+def diameter(table: MetricTable) -> float:
+    """The largest distance between two rows, exactly; 0 for fewer than two. Needs the triangle inequality.
+
+    A far pair gives a lower bound L; with R the largest distance to a pivot, both rows of a farther pair lie at least L - R
+    from it, and only those rows are compared, block by block."""
+    far = select_pivots(table, 3, "fft")
+    if len(far) < 2:
+        return 0.0
+    low = max(table.metric.value(a.value, b.value) for i, a in enumerate(far) for b in far[i + 1 :])
+    rows = embed(table, far)
+    for i in range(len(far)):
+        reach = rows.agg(F.max(f"pd{i}")).first()[0]
+        low = max(low, reach)
+        rows = rows.where(F.col(f"pd{i}") >= (low - reach) * (1 - 1e-9))
+    shell = MetricTable(rows.select("id", "v"), "id", "v", table.metric)
+    found = scan_join(shell, shell.rows().withColumnRenamed("id", "query_id"), float("inf"))
+    return max(low, found.agg(F.max("distance")).first()[0] or 0.0)
+
+
 def knn(table: MetricTable, query: Pivot, k: int) -> DataFrame:
     """(id, distance): the k nearest rows of one query, ties to the smaller id; each task sends k rows."""
     d = table.metric.column(F.col("v"), query.column())

@@ -40,13 +40,13 @@ def literal(value: Any) -> Column:
 
 def fixed(table: MetricTable, ids: list) -> list[Pivot]:
     """The rows of these ids as pivots, in this order."""
-    got = {r["id"]: _plain(r["v"]) for r in table.rows().where(F.col("id").isin(ids)).dropDuplicates(["id"]).collect()}
+    got = {r["id"]: plain(r["v"]) for r in table.rows().where(F.col("id").isin(ids)).dropDuplicates(["id"]).collect()}
     return [Pivot(i, got[i]) for i in ids]
 
 
-def _plain(v: Any) -> Any:
+def plain(v: Any) -> Any:
     if hasattr(v, "asDict"):
-        return {k: _plain(x) for k, x in v.asDict().items()}
+        return {k: plain(x) for k, x in v.asDict().items()}
     return [float(x) for x in v] if isinstance(v, (list, np.ndarray)) else v
 
 
@@ -57,7 +57,7 @@ def distances(table: MetricTable, pivots: list[Pivot]) -> list[Column]:
 def sample(table: MetricTable, n: int = SAMPLE, seed: int = 0) -> list[Pivot]:
     """At most n rows, those with the smallest hashes, by hash: a top-k, no sort of the table."""
     rows = table.rows().withColumn("_h", F.xxhash64("id", F.lit(seed))).orderBy("_h", "id").limit(n).collect()
-    return [Pivot(r["id"], _plain(r["v"])) for r in rows]
+    return [Pivot(r["id"], plain(r["v"])) for r in rows]
 
 
 def distance_matrix(metric: Metric, a: list[Pivot], b: list[Pivot]) -> np.ndarray:
@@ -76,7 +76,7 @@ def farthest_first(table: MetricTable, k: int, start: Any = None) -> list[Pivot]
     got = first.agg(F.min_by("v", "id").alias("v"), F.min("id").alias("id")).first()
     if got is None or got["id"] is None:
         return []
-    out = [Pivot(got["id"], _plain(got["v"]))]
+    out = [Pivot(got["id"], plain(got["v"]))]
     while len(out) < k:
         near = distances(table, out)
         d = F.least(*near) if len(near) > 1 else near[0]
@@ -84,7 +84,7 @@ def farthest_first(table: MetricTable, k: int, start: Any = None) -> list[Pivot]
         best = far.agg(F.min_by(F.struct("id", "v"), F.struct(-F.col("d"), "id")).alias("x")).first()["x"]
         if best is None:
             break
-        out.append(Pivot(best["id"], _plain(best["v"])))
+        out.append(Pivot(best["id"], plain(best["v"])))
     return out
 
 

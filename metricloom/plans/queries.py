@@ -14,6 +14,7 @@ from metricloom.functions import metrics as M
 from metricloom.functions import sequences as S
 from metricloom.operators import classify, cluster, index, learn, outlier, pivots, stats, table
 from metricloom.operators.table import MetricTable
+from metricloom.plans import experiment
 from metricloom.streaming import match
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -378,6 +379,35 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return index.build_index(t, pivots.fixed(t, list(PIVOTS)), [index.gh(0, 1)]).stats(asked(t), 1.5)
 
 
+@query("local_mode_range", range_sql(POINTS, L2, 0.2))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    t = points(spark, d)
+    return _rounded(index.build_local(t, "gh", 2).range_join(asked(t), 0.2))
+
+
+@query("scan_join", range_sql(NAMES, "levenshtein(q.v, x.v)", 5))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    t = names(spark, d)
+    return _rounded(index.scan_join(t, asked(t), 5))
+
+
+@query("pairwise_distances", "SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name)::DOUBLE AS distance FROM nation a, nation b")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    t = MetricTable(spark.read.parquet(f"{d}/nation.parquet"), "n_name", "n_name", M.EDIT)
+    return index.scan_join(t, t.rows().withColumnRenamed("id", "query_id"), 1e9).select(F.col("query_id").alias("a"), F.col("id").alias("b"), "distance")
+
+
+@query("diameter", f"WITH {PARTS} SELECT round(max(list_distance(q.v, x.v)), 6) AS diameter FROM x q, x")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(round(index.diameter(parts(spark, d)), 6),)], "diameter double")
+
+
+@query("family_experiment")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    t = parts(spark, d)
+    return experiment.compare(t, asked(t), 1.5)
+
+
 @query("root_neighbourhood")
 def _(spark: SparkSession, d: str) -> DataFrame:
     ix = index.build(parts(spark, d), "rgh", 2)

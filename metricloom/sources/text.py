@@ -139,6 +139,15 @@ def read_image_maxima(spark: SparkSession, path: str) -> list[float]:
     return [r["x"] for r in got]
 
 
+def image_maxima(images: DataFrame) -> list[float]:
+    """The largest distance between two images in each of the three feature blocks."""
+    from metricloom.functions.metrics import IMAGE_BLOCKS, L2
+    from metricloom.operators.index import diameter
+    from metricloom.operators.table import MetricTable
+
+    return [diameter(MetricTable(images.select("id", F.slice("f", start, n).alias("v")), "id", "v", L2)) for start, n in IMAGE_BLOCKS]
+
+
 @loader("kddcup")
 def read_kddcup(spark: SparkSession, path: str, inliers: int | None = None, outliers: int | None = None) -> DataFrame:
     """(id, num (34), cat (7), is_normal): header, then 41 comma-separated features and a label. Text categories get codes in

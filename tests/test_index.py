@@ -147,3 +147,26 @@ def test_by_name_and_depth(spark, family, depth):
     ix = I.build(make(spark, rows), family, 2, 2, depth=depth)
     got = {(r["query_id"], r["id"]) for r in ix.range_join(spark.createDataFrame(QUERIES, "query_id int, v array<double>"), 0.5).collect()}
     assert got == brute(rows, 0.5)
+
+
+def test_local_mode_and_scan(spark):
+    rows = FIXTURES["duplicates"]
+    t = make(spark, rows)
+    asked = spark.createDataFrame(QUERIES, "query_id int, v array<double>")
+    for r in (0.0, 0.35):
+        assert {(x["query_id"], x["id"]) for x in I.build_local(t, "vp", 2, 2).range_join(asked, r).collect()} == brute(rows, r)
+        assert {(x["query_id"], x["id"]) for x in I.scan_join(t, asked, r).collect()} == brute(rows, r)
+    assert I.scan_join(t, asked.limit(0), 1.0).count() == 0
+
+
+@pytest.mark.parametrize("fixture", sorted(FIXTURES))
+def test_diameter(spark, fixture):
+    x = np.array([v for _, v in FIXTURES[fixture]])
+    assert I.diameter(make(spark, FIXTURES[fixture])) == pytest.approx(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)).max())
+
+
+def test_experiment(spark):
+    from metricloom.plans.experiment import compare
+
+    got = compare(make(spark, FIXTURES["uniform"]), spark.createDataFrame(QUERIES, "query_id int, v array<double>"), 0.35, verify=True).collect()
+    assert len(got) == 16 and all(r["correct"] for r in got)
