@@ -58,6 +58,25 @@ def lp(p: float) -> Callable[[Column, Column], Column]:
     return lambda a, b: F.pow(_total(_terms(a, b, lambda x, y: F.pow(F.abs(x - y), F.lit(float(p))))), F.lit(1.0 / p))
 
 
+def fixed(kind: str, dim: int) -> Callable[[Column, Column], Column]:
+    """l1, l2 or linf for vectors of `dim` values, unrolled: compiled with its stage, while the general form is interpreted for
+    each element. It takes long to compile for many dimensions, so use it up to 16 or so. Vectors of another length have a null
+    distance."""
+
+    def column(a: Column, b: Column) -> Column:
+        gaps = [a.getItem(i) - b.getItem(i) for i in range(dim)]
+        if kind == "linf":
+            out = F.abs(gaps[0]) if dim == 1 else F.greatest(*[F.abs(g) for g in gaps])
+        else:
+            terms = [F.abs(g) if kind == "l1" else g * g for g in gaps]
+            while len(terms) > 1:  # a balanced sum keeps the expression flat
+                terms = [x + y for x, y in zip(terms[::2], terms[1::2], strict=False)] + terms[len(terms) - len(terms) % 2 :]
+            out = F.sqrt(terms[0]) if kind == "l2" else terms[0]
+        return F.when((F.size(a) == dim) & (F.size(b) == dim), out)
+
+    return column
+
+
 def edit(a: Column, b: Column) -> Column:
     """Levenshtein distance, unit costs."""
     return F.levenshtein(a, b).cast("double")
@@ -178,6 +197,10 @@ def lp_metric(p: float) -> Metric:
     return Metric(f"l{p:g}", lp(p), _np(lambda a, b: (np.abs(a - b) ** p).sum() ** (1 / p)))
 
 
+def fixed_metric(kind: str, dim: int) -> Metric:
+    return Metric(kind, fixed(kind, dim), {"l1": L1, "l2": L2, "linf": LINF}[kind].value)
+
+
 def hamming_metric(matrix: WeightMatrix) -> Metric:
     return Metric(f"hamming_{matrix.name}", hamming(matrix), lambda a, b: float(sum(matrix.weight(x, y) for x, y in zip(a.upper(), b.upper(), strict=True))))
 

@@ -204,9 +204,14 @@ FAMILIES: dict[str, Callable[[int, int], list[Level]]] = {
 }
 
 
-def bucket(value: Column, cuts: Column) -> Column:
-    """Number of cuts that are not above the value."""
-    return F.aggregate(cuts, F.lit(0), lambda n, t: n + F.when(value >= t, 1).otherwise(0))
+def bucket(value: Column, cuts: Column | Sequence[float]) -> Column:
+    """Number of cuts that are not above the value. Given cuts are unrolled, which keeps the stage compiled."""
+    if isinstance(cuts, Column):
+        return F.aggregate(cuts, F.lit(0), lambda n, t: n + F.when(value >= t, 1).otherwise(0))
+    out = F.lit(0)
+    for t in cuts:
+        out = out + F.when(value >= float(t), 1).otherwise(0)
+    return out
 
 
 @dataclass(frozen=True)
@@ -266,26 +271,30 @@ class CellIndex:
         return rows.select("query_id", "v", "r", *[c.alias(f"pd{i}") for i, c in enumerate(distances(self.table, self.pivots))])
 
     def candidates(self, queries: DataFrame) -> DataFrame:
-        """(query_id, qv, r, id, v): pairs that cells and pivots don't rule out; queries as `_queries` gives them."""
+        """(query_id, r, id, distance): pairs that cells and pivots don't rule out; queries as `_queries` gives them.
+
+        The optimiser may move a condition on the distance into the join, before those on the pivots; so the distance itself
+        is computed only where the pivots' bound holds."""
         asked = self._placed(queries).select("query_id", F.col("v").alias("qv"), "r", *[F.col(c).alias(f"q{c}") for c in self.pd], F.explode("cells").alias("cell"))
-        on = [asked["cell"] == self.members["cell"]]
+        rows = self.members.select("id", F.col("v").alias("mv"), *[F.col(c).alias(f"m{c}") for c in self.pd], F.col("cell").alias("mcell"))
+        bound = F.lit(True)
         for c in self.pd:
-            gap = F.abs(asked[f"q{c}"] - self.members[c])
-            on.append(gap <= asked["r"] * (1 + 1e-9) + 1e-12 * (1 + asked[f"q{c}"]))
-        return asked.join(self.members, on).select("query_id", "qv", "r", "id", "v")
+            bound = bound & (F.abs(F.col(f"q{c}") - F.col(f"m{c}")) <= F.col("r") * (1 + 1e-9) + 1e-12 * (1 + F.col(f"q{c}")))
+        distance = F.when(bound, self.table.metric.column(F.col("qv"), F.col("mv")))
+        return asked.join(rows, (F.col("cell") == F.col("mcell")) & bound).select("query_id", "r", "id", distance.alias("distance"))
 
     def range_join(self, queries: DataFrame, radius: float | Column, query_id: str = "query_id", value: str = "v") -> DataFrame:
         """(query_id, id, distance) of all rows within the radius of each query, borders included. The radius is a number or
         a column of the queries; null and negative ones, null ids and null values give no results."""
         pairs = self.candidates(self._queries(queries, query_id, value, radius))
-        return pairs.withColumn("distance", self.table.metric.column(F.col("qv"), F.col("v"))).where("distance <= r").select("query_id", "id", "distance")
+        return pairs.where("distance <= r").select("query_id", "id", "distance")
 
     def stats(self, queries: DataFrame, radius: float | Column, query_id: str = "query_id", value: str = "v") -> DataFrame:
         """For each query: cells visited, exact distances computed (pivots included), results, prune rate (share of cells left
         out) and exclusion rate (share of rows that needed no exact distance)."""
         asked = self._queries(queries, query_id, value, radius)
         visited = self._placed(asked).select("query_id", F.size("cells").alias("cells_visited"))
-        pairs = self.candidates(asked).withColumn("hit", self.table.metric.column(F.col("qv"), F.col("v")) <= F.col("r"))
+        pairs = self.candidates(asked).withColumn("hit", F.col("distance") <= F.col("r"))
         counted = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if("hit").alias("results"))
         rows = max(1, sum(self.counts))
         out = visited.join(counted, "query_id", "left").na.fill(0, ["_n", "results"])
@@ -310,7 +319,7 @@ class CellIndex:
         if within is not None:
             bound = F.least(bound, F.lit(float(within)))
         ready = asked.drop("r").join(reach, "query_id", "left").select("query_id", "v", bound.alias("r"), *self.pd)
-        found = self.candidates(ready).withColumn("distance", self.table.metric.column(F.col("qv"), F.col("v"))).where("distance <= r")
+        found = self.candidates(ready).where("distance <= r")
         return found.select("query_id", "id", "distance").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
     def _nearest_cells(self, asked: DataFrame, k: int) -> DataFrame:
@@ -351,12 +360,12 @@ def assign_cells(embedded: DataFrame, pd: list[str], levels: list[Level]) -> Dat
         if level.thresholds:
             for name, cuts in zip(names, level.thresholds, strict=True):
                 if len(cuts):
-                    out = out.withColumn("cell", F.col("cell") * (len(cuts) + 1) + bucket(F.col(name), F.array(*[F.lit(float(t)) for t in cuts])))
+                    out = out.withColumn("cell", F.col("cell") * (len(cuts) + 1) + bucket(F.col(name), cuts))
         else:
             cut = out.groupBy("cell").agg(*[F.percentile_approx(name, list(level.fractions), 10_000).alias(f"_c{j}") for j, name in enumerate(names)])
             got = cut.collect()  # a row for each cell
             if len(got) <= 1:  # one parent cell: its cuts are literals
-                cuts = [F.array(*[F.lit(float(t)) for t in got[0][1 + j]]) if got and got[0][1 + j] else F.array().cast("array<double>") for j in range(len(names))]
+                cuts = [list(got[0][1 + j] or ()) if got else [] for j in range(len(names))]
             else:
                 given = out.sparkSession.createDataFrame([tuple(r) for r in got], "cell int, " + ", ".join(f"_c{j} array<double>" for j in range(len(names))))
                 out = out.join(F.broadcast(given), "cell")  # MAX_CELLS rows at most

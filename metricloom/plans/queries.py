@@ -40,12 +40,12 @@ def emb(spark: SparkSession, d: str) -> MetricTable:
 
 
 def points(spark: SparkSession, d: str) -> MetricTable:
-    return MetricTable(spark.read.parquet(f"{d}/query_points.parquet"), "query_id", "qv", M.L2)
+    return MetricTable(spark.read.parquet(f"{d}/query_points.parquet"), "query_id", "qv", M.fixed_metric("l2", 2))
 
 
-def parts(spark: SparkSession, d: str, metric: M.Metric = M.L2) -> MetricTable:
+def parts(spark: SparkSession, d: str) -> MetricTable:
     df = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 100).alias("v"), "p_brand")
-    return MetricTable(df, "p_partkey", "v", metric)
+    return MetricTable(df, "p_partkey", "v", M.fixed_metric("l2", 2))
 
 
 def names(spark: SparkSession, d: str) -> MetricTable:
@@ -510,7 +510,7 @@ SELECT query_id, label AS prediction FROM (SELECT *, row_number() OVER (PARTITIO
 def _(spark: SparkSession, d: str) -> DataFrame:
     t = emb(spark, d)
     train = t.df.where("vec_id % 20 <> 0")
-    ix = index.build(MetricTable(train, "vec_id", "v", M.L2), "vp", 2, 3)
+    ix = index.build(MetricTable(train, t.id_col, t.value_col, t.metric), "vp", 2, 3)
     return classify.classify(ix, train, "vec_id", "label", asked(t), 5)
 
 

@@ -58,6 +58,16 @@ def test_null_and_unequal_vectors(spark, metric):
     assert got == [None, None, 0.0, None]
 
 
+@pytest.mark.parametrize("kind", ["l1", "l2", "linf"])
+@pytest.mark.parametrize("dim", [1, 3, 64])
+def test_fixed_lengths(spark, kind, dim):
+    rng = np.random.default_rng(dim)
+    rows = [(rng.normal(size=dim).tolist(), rng.normal(size=dim).tolist()) for _ in range(5)]
+    m = M.fixed_metric(kind, dim)
+    got = spark.createDataFrame([*rows, (None, [1.0]), ([1.0] * (dim + 1), [1.0] * dim), ([None] * dim, [1.0] * dim)], "a array<double>, b array<double>").select(m.column(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got[:5]] == pytest.approx([m.value(a, b) for a, b in rows]) and [r[0] for r in got[5:7]] == [None, None]
+
+
 def test_edit_and_hamming(spark):
     df = spark.createDataFrame([("kitten", "sitting"), ("", "abc"), (None, "x")], "a string, b string")
     assert [r[0] for r in df.select(M.edit(F.col("a"), F.col("b"))).collect()] == [3.0, 3.0, None]
