@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -283,10 +283,13 @@ class CellIndex:
         distance = F.when(bound, self.table.metric.column(F.col("qv"), F.col("mv")))
         return asked.join(rows, (F.col("cell") == F.col("mcell")) & bound).select("query_id", "r", "id", distance.alias("distance"))
 
-    def range_join(self, queries: DataFrame, radius: float | Column, query_id: str = "query_id", value: str = "v") -> DataFrame:
+    def range_join(self, queries: DataFrame, radius: float | Column, query_id: str = "query_id", value: str = "v", counted: Observation | None = None) -> DataFrame:
         """(query_id, id, distance) of all rows within the radius of each query, borders included. The radius is a number or
-        a column of the queries; null and negative ones, null ids and null values give no results."""
+        a column of the queries; null and negative ones, null ids and null values give no results. counted: gets
+        distance_count, the exact distances computed, while the result itself is; pivots' distances are not in it."""
         pairs = self.candidates(self._queries(queries, query_id, value, radius))
+        if counted is not None:
+            pairs = pairs.observe(counted, F.count(F.lit(1)).alias("distance_count"))
         return pairs.where("distance <= r").select("query_id", "id", "distance")
 
     def stats(self, queries: DataFrame, radius: float | Column, query_id: str = "query_id", value: str = "v") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from metricloom.functions import metrics as M
@@ -83,6 +84,9 @@ def test_stats_match_what_is_computed(spark):
         assert 0 <= s[q]["prune_rate"] <= 1
         assert s[q]["exclusion_rate"] == pytest.approx(1 - (s[q]["distance_count"] - 2) / len(rows))
     assert ix.root_neighbourhood(10.0) == len(rows)
+    counter = Observation()
+    ix.range_join(asked, 0.35, counted=counter).collect()
+    assert counter.get["distance_count"] == sum(r["distance_count"] - 2 for r in s.values())
 
 
 @pytest.mark.parametrize("k", [1, 3, 100])
