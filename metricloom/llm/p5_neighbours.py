@@ -29,7 +29,7 @@ TREES = 2
 #: Rows that share a block's prefix, by estimate; a task holds at most a quarter more at once.
 CAP = 16_384
 #: Rows of the fitting sample: in all, and of one group. They are all that reaches the driver.
-SAMPLE, SAMPLE_GROUP = 65_536, 4_096
+SAMPLE, SAMPLE_GROUP = 32_768, 2_048
 #: Rows of a piece, the unit of pruning in a block.
 PIECE = 512
 
