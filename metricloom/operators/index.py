@@ -273,15 +273,15 @@ class CellIndex:
     def candidates(self, queries: DataFrame) -> DataFrame:
         """(query_id, r, id, distance): pairs that cells and pivots don't rule out; queries as `_queries` gives them.
 
-        The optimiser may move a condition on the distance into the join, before those on the pivots; so the distance itself
-        is computed only where the pivots' bound holds."""
+        The distance comes out of a generator: a condition on a plain column would be moved into the join, ahead of those on
+        the pivots, and the distance computed for every pair of the cell, and again for the result."""
         asked = self._placed(queries).select("query_id", F.col("v").alias("qv"), "r", *[F.col(c).alias(f"q{c}") for c in self.pd], F.explode("cells").alias("cell"))
         rows = self.members.select("id", F.col("v").alias("mv"), *[F.col(c).alias(f"m{c}") for c in self.pd], F.col("cell").alias("mcell"))
         bound = F.lit(True)
         for c in self.pd:
             bound = bound & (F.abs(F.col(f"q{c}") - F.col(f"m{c}")) <= F.col("r") * (1 + 1e-9) + 1e-12 * (1 + F.col(f"q{c}")))
-        distance = F.when(bound, self.table.metric.column(F.col("qv"), F.col("mv")))
-        return asked.join(rows, (F.col("cell") == F.col("mcell")) & bound).select("query_id", "r", "id", distance.alias("distance"))
+        distance = F.array(self.table.metric.column(F.col("qv"), F.col("mv")))
+        return asked.join(rows, (F.col("cell") == F.col("mcell")) & bound).select("query_id", "r", "id", F.explode(distance).alias("distance"))
 
     def range_join(self, queries: DataFrame, radius: float | Column, query_id: str = "query_id", value: str = "v", counted: Observation | None = None) -> DataFrame:
         """(query_id, id, distance) of all rows within the radius of each query, borders included. The radius is a number or

@@ -34,7 +34,9 @@ def literal(value: Any) -> Column:
     if isinstance(value, dict):
         return F.struct(*[literal(v).alias(k) for k, v in value.items()])
     if isinstance(value, (list, tuple, np.ndarray)):
-        return F.array(*[F.lit(float(x)) for x in value]) if len(value) else F.array().cast("array<double>")
+        # one call into the JVM instead of one for each value
+        values = ", ".join(f"{float(x)!r}D" if np.isfinite(x) else f"double('{float(x)}')" for x in value)
+        return F.expr(f"array({values})") if len(value) else F.array().cast("array<double>")
     return F.lit(value)
 
 
