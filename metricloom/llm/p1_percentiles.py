@@ -164,7 +164,7 @@ def q_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 def q_daily(spark: SparkSession, d: str) -> DataFrame:
     """A summary for each day of run_ts."""
-    return sketch(_runs(spark, d, "run_ts").withColumn("day", F.to_date("run_ts")), ["dataset_id", "day"], METRICS)
+    return sketch(_runs(spark, d, "run_ts").withColumn("day", F.to_date("run_ts").cast("string")), ["dataset_id", "day"], METRICS)
 
 
 def q_merged(spark: SparkSession, d: str) -> DataFrame:
@@ -192,6 +192,15 @@ ORACLES = {
 ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, metric_name ORDER BY x) AS rn, count(*) OVER (PARTITION BY dataset_id, metric_name) AS n FROM long),
 ps AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.9, 0.99])::DOUBLE AS p)
 SELECT dataset_id, metric_name, p, n, x AS value FROM ranked, ps WHERE rn = ceil(p * n - 1e-9)""",
+    "p1_daily": """WITH runs AS (SELECT DISTINCT run_id, dataset_id, run_ts, query_ns, index_distance_count, rho, radius FROM query_runs),
+long AS (SELECT dataset_id, run_ts, 'query_ns' AS metric_name, query_ns::DOUBLE AS x FROM runs WHERE query_ns >= 0
+  UNION ALL SELECT dataset_id, run_ts, 'index_distance_count', index_distance_count::DOUBLE FROM runs WHERE index_distance_count >= 0
+  UNION ALL SELECT dataset_id, run_ts, 'rho', rho FROM runs WHERE rho IS NOT NULL AND NOT isnan(rho)
+  UNION ALL SELECT dataset_id, run_ts, 'radius', radius FROM runs WHERE radius >= 0 AND NOT isnan(radius)),
+g AS (SELECT *, abs(x) AS a, CASE WHEN x = 0 THEN 0 ELSE floor(log2(abs(x))) END AS e0 FROM long),
+e AS (SELECT *, e0 + CASE WHEN pow(2, e0) > a THEN -1 WHEN pow(2, e0 + 1) <= a THEN 1 ELSE 0 END AS e FROM g),
+k AS (SELECT *, CASE WHEN x = 0 THEN 0 ELSE (e + 1023) * 1024 + (a / pow(2, e) - 1) * 1024 END AS k FROM e)
+SELECT dataset_id, run_ts::DATE::VARCHAR AS day, metric_name, (CASE WHEN x < 0 THEN -ceil(k) ELSE floor(k) END)::BIGINT AS digit, count(*) AS n FROM k GROUP BY ALL""",
     "p1_found": f"""WITH {_LONG},
 q AS (SELECT dataset_id, metric_name, quantile_disc(x, 0.5) AS med, quantile_disc(x, 0.9) AS p90 FROM long GROUP BY ALL)
 SELECT DISTINCT dataset_id, metric_name FROM q JOIN spread_limits USING (metric_name) WHERE p90 >= min_ratio * med""",
