@@ -3,7 +3,7 @@
 Each input chunk is summarised by cluster features (count, mean, squared deviation, kept in this form since sums of squares
 lose all digits far from the origin); a feature takes rows within a threshold that rises until at most `leaves` features are
 left.  The chunks' summaries are merged in a tree of fixed fan-in.  The leaf features of a group, their weights damped to
-1 + ln(count) so that a large group of similar rows gets no more than its due, are agglomerated by Ward linkage and cut at
+sqrt(count) so that a large group of similar rows gets no more than its due, are agglomerated by Ward linkage and cut at
 the wanted number; the row nearest each group centre is then found exactly over all rows.
 """
 
@@ -84,7 +84,7 @@ def condense(f: Features, leaves: int, limit: float = 0.0, start: int = 0) -> tu
 def ward_cut(f: Features, k: int) -> np.ndarray:
     """Group number of each feature: Ward linkage with damped weights, cut at k groups (nearest-neighbour chains)."""
     m = len(f[0])
-    weight, centre = 1 + np.log(f[0]), f[1] - f[1].mean(0)
+    weight, centre = np.sqrt(f[0]), f[1] - f[1].mean(0)
     weight, centre = weight.copy(), centre.copy()
     alive, merges, chain = np.ones(m, bool), [], []
     root = list(range(m))
@@ -210,7 +210,7 @@ def varied_subset(df: DataFrame, group_col: str, id_col: str, vec_col: str, requ
         f = (pdf["n"].to_numpy(), np.stack(pdf["mean"].to_numpy()), pdf["dev"].to_numpy())
         k = int(pdf["size"].iloc[0])
         into = ward_cut(f, k)
-        damped = (1 + np.log(f[0]), f[1], f[2])
+        damped = (np.sqrt(f[0]), f[1], f[2])
         c = _absorb(damped, into, int(into.max()) + 1)[1]
         return pd.DataFrame({"request": key[0], "grp": pdf["grp"].iloc[0], "mean": list(c)})
 
