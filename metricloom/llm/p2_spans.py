@@ -64,61 +64,79 @@ def window_argmin(h: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, list | None]]:
-    for batch in batches:
-        more = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
-        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), more, strict=True)
+def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
+    """Texts joined to blocks of some BLOCK symbols: (codes, rid, start, offset, size, lo, hi), the middle ones of each piece.
+    A piece is a text, or a part of a long one that begins at `start` and overlaps the next by length - 1. lo and hi: per piece
+    the arrays of the ranges in the third column, or None without one. Texts are at least `length` long."""
+    held, n = [], 0
 
+    def joined() -> tuple:
+        size = np.array([len(x[2]) for x in held])
+        return (np.concatenate([x[2] for x in held]), np.array([x[0] for x in held]), np.array([x[1] for x in held]), np.cumsum(size) - size, size, [x[3] for x in held], [x[4] for x in held])
 
-def _packed(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
-    held, n = [], 0
-    for cols in rows:
-        held.append(cols)
-        n += len(cols[0])
-        if n >= 200_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
-            held, n = [], 0
+    for batch in batches:
+        ranges = None
+        if batch.num_columns > 2:
+            lists = batch.column(2)
+            edges, flat = lists.offsets.to_numpy(), lists.values
+            lo, hi = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            ranges = [(lo[a:b], hi[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        for i, (rid, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            codes = _codes(text)
+            for start in range(0, len(codes) - length + 1, BLOCK):
+                held.append((rid, start, codes[start : start + BLOCK + length - 1], *(ranges[i] if ranges else (None, None))))
+                n += len(held[-1][2])
+                if n >= BLOCK:
+                    yield joined()
+                    held, n = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+        yield joined()
 
 
-def _anchors(length: int, k: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for rid, text, _ in _texts(batches):
-            codes = _codes(text)
-            n = len(codes) - length + 1
-            if n <= 0:
-                continue
-            for start in range(0, n, BLOCK):
-                part = codes[start : start + BLOCK + length - 1]
-                a = run_hashes(part, k, _SEEDS[0])
-                at = window_argmin(a, length - k + 1)
-                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                last = np.r_[first[1:], len(at)] - 1
-                b = run_hashes(part, k, _SEEDS[1])[at[first]]
-                yield (a[at[first]].view(np.int64), b.view(np.int64), np.full(len(first), rid, np.int64), first + start, last + start)
+def _windows(offset: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Position in the block and piece of every run that lies within a piece."""
+    count = size - length + 1
+    piece = np.repeat(np.arange(len(size)), count)
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + offset[piece], piece
 
-    return lambda batches: _packed(rows(batches), ["h1", "h2", "rid", "lo", "hi"])
+
+def _anchors(length: int, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, rid, start, offset, size, _, _ in _blocks(batches, length):
+            pos, piece = _windows(offset, size, length)
+            a = run_hashes(codes, k, _SEEDS[0])
+            at = window_argmin(a, length - k + 1)[pos]
+            first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (piece[1:] != piece[:-1])])
+            last = np.r_[first[1:], len(at)] - 1
+            b = run_hashes(codes, k, _SEEDS[1])[at[first]]
+            own = piece[first]
+            shift = start[own] - offset[own]
+            cols = (a[at[first]].view(np.int64), b.view(np.int64), rid[own], pos[first] + shift, pos[last] + shift)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h1", "h2", "rid", "lo", "hi"])
+
+    return run
 
 
 def _runs(length: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for rid, text, ranges in _texts(batches):
-            codes = _codes(text)
-            n = len(codes) - length + 1
-            want = np.zeros(n + 1, np.int32)
-            for r in ranges:
-                want[r["lo"]] += 1
-                want[r["hi"] + 1] -= 1
-            want = np.cumsum(want[:-1]) > 0
-            for start in range(0, n, BLOCK):
-                at = np.flatnonzero(want[start : start + BLOCK])
-                if len(at):
-                    part = codes[start : start + BLOCK + length - 1]
-                    h1, h2 = (run_hashes(part, length, s)[at].view(np.int64) for s in _SEEDS)
-                    yield (h1, h2, np.full(len(at), rid, np.int64), at + start)
-
-    return lambda batches: _packed(rows(batches), ["h1", "h2", "rid", "pos"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, rid, start, offset, size, lo, hi in _blocks(batches, length):
+            pos, piece = _windows(offset, size, length)
+            many = np.array([len(x) for x in lo])
+            own = np.repeat(np.arange(len(lo)), many)
+            low = np.maximum(np.concatenate(lo) - start[own], 0)
+            high = np.minimum(np.concatenate(hi) - start[own], size[own] - length)
+            inside = low <= high  # ranges of a long text's other parts
+            want = np.zeros(len(codes) + 1, np.int32)
+            np.add.at(want, (low + offset[own])[inside], 1)
+            np.add.at(want, (high + offset[own])[inside] + 1, -1)
+            keep = (np.cumsum(want) > 0)[pos]
+            pos, piece = pos[keep], piece[keep]
+            if len(pos):
+                h1, h2 = (run_hashes(codes, length, s)[pos].view(np.int64) for s in _SEEDS)
+                cols = (h1, h2, rid[piece], pos - offset[piece] + start[piece])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h1", "h2", "rid", "pos"])
+
+    return run
 
 
 def _shared(rows: DataFrame) -> DataFrame:

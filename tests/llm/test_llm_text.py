@@ -44,6 +44,16 @@ def test_spans_against_brute_force(spark, length, anchor):
     assert sorted((r["rid"], r["span_start"], r["span_end"]) for r in got.collect()) == shared(texts, length)
 
 
+@pytest.mark.parametrize("block", [7, 16, 200])
+def test_spans_over_pieces_of_long_texts(spark, monkeypatch, block):
+    monkeypatch.setattr(P2, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    texts = {i: "".join(rng.choice(list("AC"), rng.integers(0, 90))) for i in range(12)}
+    df = spark.createDataFrame([*texts.items()], "seq_id int, seq string")
+    got = P2.shared_spans(df.repartition(2), "seq_id", "seq", 8)
+    assert sorted((r["rid"], r["span_start"], r["span_end"]) for r in got.collect()) == shared(texts, 8)
+
+
 def test_hot_span_and_long_text(spark):
     long = "".join(np.random.default_rng(0).choice(list("ACGT"), 5000))
     rows = [(i, "ACGTTGCA" * 10 + chr(0x4E00 + i)) for i in range(300)] + [(1000, long), (1001, "N" + long[1000:4000])]
