@@ -391,6 +391,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(index.scan_join(t, asked(t), 5))
 
 
+@query("range_linear_scan", range_sql(POINTS, L2, 0.2))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The same searches as `vp_range` and its kin, without an index."""
+    t = points(spark, d)
+    return _rounded(index.scan_join(t, asked(t), 0.2))
+
+
 @query("pairwise_distances", "SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name)::DOUBLE AS distance FROM nation a, nation b")
 def _(spark: SparkSession, d: str) -> DataFrame:
     t = MetricTable(spark.read.parquet(f"{d}/nation.parquet"), "n_name", "n_name", M.EDIT)
