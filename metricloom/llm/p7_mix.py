@@ -2,12 +2,16 @@
 
 Documents are counted by source and exact token length.  A source gives whole passes while its budget holds them; of the
 rest each length gives its proportional number of documents, and a bounded-knapsack dynamic program over the lengths left
-fits the remaining tokens.  Which documents of a length are taken is settled by a seeded hash.  Only the counts of lengths up
-to BUDGET of the sources in the mixes reach the driver.
+fits the remaining tokens.  If no choice of them does, it starts from all documents of the source and keeps what comes nearer.
+Which documents of a length are taken is settled by a seeded hash.  Only the counts by length of the sources in the mixes
+reach the driver.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,16 +19,15 @@ from pyspark.sql.window import Window
 from metricloom.llm.p6_tokens import token_counts
 from metricloom.llm.shared import cut, small
 
-#: Tokens that the dynamic program fits at most; also the longest document that it considers.
+#: Tokens that the dynamic program fits at first; it goes beyond them only where no documents give the exact number.
 BUDGET = 1 << 15
 SEED = 17
 #: Hash buckets in which documents of one source and length are ranked apart.
 BUCKETS = 256
 
 
-def fit_counts(rest: int, lengths: dict[int, int], budget: int = BUDGET) -> dict[int, int]:
-    """Numbers of documents by length, within the numbers at hand, whose tokens come as near to `rest` as can be without
-    exceeding it (exactly so if rest <= budget; above it the longest are taken first until it is)."""
+def _fit(rest: int, lengths: dict[int, int], budget: int) -> dict[int, int]:
+    """As `fit_counts`, exactly so only if rest <= budget; above it the longest are taken first until it is."""
     taken: dict[int, int] = {}
     have = {n: c for n, c in lengths.items() if n > 0 and c > 0}
     for n in sorted(have, reverse=True):
@@ -39,25 +42,48 @@ def fit_counts(rest: int, lengths: dict[int, int], budget: int = BUDGET) -> dict
         return taken
     full = (1 << (goal + 1)) - 1
     reach, steps = 1, []
+    first = np.zeros(goal + 1, np.int32)  # the step that reached a sum first
     for n in sorted(have):
         c = min(have[n], goal // n)
         size = 1
         while c > 0 and not reach >> goal & 1:
             part = min(size, c)
-            steps.append((n, part, reach))
-            reach |= (reach << (n * part)) & full
+            grown = reach | (reach << (n * part)) & full
+            if new := grown ^ reach:
+                bits = np.frombuffer(new.to_bytes((goal >> 3) + 1, "little"), np.uint8)
+                first[np.flatnonzero(np.unpackbits(bits, bitorder="little"))] = len(steps)
+                steps.append((n, part))
+                reach = grown
             c -= part
             size *= 2
         if reach >> goal & 1:
             break
     at = reach.bit_length() - 1
-    for n, part, before in reversed(steps):
-        if not before >> at & 1:
-            taken[n] = taken.get(n, 0) + part
-            at -= n * part
+    while at:
+        n, part = steps[first[at]]
+        taken[n] = taken.get(n, 0) + part
+        at -= n * part
     return taken
 
 
+def fit_counts(rest: int, lengths: dict[int, int], budget: int = BUDGET) -> dict[int, int]:
+    """Numbers of documents by length, within the numbers at hand, whose tokens come as near to `rest` as can be without
+    exceeding it. The longest are taken first until the dynamic program fits the last `budget` tokens; if that leaves a gap, it
+    fits ever more, all of `rest` in the end."""
+    have = {n: c for n, c in lengths.items() if 0 < n <= rest and c > 0}
+    unit = math.gcd(*have)
+    if not unit:
+        return {}
+    goal, have = rest // unit, {n // unit: c for n, c in have.items()}
+    best: dict[int, int] = {}
+    while True:
+        got = _fit(goal, have, budget)
+        best = max(best, got, key=lambda x: sum(n * c for n, c in x.items()))
+        if budget >= goal or sum(n * c for n, c in best.items()) == goal:
+            return {n * unit: c for n, c in best.items()}
+        budget *= 4
+
+
 def mix_plan(sized: DataFrame, targets: DataFrame) -> list[dict]:
     """For each row of the targets what its source has and gives: tokens, target_tokens, passes, rest, short."""
     per = {r["source"]: r["tokens"] for r in sized.where("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("tokens")).join(targets.select("source").distinct(), "source").collect()}  # a row for each target source
@@ -93,11 +119,22 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = SEED, budget: int = BU
     base = lens.join(F.broadcast(rows), "source").withColumn("take", F.floor(F.col("n") * (F.col("rest") / F.col("tokens"))))  # rows: one for each target
     base = base.withColumn("take", F.least("take", "n"))
     left = {(r["mix_id"], r["source"]): r["rest"] - r["given"] for r in base.groupBy("mix_id", "source", "rest").agg(F.sum(F.col("take") * F.col("n_tokens")).alias("given")).collect()}
-    few = base.where((F.col("rest") > 0) & (F.col("n_tokens") <= budget)).select("mix_id", "source", "n_tokens", (F.col("n") - F.col("take")).alias("spare")).collect()  # at most `budget` lengths for each target
-    spare: dict = {}
-    for r in few:
-        spare.setdefault((r["mix_id"], r["source"]), {})[r["n_tokens"]] = r["spare"]
-    extra = [(*key, n, c) for key, rest in left.items() if rest > 0 for n, c in fit_counts(rest, spare.get(key, {}), budget).items()]
+    # at most sqrt(2 * tokens) lengths for each target
+    counts = base.where("rest > 0").select("mix_id", "source", "n_tokens", "n", "take").collect()
+    have: dict = {}
+    for r in counts:
+        have.setdefault((r["mix_id"], r["source"]), {})[r["n_tokens"]] = (r["n"], r["take"])
+    extra = []
+    for key, rest in left.items():
+        if rest <= 0:
+            continue
+        more = fit_counts(rest, {n: c - t for n, (c, t) in have[key].items()}, budget)
+        if gap := rest - sum(n * c for n, c in more.items()):
+            given = sum(n * t for n, (_, t) in have[key].items())
+            anew = fit_counts(rest + given, {n: c for n, (c, _) in have[key].items()}, budget)
+            if sum(n * c for n, c in anew.items()) > rest + given - gap:
+                more = {n: anew.get(n, 0) - t for n, (_, t) in have[key].items()}
+        extra += [(*key, n, c) for n, c in more.items()]
     extra_df = spark.createDataFrame(extra, "mix_id int, source string, n_tokens bigint, extra bigint")
     takes = base.join(extra_df, ["mix_id", "source", "n_tokens"], "left").select("mix_id", "source", "n_tokens", "passes", (F.col("take") + F.coalesce("extra", F.lit(0))).alias("take")).where("passes > 0 or take > 0")
     takes, hint = small(takes)

@@ -182,6 +182,23 @@ def test_mix(spark):
     assert P7.mix(sized.limit(0), targets)[0].count() == 0
 
 
+def test_mix_of_long_texts(spark):
+    """Texts above BUDGET are placed like others, and nothing that can be reached is missed."""
+    lengths = {"long": [100_001 + 1_000 * i for i in range(10)], "pairs": [100_000, 100_000, 70_000, 70_000], "greedy": [60_000, 50_000, 50_000]}
+    sized = spark.createDataFrame([(f"{s}{i}", s, n) for s, part in lengths.items() for i, n in enumerate(part)], "doc_id string, source string, n_tokens bigint")
+    total = sum(map(sum, lengths.values()))
+    wish = {"long": 510_005, "pairs": 200_000, "greedy": 100_000}
+    targets = spark.createDataFrame([(1, s, (w + 0.5) / total, 1, 1.0) for s, w in wish.items()], "mix_id int, source string, target_share double, max_uses int, size_ratio double")
+    got = P7.mix(sized, targets)[0].toPandas()
+    assert got.doc_id.is_unique and got.groupby("source").n_tokens.sum().to_dict() == wish
+
+
+def test_fitted_counts_beyond_the_budget():
+    assert P7.fit_counts(100_000, {60_000: 1, 50_000: 2}) == {50_000: 2}
+    assert P7.fit_counts(99_999, {60_000: 1, 50_000: 2}) == {60_000: 1}
+    assert P7.fit_counts(10, {}) == P7.fit_counts(10, {11: 1}) == {}
+
+
 # -- reading levels
 
 BODY = "We looked at the plan for the week and agreed that it is good enough. Please send me the list of the rooms that you need."
