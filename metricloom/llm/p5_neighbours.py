@@ -4,10 +4,12 @@ A tree gives every row a hash string: first the branches of random-projection cu
 in the widest gap between the middle rows, so that it seldom parts similar rows), then the interleaved bits of a few random
 projections.  All rows are sorted by their strings.  A row's candidates are those with the longest common prefix: the block,
 i.e. the shortest prefix that at most `cap` rows share, and inside it the pieces of rows nearest by prefix first, ascending
-to further pieces as long as they can hold anything nearer.  So a block is searched exactly; neighbours beyond its borders
-are found in the other trees, and the trees' candidates are merged.  A table that fits one block needs one tree.
+to further pieces as long as they can hold anything nearer.  So a block is searched exactly.  Then rows ascend: where the k-th
+distance of a row reaches past its block in the first tree, the row visits the blocks beyond the cuts that it reaches.  The
+lists of all trees and visits are merged.  A table that fits one block needs one tree and no visits.
 
-Loss of accuracy: only neighbours that every tree parts from a row are missed. `recall` measures it against brute force.
+No neighbour is missed: every row nearer than the k-th found lies in the row's own block or in one that it visits. The other
+trees only bring more candidates. `recall` compares with brute force.
 """
 
 from __future__ import annotations
@@ -16,22 +18,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from metricloom.llm.shared import small, usable_rows
+from metricloom.llm.shared import usable_rows
+from metricloom.operators.durable import cut
 
 K = 5
 TREES = 2
-#: Rows that share a block's prefix, by estimate; a task holds at most a quarter more at once.
+#: Rows that share a block's prefix, by estimate; blocks above it are cut further. A task holds a block at once.
 CAP = 16_384
-#: Rows of the fitting sample: in all, and of one group. They are all that reaches the driver.
+#: Rows of the fitting sample that reach the driver: in all, and of one group. Blocks cut further are sampled where they lie,
+#: as many rows for each, and only their cuts are sent.
 SAMPLE, SAMPLE_GROUP = 32_768, 2_048
-#: Rows of a piece, the unit of pruning in a block.
-PIECE = 512
+#: Rows of a piece, the unit of pruning in a block, and pieces compared at once.
+PIECE, AT_ONCE = 512, 64
 
 
 @dataclass
@@ -45,25 +49,31 @@ class Tree:
     low: list[int] = field(default_factory=list)
     high: list[int] = field(default_factory=list)
     n_blocks: int = 0
+    coarse: list[int] = field(default_factory=list)  # blocks above the cap that the sample could not cut
     centre: np.ndarray | None = None
     bits: np.ndarray | None = None  # projections of the string's second part
     scale: float = 1.0
 
 
-def fit_tree(x: np.ndarray, n: int, cap: int, first: int, rng: np.random.Generator) -> Tree:
+def fit_tree(x: np.ndarray, n: int, cap: int, first: int, rng: np.random.Generator, centre: np.ndarray | None = None) -> Tree:
     """A tree for n rows of which x is a sample."""
     tree = Tree(first)
     dim = x.shape[1]
-    tree.centre = x.mean(0)
+    tree.centre = x.mean(0) if centre is None else centre
     z = x - tree.centre
     m = min(dim, 4)
     tree.bits = np.linalg.qr(rng.standard_normal((dim, m)))[0]
     tree.scale = float(np.abs(z @ tree.bits).std()) or 1.0
 
+    def leaf(idx: np.ndarray) -> int:
+        if n * len(idx) / len(x) > cap:
+            tree.coarse.append(first + tree.n_blocks)
+        tree.n_blocks += 1
+        return -1 - (first + tree.n_blocks - 1)
+
     def grow(idx: np.ndarray) -> int:
         if n * len(idx) / len(x) <= cap or len(idx) < 32:
-            tree.n_blocks += 1
-            return -1 - (first + tree.n_blocks - 1)
+            return leaf(idx)
         best = (0.0, None, 0.0)
         part = z[idx]
         axes = rng.standard_normal((8, dim)) * part.std(0)
@@ -85,8 +95,7 @@ def fit_tree(x: np.ndarray, n: int, cap: int, first: int, rng: np.random.Generat
             if score[i] > best[0]:
                 best = (float(score[i]), a, float((p[lo + i] + p[lo + i + 1]) / 2))
         if best[1] is None:
-            tree.n_blocks += 1
-            return -1 - (first + tree.n_blocks - 1)
+            return leaf(idx)
         node = len(tree.axis)
         tree.axis.append(best[1])
         tree.at.append(best[2])
@@ -100,6 +109,37 @@ def fit_tree(x: np.ndarray, n: int, cap: int, first: int, rng: np.random.Generat
     return tree
 
 
+def graft(tree: Tree, block: int, cuts: Tree) -> None:
+    """Puts the cuts, fitted about the tree's centre, in place of a block."""
+    at = len(tree.axis)
+    tree.low, tree.high = ([at if c == -1 - block else c for c in side] for side in (tree.low, tree.high))
+    tree.axis += cuts.axis
+    tree.at += cuts.at
+    tree.low += [c + at if c >= 0 else c for c in cuts.low]
+    tree.high += [c + at if c >= 0 else c for c in cuts.high]
+    tree.n_blocks += cuts.n_blocks - 1
+    tree.coarse += cuts.coarse
+
+
+def reached(tree: Tree, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a row's position and a block that may hold something within the row's reach, its own among them."""
+    if not tree.axis:
+        return np.arange(len(x)), np.full(len(x), tree.first, np.int64)
+    z = x - tree.centre
+    wide = reach * (1 + 1e-9) + 1e-9 * np.sqrt((z * z).sum(1))
+    held, rows, blocks = {0: np.arange(len(x))}, [], []
+    for i in range(len(tree.axis)):  # children follow their parents
+        here = held.pop(i)
+        p = z[here] @ tree.axis[i] - tree.at[i]
+        for child, part in ((tree.low[i], here[p <= wide[here]]), (tree.high[i], here[p >= -wide[here]])):
+            if child >= 0:
+                held[child] = part
+            else:
+                rows.append(part)
+                blocks.append(np.full(len(part), -1 - child, np.int64))
+    return np.concatenate(rows), np.concatenate(blocks)
+
+
 def strings(tree: Tree, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Block and second part of the hash string (60 interleaved bits) of each row."""
     z = x - tree.centre
@@ -158,10 +198,10 @@ def nearest_in_block(ids: np.ndarray, x: np.ndarray, k: int, piece: int = PIECE)
         cand_d = np.empty(0)
         while at < len(order):
             limit = bound.max()
-            take = order[at : at + 2] if at == 0 else order[at:][gap[order[at:]] <= limit]
+            take = order[at : at + 2] if at == 0 else order[at : at + AT_ONCE][gap[order[at : at + AT_ONCE]] <= limit]
             if not len(take):
                 break
-            at = at + 2 if at == 0 else len(order)
+            at += len(take)
             cols = np.concatenate([parts[j] for j in take])
             y = x[cols] - centres[i]
             # squared distances less the row's own norm, in one product
@@ -196,6 +236,76 @@ def nearest_in_block(ids: np.ndarray, x: np.ndarray, k: int, piece: int = PIECE)
     return r[o], c[o], d[o]
 
 
+def visit(ids: np.ndarray, x: np.ndarray, own: np.ndarray, y: np.ndarray, reach: np.ndarray, k: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `nearest_in_block`, for rows y of ids `own` among the rows x: the k nearest that lie within each one's reach."""
+    parts = _pieces(x, piece)
+    centres = np.stack([x[p].mean(0) for p in parts])
+    radius = np.array([np.sqrt(((x[p] - c) ** 2).sum(1).max()) for p, c in zip(parts, centres, strict=True)])
+    rows, nbrs, dist = [], [], []
+    for lo in range(0, len(y), piece):
+        z, bound = y[lo : lo + piece], reach[lo : lo + piece].copy()
+        far = np.stack([np.sqrt(((z - c) ** 2).sum(1)) for c in centres], axis=1)
+        gap = far - radius - 1e-9 * (far + radius)
+        cand_r, cand_c, cand_d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for j in np.argsort(gap.min(0), kind="stable"):
+            some = np.flatnonzero(gap[:, j] <= bound)
+            if not len(some):
+                continue
+            a, b = z[some] - centres[j], x[parts[j]] - centres[j]
+            norms = (a * a).sum(1)[:, None] + (b * b).sum(1)
+            r, c = np.nonzero(norms - 2 * a @ b.T <= (bound[some] ** 2 * (1 + 1e-9))[:, None] + 1e-9 * norms)
+            r, c = some[r], parts[j][c]
+            d = np.sqrt(((z[r] - x[c]) ** 2).sum(1))
+            keep = (d <= bound[r]) & (ids[c] != own[lo + r])
+            if not keep.any():
+                continue
+            cand_r, cand_c, cand_d = np.concatenate([cand_r, r[keep]]), np.concatenate([cand_c, c[keep]]), np.concatenate([cand_d, d[keep]])
+            o = np.lexsort((ids[cand_c], cand_d, cand_r))
+            cand_r, cand_c, cand_d = cand_r[o], cand_c[o], cand_d[o]
+            keep = np.arange(len(cand_r)) - np.searchsorted(cand_r, np.arange(len(z)))[cand_r] < k
+            cand_r, cand_c, cand_d = cand_r[keep], cand_c[keep], cand_d[keep]
+            count = np.bincount(cand_r, minlength=len(z))
+            full = count == k
+            bound[full] = np.minimum(bound[full], cand_d[np.cumsum(count)[full] - 1])
+        rows.append(lo + cand_r)
+        nbrs.append(cand_c)
+        dist.append(cand_d)
+    return np.concatenate(rows), np.concatenate(nbrs), np.concatenate(dist)
+
+
+class Held:
+    """The rows of a block, which come in the order of their ids within equal vectors; of these only the first k + 1 are held,
+    as they are all that can be neighbours. An id counts once."""
+
+    def __init__(self, k: int, most: int) -> None:
+        self.k, self.most, self.limit = k, most, most
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n, self.last = 0, None
+
+    def add(self, h: np.ndarray, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Takes rows; returns those that it lets go: hashes, ids and the ids of their k neighbours."""
+        once = np.r_[self.last is None or ids[0] != self.last, ids[1:] != ids[:-1]]
+        self.last = ids[-1]
+        self.parts.append((h[once], ids[once], x[once]))
+        self.n += int(once.sum())
+        if self.n < self.limit:
+            return None
+        h, ids, x = self.rows()
+        o = np.argsort(h, kind="stable")
+        start = np.flatnonzero(np.r_[True, h[o][1:] != h[o][:-1]])
+        begin = np.repeat(start, np.diff(np.r_[start, len(o)]))
+        spare = np.arange(len(o)) - begin > self.k
+        out = (h[o[spare]], ids[o[spare]], ids[o[begin[spare][:, None] + np.arange(self.k)]])
+        keep = np.sort(o[~spare])
+        self.parts, self.n = [(h[keep], ids[keep], x[keep])], len(keep)
+        self.limit = max(self.most, 2 * self.n)
+        return out if spare.any() else None
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, ids, x = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
+        return h, ids, x
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """List column of equal lengths as a matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -219,60 +329,115 @@ def _assign(sent):
     return run
 
 
-def _search(k: int, cap: int, piece: int):
-    """Over rows sorted by block, code and id."""
-    most = cap + cap // 4
+def _lists(g: int, h: np.ndarray, ids: np.ndarray, count: np.ndarray, d: np.ndarray, near: np.ndarray, **visits: pa.Array) -> pa.RecordBatch:
+    n = len(ids)
+    offsets = pa.array(np.r_[0, np.cumsum(count)].astype(np.int32))
+    lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(d), pa.array(near)], ["d", "id"]))
+    empty = {"block": pa.nulls(n, pa.int64()), "vec": pa.nulls(n, pa.list_(pa.float64())), "reach": pa.nulls(n, pa.float64())}
+    columns = {"grp": pa.array(np.full(n, g, np.int32)), "id": pa.array(ids), "h": pa.array(h), "near": lists} | empty | visits
+    return pa.RecordBatch.from_pydict(columns)
+
+
+LISTS = "grp int, id bigint, h bigint, near array<struct<d:double,id:bigint>>, block bigint, vec array<double>, reach double"
+
+
+def _vectors(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.ravel()))
 
-    def lists(g: int, h: np.ndarray, ids: np.ndarray, x: np.ndarray, skip: int) -> pa.RecordBatch:
-        r, c, d = nearest_in_block(ids, x, k, piece)
-        if skip:  # rows of the chunk before serve as candidates only
-            keep = r >= skip
-            r, c, d = r[keep], c[keep], d[keep]
-        offsets = np.r_[0, np.cumsum(np.bincount(r - skip, minlength=len(ids) - skip))].astype(np.int32)
-        near = pa.StructArray.from_arrays([pa.array(d), pa.array(ids[c])], ["d", "id"])
-        n = len(ids) - skip
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, g, np.int32)), pa.array(ids[skip:]), pa.array(h[skip:]), pa.ListArray.from_arrays(pa.array(offsets), near)], ["grp", "id", "h", "near"])
+
+def _search(sent, k: int, cap: int, piece: int, within: dict[int, float] | None):
+    """Lists over rows sorted by block, code and id, and after them the visits to other blocks of the first tree: a row for
+    each, with the block, the vector and its reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, g, held, n, before = None, 0, [], 0, None
+        forest = cloudpickle.loads(sent.value)
+        firsts = {g: {*(-1 - c for c in [*trees[0].low, *trees[0].high] if c < 0)} for g, trees in forest.items()}
+        block, g, held = None, 0, Held(k, cap)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, n, before
-            h, ids, x = (np.concatenate([p[i] for p in held]) for i in range(3))
-            held, n = [], 0
-            once = np.r_[True, ids[1:] != ids[:-1]]
-            if before is not None and len(before[1]) and before[1][-1] == ids[0]:
-                once[0] = False
-            h, ids, x = h[once], ids[once], x[once]
-            skip = 0
-            if before is not None:
-                skip = len(before[1])
-                h, ids, x = (np.concatenate([a, b]) for a, b in zip(before, (h, ids, x), strict=True))
-            if len(ids) > skip:
-                yield lists(g, h, ids, x, skip)
-            before = (h[-2 * k :], ids[-2 * k :], x[-2 * k :])
+            h, ids, x = held.rows()
+            r, c, d = nearest_in_block(ids, x, k, piece)
+            count = np.bincount(r, minlength=len(ids))
+            yield _lists(g, h, ids, count, d, ids[c])
+            if block not in firsts[g]:  # of another tree, or the only one
+                return
+            reach = np.full(len(ids), np.inf)
+            reach[count == k] = d[np.cumsum(count)[count == k] - 1]
+            if within is not None:
+                reach = np.minimum(reach, within.get(g, 0.0))
+            for lo in range(0, len(ids), 4 * piece):
+                at, other = reached(forest[g][0], x[lo : lo + 4 * piece], reach[lo : lo + 4 * piece])
+                at, other = lo + at[other != block], other[other != block]
+                for i in range(0, len(at), 16 * piece):
+                    j = at[i : i + 16 * piece]
+                    none = np.zeros(len(j), np.int64)
+                    yield _lists(g, h[j], ids[j], none, np.empty(0), none[:0], block=pa.array(other[i : i + 16 * piece]), vec=_vectors(x[j]), reach=pa.array(reach[j]))
 
         for batch in batches:
             b = batch.column(0).to_numpy()
             for lo, hi in zip(edges := np.r_[0, np.flatnonzero(b[1:] != b[:-1]) + 1], np.r_[edges[1:], len(b)], strict=True):
                 if b[lo] != block:
-                    if n:
+                    if held.n:
                         yield from flush()
-                    block, before = b[lo], None
+                    block, held = b[lo], Held(k, cap)
                 part = batch.slice(lo, hi - lo)
                 g = part.column(2)[0].as_py()
-                held.append((part.column(5).to_numpy(), part.column(3).to_numpy(), _matrix(part.column(4))))
-                n += hi - lo
-                if n >= most:
-                    yield from flush()
-        if n:
+                if out := held.add(part.column(5).to_numpy(), part.column(3).to_numpy(), _matrix(part.column(4))):
+                    h, ids, near = out
+                    yield _lists(g, h, ids, np.full(len(ids), k), np.zeros(near.size), near.ravel())
+        if held.n:
             yield from flush()
 
     return run
 
 
+def _visited(sent, far: dict[int, float]):
+    """The rows that a visit can reach, with their block in the first tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = cloudpickle.loads(sent.value)
+        for batch in batches:
+            group = batch.column(0).to_numpy()
+            for g in far.keys() & {*np.unique(group).tolist()}:
+                part = batch.filter(pa.array(group == g))
+                x = _matrix(part.column(2))
+                at, _ = reached(forest[g][0], x, np.full(len(x), far[g]))
+                some = np.flatnonzero(np.bincount(at, minlength=len(x)) > 1)
+                part, (block, _) = part.take(pa.array(some)), strings(forest[g][0], x[some])
+                n = len(some)
+                yield pa.RecordBatch.from_arrays([pa.array(block), *part.columns, pa.nulls(n, pa.float64())], ["block", *part.schema.names, "reach"])
+
+    return run
+
+
+def _visits(k: int, cap: int, piece: int):
+    """Lists of the visits, over rows sorted by block, reach (members have none and come first) and id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, Held(k, cap)
+        for batch in batches:
+            b, member = batch.column(0).to_numpy(), batch.column(5).is_null().to_numpy(zero_copy_only=False)
+            for lo, hi in zip(edges := np.r_[0, np.flatnonzero((b[1:] != b[:-1]) | (member[1:] != member[:-1])) + 1], np.r_[edges[1:], len(b)], strict=True):
+                if b[lo] != block:
+                    block, held = b[lo], Held(k, cap)
+                part = batch.slice(lo, hi - lo)
+                h, ids, x = part.column(4).to_numpy(), part.column(2).to_numpy(), _matrix(part.column(3))
+                if member[lo]:
+                    held.add(h, ids, x)
+                elif held.n:
+                    _, others, y = held.parts[0] = held.rows()
+                    del held.parts[1:]
+                    r, c, d = visit(others, y, ids, x, part.column(5).to_numpy(), k, piece)
+                    count = np.bincount(r, minlength=len(ids))
+                    some = np.flatnonzero(count)
+                    yield _lists(part.column(1)[0].as_py(), h[some], ids[some], count[some], d, others[c])
+
+    return run
+
+
 def fit_forest(rows: DataFrame, trees: int, cap: int, seed: int) -> tuple[dict[int, list[Tree]], int]:
-    """Trees of each group by a sample of at most SAMPLE rows, and the number of blocks."""
+    """Trees of each group, and the number of blocks: cut by a sample of at most SAMPLE rows, then each block above the cap by
+    one of its own until none is left that can be cut."""
     counts = {r["grp"]: r["n"] for r in rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each group
     if not counts:
         return {}, 0
@@ -291,43 +456,77 @@ def fit_forest(rows: DataFrame, trees: int, cap: int, seed: int) -> tuple[dict[i
                 break
     for g in counts.keys() - forest.keys():  # a small group of which no row was drawn
         raise ValueError(f"no sample of group {g}")
+    while coarse := {b: (g, t) for g, trees_ in forest.items() for t, tree in enumerate(trees_) for b in tree.coarse}:
+        sent = rows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(forest))
+        placed = _placed(rows, sent).where(F.col("block").isin(list(coarse)))  # at most one for some 500 rows of the sample of its tree
+        # copies count once, as only a few of them are held
+        sizes = {r["block"]: r["n"] for r in placed.groupBy("block").agg(F.approx_count_distinct("h").alias("n")).collect()}
+        share = F.create_map(*[F.lit(v) for b, n in sizes.items() for v in (b, min(1.0, SAMPLE_GROUP / n))])[F.col("block")]
+        part = placed.where(F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30)).groupBy("block", "h").agg(F.first("vec").alias("vec"))
+        cuts = {r["block"]: cloudpickle.loads(bytes(r["cuts"])) for r in part.groupBy("block").applyInPandas(_refit(sent, sizes, coarse, cap, seed), "block bigint, cuts binary").collect()}
+        for trees_ in forest.values():
+            for tree in trees_:
+                tree.coarse = []
+        for b, sub in sorted(cuts.items()):
+            if sub.n_blocks > 1:
+                g, t = coarse[b]
+                sub.low, sub.high = ([c if c >= 0 else c - blocks for c in side] for side in (sub.low, sub.high))
+                sub.coarse = [c + blocks for c in sub.coarse]
+                graft(forest[g][t], b, sub)
+                blocks += sub.n_blocks
     return forest, blocks
 
 
+def _refit(sent, sizes: dict[int, int], coarse: dict[int, tuple[int, int]], cap: int, seed: int):
+    """Cuts of a block by its sample; its blocks are numbered from 0."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        b = int(part["block"].iloc[0])
+        g, t = coarse[b]
+        x = np.stack(part.sort_values("h")["vec"].to_numpy()) + 0.0
+        tree = fit_tree(x, sizes[b], cap, 0, np.random.default_rng([seed, g, t, b]), cloudpickle.loads(sent.value)[g][t].centre)
+        return pd.DataFrame({"block": [b], "cuts": [cloudpickle.dumps(tree)]})
+
+    return run
+
+
+def _placed(rows: DataFrame, sent) -> DataFrame:
+    return _hashed(rows).mapInArrow(_assign(sent), "block bigint, code bigint, grp int, id bigint, vec array<double>, h bigint")
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("h", F.xxhash64(F.transform("vec", lambda x: x + 0.0)))
+
+
 def nearest(
-    df: DataFrame, group_col: str, id_col: str, vec_col: str, k: int = K, trees: int = TREES, cap: int = CAP, seed: int = 11, piece: int = PIECE
+    df: DataFrame, group_col: str, id_col: str, vec_col: str, k: int = K, trees: int = TREES, cap: int = CAP, seed: int = 11, piece: int = PIECE, within: dict[int, float] | None = None
 ) -> DataFrame:
     """(grp, id, near): for every row the k nearest other rows of its group by Euclidean distance, near an array of (d, id)
     in ascending order; ties go to the smaller id. Groups and ids are integers.
 
     All vectors of a group have the same length and are finite (see `usable_rows`). An id counts once. Equal vectors of
     different ids are neighbours at distance 0. A row of a group with fewer than k others has a shorter list. An empty
-    table gives an empty result. trees: more of them lose less; cap: rows that are searched exactly together.
+    table gives an empty result. cap: rows that are searched together; within: a radius for each group beyond which neighbours
+    may be missing or others stand in their place (groups without one: 0), which saves visits.
     """
     spark = df.sparkSession
     rows = df.select(F.col(group_col).cast("int").alias("grp"), F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec")).where("grp is not null and id is not null and vec is not null")
     forest, blocks = fit_forest(rows, trees, cap, seed)
-    sent = spark.sparkContext.broadcast(cloudpickle.dumps(forest))  # cuts found in at most SAMPLE rows
-    placed = rows.withColumn("h", F.xxhash64(F.transform("vec", lambda x: x + 0.0))).mapInArrow(_assign(sent), "block bigint, code bigint, grp int, id bigint, vec array<double>, h bigint")
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(forest))  # cuts: one for each block
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * blocks, 4000))
-    lists = placed.repartition(parts, "block").sortWithinPartitions("block", "code", "id").mapInArrow(_search(k, cap, piece), "grp int, id bigint, h bigint, near array<struct<d:double,id:bigint>>")
-    if any(len(t) > 1 for t in forest.values()):  # a list of k from each tree
-        every = F.array_distinct(F.flatten(F.collect_list("near")))
-        lists = lists.groupBy("grp", "id").agg(F.first("h").alias("h"), F.slice(F.array_sort(every), 1, k).alias("near"))
-    return _copies(lists, k)
-
-
-def _copies(merged: DataFrame, k: int) -> DataFrame:
-    """Rows with k or more copies: their neighbours are the copies with the smallest ids, wherever blocks ended."""
-    merged, _ = small(merged)
-    is_copy = F.coalesce(F.try_element_at("near", F.lit(-1))["d"] == 0, F.lit(False)) & (F.size("near") == k)
-    w = Window.partitionBy("grp", "h").orderBy("id")
-    heads = merged.where(is_copy).select("grp", "h", "id").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1)
-    heads, hint = small(heads.groupBy("grp", "h").agg(F.sort_array(F.collect_list("id")).alias("heads")))  # k + 1 ids at most
-    fixed = merged.where(is_copy).join(hint(heads), ["grp", "h"])
-    own = F.slice(F.filter("heads", lambda x: x != F.col("id")), 1, k)
-    fixed = fixed.select("grp", "id", F.transform(own, lambda x: F.struct(F.lit(0.0).alias("d"), x.alias("id"))).alias("near"))
-    return merged.where(~is_copy).select("grp", "id", "near").unionByName(fixed)
+    found = _placed(rows, sent).repartition(parts, "block").sortWithinPartitions("block", "code", "id").mapInArrow(_search(sent, k, cap, piece, within), LISTS)
+    if all(len(t) == 1 and t[0].n_blocks == 1 for t in forest.values()):
+        return found.select("grp", "id", "near")
+    found = cut(found)
+    lists = found.where("block is null")
+    far = {r["grp"]: r["far"] for r in found.where("block is not null").groupBy("grp").agg(F.max("reach").alias("far")).collect()}  # a row for each group
+    if far:
+        visitors = found.where("block is not null").select("block", "grp", "id", "vec", "h", "reach")
+        members = _hashed(rows).mapInArrow(_visited(sent, far), "block bigint, grp int, id bigint, vec array<double>, h bigint, reach double")
+        both = members.unionByName(visitors).repartition(parts, "block").sortWithinPartitions("block", F.col("reach").isNotNull(), "id")
+        lists = lists.unionByName(both.mapInArrow(_visits(k, cap, piece), LISTS))
+    every = F.array_distinct(F.flatten(F.collect_list("near")))  # a list of k from each tree and visit
+    return lists.groupBy("grp", "id").agg(F.slice(F.array_sort(every), 1, k).alias("near"))
 
 
 def recall(df: DataFrame, group_col: str, id_col: str, vec_col: str, found: DataFrame, queries: float = 0.05, seed: int = 3) -> float:
@@ -357,7 +556,8 @@ def q_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 def q_found(spark: SparkSession, d: str) -> DataFrame:
     heads = spark.read.parquet(f"{d}/matrix_headers.parquet").select(F.col("matrix_id").alias("grp"), "similar_within")
-    near = nearest(usable_rows(spark, d), "matrix_id", "row_id", "elements")
+    within = {r["grp"]: r["similar_within"] for r in heads.where("grp is not null and similar_within is not null").collect()}  # a row for each matrix
+    near = nearest(usable_rows(spark, d), "matrix_id", "row_id", "elements", within=within)
     pairs = near.select("grp", "id", F.explode("near").alias("n")).join(heads, "grp").where("n.d <= similar_within")
     return pairs.select(F.least("id", "n.id").alias("row_id_a"), F.greatest("id", "n.id").alias("row_id_b")).distinct()
 

@@ -188,6 +188,36 @@ def test_nearest_over_many_blocks_keeps_recall(spark):
     assert P5.recall(df, "m", "row", "e", got, 0.1) >= 0.9
 
 
+def test_nearest_leaves_its_block(spark):
+    x = np.random.default_rng(1).normal(size=(1500, 4))
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(x.tolist())], "m int, row int, e array<double>")
+    want = neighbours(np.arange(1500), x, 5)
+    for trees in (1, 2):
+        got = {r["id"]: [(n["d"], n["id"]) for n in r["near"]] for r in P5.nearest(df, "m", "row", "e", 5, trees=trees, cap=300, piece=64).collect()}
+        assert got == want
+    got = {r["id"]: [(n["d"], n["id"]) for n in r["near"] if n["d"] <= 0.3] for r in P5.nearest(df, "m", "row", "e", 5, cap=300, within={1: 0.3}).collect()}
+    assert got == {i: [n for n in v if n[0].expected <= 0.3] for i, v in want.items()}
+
+
+def test_blocks_above_the_cap_are_cut_further(spark, monkeypatch):
+    monkeypatch.setattr(P5, "SAMPLE_GROUP", 64)
+    x = np.concatenate([np.random.default_rng(2).normal(size=(1500, 3)), np.ones((500, 3))])
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(x.tolist())], "m int, row int, e array<double>")
+    forest, blocks = P5.fit_forest(df.selectExpr("m grp", "cast(row as bigint) id", "e vec"), 2, 100, 11)
+    for tree in forest[1]:
+        block, _ = P5.strings(tree, x[:1500])
+        assert np.bincount(block).max() <= 200 and tree.n_blocks <= blocks
+    got = {r["id"]: [n["id"] for n in r["near"]] for r in P5.nearest(df, "m", "row", "e", 5, cap=100, piece=64).collect()}
+    assert got == {i: [j for _, j in v] for i, v in neighbours(np.arange(len(x)), x, 5).items()}
+
+
+def test_recall_over_several_blocks_with_the_registered_parameters(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(30_000, 8)), rng.normal(3, 0.1, (15_000, 8))])
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(x.tolist())], "m int, row int, e array<double>")
+    assert P5.recall(df, "m", "row", "e", P5.nearest(df, "m", "row", "e"), 0.02) == 1.0
+
+
 def test_nearest_with_many_copies(spark):
     rows = [(1, i, [1.0, 2.0] if i % 3 == 0 else [float(i), 0.0 if i % 2 else -0.0]) for i in range(120)]
     df = spark.createDataFrame(rows, "m int, row int, e array<double>")
