@@ -67,6 +67,26 @@ def _ordered(df: DataFrame, column: str) -> DataFrame:
     return cut(x.repartitionByRange("x").sortWithinPartitions("x").withColumn("part", F.spark_partition_id()))
 
 
+def exclusion_curve(df: DataFrame, column: str, reach: float, steps: int = 19) -> DataFrame:
+    """(cut, excluded) at each of evenly spaced quantiles of all rows: the expected share of rows that a query at a row's place
+    leaves out, if its ball covers `reach` to both sides of the cut. Quantiles are of the nearest rank, halves up."""
+    ordered = _ordered(df, column)
+    before, at = {}, 0
+    for r in ordered.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row for each part
+        before[r["part"]], at = at, at + r["n"]
+    if not at:
+        return df.sparkSession.createDataFrame([], "cut double, excluded double")
+    ranks = [(k * (at - 1) * 2 + steps + 1) // (2 * (steps + 1)) for k in range(1, steps + 1)]
+    start = F.create_map(*[F.lit(v) for part, n in before.items() for v in (part, n)])[F.col("part")]
+    upto = ordered.withColumn("to", start + F.sum("n").over(Window.partitionBy("part").orderBy("x")))
+    cuts = sorted(r["x"] for r in upto.select("x", F.explode(F.array(*map(F.lit, ranks))).alias("rank"), "to", "n").where("rank < to and rank >= to - n").collect())  # `steps` rows
+    x, n = F.col("x"), F.col("n")
+    sums = [F.sum(F.when(c, n).otherwise(0)) for t in cuts for c in (x < t, x + reach < t, x - reach >= t)]
+    got = [v / at for v in ordered.agg(*sums).first()]
+    curve = [(t, left * (1 - low) + right * low) for t, low, left, right in zip(cuts, got[::3], got[1::3], got[2::3], strict=True)]
+    return df.sparkSession.createDataFrame(curve, "cut double, excluded double")
+
+
 def max_gap(df: DataFrame, column: str) -> tuple[float, float] | None:
     """(threshold, gap): the middle of the widest gap between neighbouring values, the first of equals; None without two
     distinct values. Parts are scanned apart, only their ends meet on the driver."""

@@ -421,11 +421,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(r, ix.root_neighbourhood(r)) for r in (0.5, 1.5, 5.0)], "radius double, n bigint")
 
 
-@query("exclusion_curve")
+@query(
+    "exclusion_curve",
+    f"""WITH {PARTS}, s AS (SELECT list_distance(v, (SELECT v FROM x WHERE id = 1)) AS s FROM x), o AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS r, count(*) OVER () AS n FROM s WHERE s IS NOT NULL),
+c AS (SELECT o.s AS cut FROM range(1, 20) k(k) JOIN o ON o.r = (k * (n - 1) + 10) // 20),
+e AS (SELECT cut, avg((s < cut)::INT) AS low, avg((s + 1.5 < cut)::INT) AS left_of, avg((s - 1.5 >= cut)::INT) AS right_of FROM (SELECT row_number() OVER () AS i, cut FROM c), o GROUP BY i, cut)
+SELECT round(cut, 9) AS cut, round(left_of * (1 - low) + right_of * low, 9) AS excluded FROM e""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     t = parts(spark, d)
-    xs = learn.coordinates(t, pivots.fixed(t, [1, 2]))
-    return spark.createDataFrame(learn.exclusion_curve(xs[:, 0], 1.5), "cut double, excluded double")
+    got = stats.exclusion_curve(pivots.embed(t, pivots.fixed(t, [1])), "pd0", 1.5)
+    return got.select(F.round("cut", 9).alias("cut"), F.round("excluded", 9).alias("excluded"))
 
 
 # -- clustering -------------------------------------------------------------------------------------------------------

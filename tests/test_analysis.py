@@ -195,3 +195,12 @@ def test_streams(spark, data):
 
     stream = match.read_stream(spark, data, "query_points")
     assert match.run_available(stream).count() == spark.read.parquet(f"{data}/query_points.parquet").count()
+
+
+def test_exclusion_curve_of_all_rows(spark):
+    x = np.random.default_rng(4).normal(size=3000).round(2)  # more rows than a sample holds, many of them equal
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "s double")
+    got = [tuple(r) for r in stats.exclusion_curve(df, "s", 0.2).collect()]
+    cuts = np.sort(x)[[(k * 2999 + 10) // 20 for k in range(1, 20)]]
+    assert got == [(c, pytest.approx(learn.excluded(x, c, np.full(len(x), 0.2)))) for c in cuts]
+    assert stats.exclusion_curve(df.limit(0), "s", 0.2).count() == 0
