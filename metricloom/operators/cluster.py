@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -68,13 +69,16 @@ def neighbours(index: CellIndex, eps: float) -> DataFrame:
     return index.range_join(index.table.rows().withColumnRenamed("id", "query_id"), eps).where("query_id <> id").select("query_id", "id")
 
 
-def dbscan(index: CellIndex, eps: float, min_samples: int, rounds: int = 100) -> DataFrame:
+def dbscan(index: CellIndex, eps: float, min_samples: int, rounds: int | None = None) -> DataFrame:
     """(id, cluster): -1 for noise, else the smallest id of a core row of the cluster. A core row has at least min_samples
-    other rows within eps; a border row goes with the smallest label among its core neighbours."""
+    other rows within eps; a border row goes with the smallest label among its core neighbours. It ends when no label changes,
+    and raises if that takes more than `rounds`, if given."""
     pairs = neighbours(index, eps)
     core = cut(pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select(F.col("query_id").alias("id")))
     label = core.withColumn("label", F.col("id"))
-    for _ in range(rounds):
+    for i in count():
+        if i == rounds:
+            raise RuntimeError(f"labels still change after {rounds} rounds")
         near = pairs.join(label, "id").groupBy("query_id").agg(F.min("label").alias("m")).withColumnRenamed("query_id", "id")
         step = label.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("m", "label")).alias("new"))
         # a label's own label is nearer to the smallest of its component

@@ -475,7 +475,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("cluster_pipeline")
 def _(spark: SparkSession, d: str) -> DataFrame:
     t = emb(spark, d)
-    return cluster.cluster_pipeline(t, pivots.select_pivots(t, 3), "kmeans", 5, rounds=20).select("id", "cluster")
+    return cluster.cluster_pipeline(t, pivots.select_pivots(t, 3), "kmeans", 5).select("id", "cluster")
 
 
 EPS, MIN_SAMPLES = 0.03, 4

@@ -82,6 +82,14 @@ def test_dbscan(ix):
     assert cluster.dbscan(ix, 1e-9, 1).where("cluster <> -1").count() == 0
 
 
+def test_dbscan_does_not_return_unfinished_labels(spark):
+    df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(12)], "id int, v array<double>")  # a chain
+    chain = index.build(MetricTable(df, "id", "v", M.fixed_metric("l2", 2)), "vp", 1, 2)
+    assert {r["cluster"] for r in cluster.dbscan(chain, 1.0, 1).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        cluster.dbscan(chain, 1.0, 1, rounds=1)
+
+
 def test_birch_finds_separate_clusters(table):
     got, centres = cluster.birch(table.rows(), 3, threshold=0.3, branching=5)
     by = {}
