@@ -1,15 +1,18 @@
 """The k most similar vectors of every vector: a hash-prefix forest.
 
-A tree gives every row a hash string: first the branches of random-projection cuts fitted on a bounded sample (each cut lies
-in the widest gap between the middle rows, so that it seldom parts similar rows), then the interleaved bits of a few random
-projections.  All rows are sorted by their strings.  A row's candidates are those with the longest common prefix: the block,
-i.e. the shortest prefix that at most `cap` rows share, and inside it the pieces of rows nearest by prefix first, ascending
-to further pieces as long as they can hold anything nearer.  So a block is searched exactly.  Then rows ascend: where the k-th
-distance of a row reaches past its block in the first tree, the row visits the blocks beyond the cuts that it reaches.  The
-lists of all trees and visits are merged.  A table that fits one block needs one tree and no visits.
-
-No neighbour is missed: every row nearer than the k-th found lies in the row's own block or in one that it visits. The other
-trees only bring more candidates. `recall` compares with brute force.
+The first part of a row's hash strings is common to all trees: the branches of random-projection cuts, each in the widest gap
+between the middle rows of a sample, so that it seldom parts similar rows.  The rows behind each prefix are counted over the
+whole table, and prefixes with too many rows get longer by further cuts, so one shuffle brings the rows of a prefix, a block,
+together.  In a block every tree adds a long string of its own, one bit for each of BITS random projections, and sorts them.
+
+A row descends in each tree to its longest prefix match, an interval of the sorted array, and ascends in all trees together,
+bit by bit, until the intervals hold enough candidates; these give its first list.  A cut that lies nearer to the row than its
+k-th distance may hide a neighbour, so a row ascends further, in the tree where that takes the fewest rows, to the prefix
+whose cuts are all farther off, and its list is made anew from that interval.  Where even the cuts of the block are nearer,
+the row visits the blocks beyond them.
+
+No neighbour is missed: every row nearer than the k-th found shares the prefix that was searched or lies in a block that was
+visited. `recall` compares with brute force.
 """
 
 from __future__ import annotations
@@ -28,20 +31,22 @@ from metricloom.llm.shared import usable_rows
 from metricloom.operators.durable import cut
 
 K = 5
-TREES = 2
-#: Rows that share a block's prefix, by estimate; blocks above it are cut further. A task holds a block at once.
+#: Trees, bits of a tree's own string, and candidates at which the common ascent ends.
+TREES, BITS, CANDIDATES = 4, 48, 1_024
+#: Rows that share a block's prefix; blocks a quarter above it are cut further. A task holds a block at once.
 CAP = 16_384
-#: Rows of the fitting sample that reach the driver: in all, and of one group. Blocks cut further are sampled where they lie,
-#: as many rows for each, and only their cuts are sent.
-SAMPLE, SAMPLE_GROUP = 32_768, 2_048
-#: Rows of a piece, the unit of pruning in a block, and pieces compared at once.
-PIECE, AT_ONCE = 512, 64
+#: Rows of a block that its cuts are fitted on. They are drawn and cut where they lie; only the cuts reach the driver.
+SAMPLE = 4_096
+#: Rows of a piece, the unit of pruning in a visited block, and entries of a distance matrix.
+PIECE, ENTRIES = 512, 1 << 20
+#: Block of the first group that needs no cuts, less its number.
+WHOLE = 1 << 40
 
 
 @dataclass
 class Tree:
-    """Cuts of one group in one tree. Node i sends x to `low[i]` if x @ axis[i] <= at[i], else to `high[i]`; a negative child
-    -1 - b is block b. Without nodes there is block `first` alone."""
+    """Cuts of one group. Node i sends x to `low[i]` if x @ axis[i] <= at[i], else to `high[i]`; a negative child -1 - b is
+    block b. Without nodes there is block `first` alone."""
 
     first: int
     axis: list[np.ndarray] = field(default_factory=list)
@@ -49,10 +54,7 @@ class Tree:
     low: list[int] = field(default_factory=list)
     high: list[int] = field(default_factory=list)
     n_blocks: int = 0
-    coarse: list[int] = field(default_factory=list)  # blocks above the cap that the sample could not cut
     centre: np.ndarray | None = None
-    bits: np.ndarray | None = None  # projections of the string's second part
-    scale: float = 1.0
 
 
 def fit_tree(x: np.ndarray, n: int, cap: int, first: int, rng: np.random.Generator, centre: np.ndarray | None = None) -> Tree:
@@ -61,19 +63,14 @@ def fit_tree(x: np.ndarray, n: int, cap: int, first: int, rng: np.random.Generat
     dim = x.shape[1]
     tree.centre = x.mean(0) if centre is None else centre
     z = x - tree.centre
-    m = min(dim, 4)
-    tree.bits = np.linalg.qr(rng.standard_normal((dim, m)))[0]
-    tree.scale = float(np.abs(z @ tree.bits).std()) or 1.0
 
-    def leaf(idx: np.ndarray) -> int:
-        if n * len(idx) / len(x) > cap:
-            tree.coarse.append(first + tree.n_blocks)
+    def leaf() -> int:
         tree.n_blocks += 1
         return -1 - (first + tree.n_blocks - 1)
 
     def grow(idx: np.ndarray) -> int:
         if n * len(idx) / len(x) <= cap or len(idx) < 32:
-            return leaf(idx)
+            return leaf()
         best = (0.0, None, 0.0)
         part = z[idx]
         axes = rng.standard_normal((8, dim)) * part.std(0)
@@ -95,7 +92,7 @@ def fit_tree(x: np.ndarray, n: int, cap: int, first: int, rng: np.random.Generat
             if score[i] > best[0]:
                 best = (float(score[i]), a, float((p[lo + i] + p[lo + i + 1]) / 2))
         if best[1] is None:
-            return leaf(idx)
+            return leaf()
         node = len(tree.axis)
         tree.axis.append(best[1])
         tree.at.append(best[2])
@@ -110,7 +107,7 @@ def fit_tree(x: np.ndarray, n: int, cap: int, first: int, rng: np.random.Generat
 
 
 def graft(tree: Tree, block: int, cuts: Tree) -> None:
-    """Puts the cuts, fitted about the tree's centre, in place of a block."""
+    """Puts the cuts, fitted about the tree's centre if it has one, in place of a block."""
     at = len(tree.axis)
     tree.low, tree.high = ([at if c == -1 - block else c for c in side] for side in (tree.low, tree.high))
     tree.axis += cuts.axis
@@ -118,7 +115,7 @@ def graft(tree: Tree, block: int, cuts: Tree) -> None:
     tree.low += [c + at if c >= 0 else c for c in cuts.low]
     tree.high += [c + at if c >= 0 else c for c in cuts.high]
     tree.n_blocks += cuts.n_blocks - 1
-    tree.coarse += cuts.coarse
+    tree.centre = cuts.centre
 
 
 def reached(tree: Tree, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,26 +137,144 @@ def reached(tree: Tree, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, n
     return np.concatenate(rows), np.concatenate(blocks)
 
 
-def strings(tree: Tree, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Block and second part of the hash string (60 interleaved bits) of each row."""
+def prefixes(tree: Tree, x: np.ndarray) -> np.ndarray:
+    """Block of each row."""
+    if not tree.axis:
+        return np.full(len(x), tree.first, np.int64)
     z = x - tree.centre
-    block = np.full(len(z), tree.first, np.int64)
-    if tree.axis:
-        node = np.zeros(len(z), np.int64)
-        for i in range(len(tree.axis)):  # children follow their parents
-            here = np.flatnonzero(node == i)
-            if len(here):
-                node[here] = np.where(z[here] @ tree.axis[i] <= tree.at[i], tree.low[i], tree.high[i])
-        block = -1 - node
-    m = tree.bits.shape[1]
-    each = 60 // m
-    cell = np.clip((z @ tree.bits) / (16 * tree.scale) + 0.5, 0, 1 - 2**-40)
-    cell = (cell * 2.0**each).astype(np.int64)
-    code = np.zeros(len(z), np.int64)
-    for b in range(each - 1, -1, -1):
-        for j in range(m):
-            code = (code << 1) | ((cell[:, j] >> b) & 1)
-    return block, code
+    node = np.zeros(len(z), np.int64)
+    for i in range(len(tree.axis)):  # children follow their parents
+        here = np.flatnonzero(node == i)
+        if len(here):
+            node[here] = np.where(z[here] @ tree.axis[i] <= tree.at[i], tree.low[i], tree.high[i])
+    return -1 - node
+
+
+@dataclass
+class Sorted:
+    """One tree in a block. order: rows by ascending string. start, size (levels, rows): the interval of `order` that shares
+    as many leading bits with the row; margin: how far the nearest cut of these bits is from it."""
+
+    order: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    margin: np.ndarray
+
+
+def sort_strings(z: np.ndarray, rng: np.random.Generator, bits: int = BITS) -> Sorted:
+    """Strings of random projections, each cut at its median."""
+    n, dim = z.shape
+    axes = rng.standard_normal((dim, bits))
+    p = z @ (axes / np.linalg.norm(axes, axis=0))
+    p -= np.median(p, axis=0)
+    packed = np.zeros((n, 8), np.uint8)
+    packed[:, 8 - bits // 8 :] = np.packbits(p > 0, axis=1)
+    code = packed.view(">u8").ravel().astype(np.uint64)
+    order = np.argsort(code, kind="stable")
+    common = bits - np.frexp((code[order][1:] ^ code[order][:-1]).astype(float))[1]  # leading bits shared with the next
+    start, size = np.empty((2, bits + 1, n), np.int32)
+    for level in range(bits + 1):
+        edge = np.r_[0, np.flatnonzero(common < level) + 1, n]
+        length = np.diff(edge)
+        start[level, order] = np.repeat(edge[:-1], length)
+        size[level, order] = np.repeat(length, length)
+    margin = np.full((bits + 1, n), np.inf)
+    np.minimum.accumulate(np.abs(p).T, axis=0, out=margin[1:])
+    return Sorted(order, start, size, margin)
+
+
+def _intervals(rows: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Rows by their interval: (rows, start, size)."""
+    if not len(rows):
+        return
+    o = np.lexsort((size, start))
+    rows, start, size = rows[o], start[o], size[o]
+    edge = np.flatnonzero(np.r_[True, (start[1:] != start[:-1]) | (size[1:] != size[:-1]), True])
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        yield rows[a:b], int(start[a]), int(size[a])
+
+
+def _first_lists(ids: np.ndarray, x: np.ndarray, r: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of the candidates c of rows r, each pair once: ordered by row, distance and id."""
+    pair = np.unique(r * len(ids) + c)
+    r, c = pair // len(ids), pair % len(ids)
+    r, c = r[r != c], c[r != c]
+    d = np.sqrt(((x[r] - x[c]) ** 2).sum(1))
+    o = np.lexsort((ids[c], d, r))
+    r, c, d = r[o], c[o], d[o]
+    keep = np.arange(len(r)) - np.searchsorted(r, np.arange(len(ids)))[r] < k
+    return r[keep], c[keep], d[keep]
+
+
+def nearest_in_block(
+    ids: np.ndarray, x: np.ndarray, k: int, trees: int = TREES, candidates: int = CANDIDATES, within: float = np.inf, seed: int = 0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, neighbour, distance) as positions and distances: the k nearest other rows of each row, ties to the smaller id;
+    ordered by row, distance and id. Fewer than k if there are no more rows. Beyond `within` some may be missing."""
+    n = len(ids)
+    z = x - x.mean(0)
+    norm = (z * z).sum(1)
+    slack = 1e-14 * (4 + x.shape[1]) * float(norm.max(initial=0.0))
+    rng = np.random.default_rng([seed, n])
+    forest = [sort_strings(z, rng) for _ in range(trees if n > candidates else 1)]
+
+    # descend to the longest matches, then ascend together
+    held = np.sum([t.size for t in forest], axis=0) if n > candidates else forest[0].size[:1]
+    level = np.maximum((held >= candidates).sum(0) - 1, 0)
+    every = np.arange(n)
+    rows, near = [], []
+    for t in forest:
+        some = every if t is forest[0] else np.flatnonzero(level)
+        for q, a, size in _intervals(some, t.start[level[some], some], t.size[level[some], some]):
+            cols = t.order[a : a + size]
+            y, m = z[cols].T, norm[cols]
+            for lo in range(0, len(q), max(1, ENTRIES // size)):
+                part = q[lo : lo + max(1, ENTRIES // size)]
+                sq = m - 2 * z[part] @ y
+                if size > k + 1:
+                    r, c = np.nonzero(sq <= np.partition(sq, k, axis=1)[:, k : k + 1] + slack)
+                else:
+                    r, c = np.indices(sq.shape).reshape(2, -1)
+                rows.append(part[r])
+                near.append(cols[c])
+    r, c, d = _first_lists(ids, x, np.concatenate(rows), np.concatenate(near), k)
+    count = np.bincount(r, minlength=n)
+    reach = np.full(n, np.inf)
+    reach[count == k] = d[np.cumsum(count)[count == k] - 1]
+    reach = np.minimum(reach, within)
+
+    # ascend on, where a cut is nearer than the k-th distance
+    wide = reach * (1 + 1e-9) + np.sqrt(slack)
+    open_ = np.flatnonzero((level > 0) & np.all([t.margin[level, every] <= wide for t in forest], axis=0))
+    if not len(open_):
+        return r, c, d
+    up = np.stack([(t.margin[1:, open_] > wide[open_]).sum(0) for t in forest])
+    sizes = np.stack([t.size[u, open_] for t, u in zip(forest, up, strict=True)])
+    best = sizes.argmin(0)
+    rows, near = [], []
+    single, small = z.astype(np.float32), norm.astype(np.float32)
+    for i, t in enumerate(forest):
+        mine = best == i
+        some = open_[mine]
+        for q, a, size in _intervals(some, t.start[up[i, mine], some], t.size[up[i, mine], some]):
+            cols = t.order[a : a + size]
+            step = max(1, ENTRIES // size)
+            limit = np.minimum(wide[q] ** 2, 1e300)
+            blur = 1e-6 * float(norm[cols].max() + norm[q].max())  # of single precision
+            rough = blur <= 0.1 * float(np.median(limit))
+            y, m = (single[cols].T, small[cols]) if rough else (z[cols].T, norm[cols])
+            bound = np.minimum(limit - norm[q] + (blur if rough else slack), np.finfo(m.dtype).max)[:, None].astype(m.dtype)
+            v = single if rough else z
+            for lo in range(0, len(q), step):
+                part = q[lo : lo + step]
+                r2, c2 = np.nonzero(m - 2 * v[part] @ y <= bound[lo : lo + step])
+                rows.append(part[r2])
+                near.append(cols[c2])
+    r2, c2, d2 = _first_lists(ids, x, np.concatenate(rows), np.concatenate(near), k)
+    keep = np.isin(r, open_, invert=True)
+    r, c, d = np.concatenate([r[keep], r2]), np.concatenate([c[keep], c2]), np.concatenate([d[keep], d2])
+    o = np.lexsort((ids[c], d, r))
+    return r[o], c[o], d[o]
 
 
 def _pieces(x: np.ndarray, most: int) -> list[np.ndarray]:
@@ -177,67 +292,8 @@ def _pieces(x: np.ndarray, most: int) -> list[np.ndarray]:
     return out
 
 
-def nearest_in_block(ids: np.ndarray, x: np.ndarray, k: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, neighbour, distance) as positions and distances: the exact k nearest other rows of each row, ties to the smaller
-    id; ordered by row, distance and id. Fewer than k if there are no more rows."""
-    n = len(ids)
-    parts = _pieces(x, piece)
-    centres = np.stack([x[p].mean(0) for p in parts])
-    radius = np.array([np.sqrt(((x[p] - c) ** 2).sum(1).max()) for p, c in zip(parts, centres, strict=True)])
-    rows, nbrs, dist = [], [], []
-    for i, mine in enumerate(parts):
-        gap = np.sqrt(((centres - centres[i]) ** 2).sum(1)) - radius - radius[i]
-        gap[i] = -np.inf
-        order = np.argsort(gap, kind="stable")
-        z = x[mine] - centres[i]
-        norm = (z * z).sum(1)
-        left = np.concatenate([-2 * z, np.ones((len(z), 1))], axis=1)
-        bound = np.full(len(mine), np.inf)
-        at = 0
-        cand_r, cand_c = np.empty(0, np.int64), np.empty(0, np.int64)
-        cand_d = np.empty(0)
-        while at < len(order):
-            limit = bound.max()
-            take = order[at : at + 2] if at == 0 else order[at : at + AT_ONCE][gap[order[at : at + AT_ONCE]] <= limit]
-            if not len(take):
-                break
-            at += len(take)
-            cols = np.concatenate([parts[j] for j in take])
-            y = x[cols] - centres[i]
-            # squared distances less the row's own norm, in one product
-            sq = left @ np.concatenate([y, (y * y).sum(1)[:, None]], axis=1).T
-            if np.isinf(bound).any():
-                width = min(k + 1, len(cols))
-                kth = np.partition(sq, width - 1, axis=1)[:, width - 1] + norm
-                kth = kth if width == k + 1 else np.full(len(mine), np.inf)
-            else:
-                kth = bound * bound
-            hit = np.flatnonzero(sq <= (kth * (1 + 1e-9) + 1e-9 * (norm + 1e-300) - norm)[:, None])
-            r, c = hit // len(cols), cols[hit % len(cols)]
-            other = c != mine[r]
-            r, c = r[other], c[other]
-            d = np.sqrt(((x[mine[r]] - x[c]) ** 2).sum(1))
-            cand_r, cand_c, cand_d = np.concatenate([cand_r, r]), np.concatenate([cand_c, c]), np.concatenate([cand_d, d])
-            o = np.lexsort((ids[cand_c], cand_d, cand_r))
-            cand_r, cand_c, cand_d = cand_r[o], cand_c[o], cand_d[o]
-            begin = np.searchsorted(cand_r, np.arange(len(mine)))
-            keep = np.arange(len(cand_r)) - begin[cand_r] < k
-            cand_r, cand_c, cand_d = cand_r[keep], cand_c[keep], cand_d[keep]
-            count = np.bincount(cand_r, minlength=len(mine))
-            begin = np.cumsum(count) - count
-            full = count == k
-            bound = np.full(len(mine), np.inf)
-            bound[full] = cand_d[begin[full] + k - 1]
-        rows.append(mine[cand_r])
-        nbrs.append(cand_c)
-        dist.append(cand_d)
-    r, c, d = np.concatenate(rows), np.concatenate(nbrs), np.concatenate(dist)
-    o = np.lexsort((ids[c], d, r))
-    return r[o], c[o], d[o]
-
-
 def visit(ids: np.ndarray, x: np.ndarray, own: np.ndarray, y: np.ndarray, reach: np.ndarray, k: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As `nearest_in_block`, for rows y of ids `own` among the rows x: the k nearest that lie within each one's reach."""
+    """(row of y, row of x, distance): for rows y of ids `own` the k nearest of the rows x that lie within each one's reach."""
     parts = _pieces(x, piece)
     centres = np.stack([x[p].mean(0) for p in parts])
     radius = np.array([np.sqrt(((x[p] - c) ** 2).sum(1).max()) for p, c in zip(parts, centres, strict=True)])
@@ -312,66 +368,155 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) + 0.0  # -0.0 becomes 0.0
 
 
+def _placed_batches(forest: dict[int, Tree], batch: pa.RecordBatch, every: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of each group (grp, id, vec, h), their vectors and blocks. every: of groups without cuts, too."""
+    group = batch.column(0).to_numpy()
+    rest = np.ones(len(group), bool)
+    for g in forest.keys() & {*np.unique(group).tolist()}:
+        rest &= group != g
+        part = batch.filter(pa.array(group == g))
+        x = _matrix(part.column(2))
+        yield part, x, prefixes(forest[g], x)
+    if every and rest.any():
+        part = batch.filter(pa.array(rest))
+        yield part, None, group[rest].astype(np.int64) + WHOLE
+
+
 def _assign(sent):
-    """Rows with the block and the string in every tree of their group."""
+    """Rows with their block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = cloudpickle.loads(sent.value)
         for batch in batches:
-            group = batch.column(0).to_numpy()
-            for g in np.unique(group):
-                part = batch.filter(pa.array(group == g))
-                x = _matrix(part.column(2))
-                for tree in forest.get(int(g), ()):
-                    block, code = strings(tree, x)
-                    yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(code), *part.columns], ["block", "code", *part.schema.names])
+            for part, _, block in _placed_batches(forest, batch, True):
+                yield pa.RecordBatch.from_arrays([pa.array(block), *part.columns], ["block", *part.schema.names])
 
     return run
 
 
-def _lists(g: int, h: np.ndarray, ids: np.ndarray, count: np.ndarray, d: np.ndarray, near: np.ndarray, **visits: pa.Array) -> pa.RecordBatch:
+def _blocks(sent):
+    """(block, h) of the rows of groups with cuts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = cloudpickle.loads(sent.value)
+        for batch in batches:
+            for part, _, block in _placed_batches(forest, batch, False):
+                yield pa.RecordBatch.from_arrays([pa.array(block), part.column(3)], ["block", "h"])
+
+    return run
+
+
+def _drawn(sent, shares, seed: int):
+    """(block, h, vec) of a share of the rows of each block in `shares`, by their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, share = cloudpickle.loads(sent.value), cloudpickle.loads(shares.value)
+        for batch in batches:
+            for part, _, block in _placed_batches(forest, batch, False):
+                h = part.column(3).to_numpy().view(np.uint64)
+                draw = ((h ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(34)) / 2.0**30
+                kinds, at = np.unique(block, return_inverse=True)
+                some = np.flatnonzero(draw < np.array([share.get(b, 0.0) for b in kinds.tolist()])[at])
+                part = part.take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([pa.array(block[some]), part.column(3), part.column(2)], ["block", "h", "vec"])
+
+    return run
+
+
+def _refit(sent, over, cap: int, seed: int):
+    """Cuts of a block by its sample; its blocks are numbered from 0."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        b = int(part["block"].iloc[0])
+        g, n = cloudpickle.loads(over.value)[b]
+        x = np.stack(part.sort_values("h")["vec"].to_numpy()) + 0.0
+        tree = fit_tree(x, n, cap, 0, np.random.default_rng([seed, abs(g), b]), cloudpickle.loads(sent.value)[g].centre)
+        return pd.DataFrame({"block": [b], "cuts": [cloudpickle.dumps(tree)]})
+
+    return run
+
+
+def fit_forest(rows: DataFrame, cap: int, seed: int) -> tuple[dict[int, Tree], int]:
+    """Trees of the groups above the cap, and the number of blocks. Blocks are counted over all rows (copies once, as only a
+    few of them are held), those above the cap cut by samples of their own, and counted again, until none is left that can be
+    cut. rows: grp, id, vec, h."""
+    sc = rows.sparkSession.sparkContext
+    most = cap * 5 // 4
+    n_rows = F.approx_count_distinct("h", 0.02).alias("n")
+    forest: dict[int, Tree] = {}
+    over: dict[int, tuple[int, int]] = {}
+    for r in rows.groupBy("grp").agg(n_rows).where(F.col("n") > most).orderBy("grp").collect():  # fewer than rows / cap
+        forest[r["grp"]] = Tree(len(over), n_blocks=1)
+        over[len(over)] = (r["grp"], r["n"])
+    blocks, whole = len(over), set()
+    while over:
+        sent, told = sc.broadcast(cloudpickle.dumps(forest)), sc.broadcast(cloudpickle.dumps(over))  # a cut for each block of some cap rows
+        shares = sc.broadcast(cloudpickle.dumps({b: min(1.0, SAMPLE / n) for b, (_, n) in over.items()}))
+        part = rows.mapInArrow(_drawn(sent, shares, seed), "block bigint, h bigint, vec array<double>").groupBy("block", "h").agg(F.first("vec").alias("vec"))
+        cuts = {r["block"]: cloudpickle.loads(bytes(r["cuts"])) for r in part.groupBy("block").applyInPandas(_refit(sent, told, cap, seed), "block bigint, cuts binary").collect()}
+        owner = {}
+        for b, (g, _) in over.items():
+            sub = cuts.get(b)
+            if sub is None or sub.n_blocks == 1:
+                whole.add(b)
+                continue
+            sub.low, sub.high = ([c if c >= 0 else c - blocks for c in side] for side in (sub.low, sub.high))
+            graft(forest[g], b, sub)
+            owner |= dict.fromkeys(range(blocks, blocks + sub.n_blocks), g)
+            blocks += sub.n_blocks
+        if not owner:
+            break
+        sent = sc.broadcast(cloudpickle.dumps(forest))
+        counted = rows.mapInArrow(_blocks(sent), "block bigint, h bigint").groupBy("block").agg(n_rows).where(F.col("n") > most).orderBy("block").collect()
+        over = {r["block"]: (owner[r["block"]], r["n"]) for r in counted if r["block"] in owner}
+    return forest, blocks
+
+
+def _lists(g: int, h: np.ndarray, ids: np.ndarray, count: np.ndarray, d: np.ndarray, near: np.ndarray, visits: np.ndarray | None = None, **more: pa.Array) -> pa.RecordBatch:
     n = len(ids)
     offsets = pa.array(np.r_[0, np.cumsum(count)].astype(np.int32))
     lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(d), pa.array(near)], ["d", "id"]))
     empty = {"block": pa.nulls(n, pa.int64()), "vec": pa.nulls(n, pa.list_(pa.float64())), "reach": pa.nulls(n, pa.float64())}
-    columns = {"grp": pa.array(np.full(n, g, np.int32)), "id": pa.array(ids), "h": pa.array(h), "near": lists} | empty | visits
+    columns = {"grp": pa.array(np.full(n, g, np.int32)), "id": pa.array(ids), "h": pa.array(h), "near": lists, "visits": pa.array(np.zeros(n, bool) if visits is None else visits)} | empty | more
     return pa.RecordBatch.from_pydict(columns)
 
 
-LISTS = "grp int, id bigint, h bigint, near array<struct<d:double,id:bigint>>, block bigint, vec array<double>, reach double"
+LISTS = "grp int, id bigint, h bigint, near array<struct<d:double,id:bigint>>, visits boolean, block bigint, vec array<double>, reach double"
 
 
 def _vectors(x: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.ravel()))
 
 
-def _search(sent, k: int, cap: int, piece: int, within: dict[int, float] | None):
-    """Lists over rows sorted by block, code and id, and after them the visits to other blocks of the first tree: a row for
-    each, with the block, the vector and its reach."""
+def _search(sent, k: int, trees: int, candidates: int, cap: int, within: dict[int, float] | None):
+    """Lists over rows sorted by block and id, and after them the visits to other blocks: a row for each, with the block, the
+    vector and its reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = cloudpickle.loads(sent.value)
-        firsts = {g: {*(-1 - c for c in [*trees[0].low, *trees[0].high] if c < 0)} for g, trees in forest.items()}
         block, g, held = None, 0, Held(k, cap)
 
         def flush() -> Iterator[pa.RecordBatch]:
             h, ids, x = held.rows()
-            r, c, d = nearest_in_block(ids, x, k, piece)
+            most = np.inf if within is None else within.get(g, 0.0)
+            r, c, d = nearest_in_block(ids, x, k, trees, candidates, most)
             count = np.bincount(r, minlength=len(ids))
-            yield _lists(g, h, ids, count, d, ids[c])
-            if block not in firsts[g]:  # of another tree, or the only one
+            if g not in forest:
+                yield _lists(g, h, ids, count, d, ids[c])
                 return
             reach = np.full(len(ids), np.inf)
             reach[count == k] = d[np.cumsum(count)[count == k] - 1]
-            if within is not None:
-                reach = np.minimum(reach, within.get(g, 0.0))
-            for lo in range(0, len(ids), 4 * piece):
-                at, other = reached(forest[g][0], x[lo : lo + 4 * piece], reach[lo : lo + 4 * piece])
+            reach = np.minimum(reach, most)
+            visits = np.zeros(len(ids), bool)
+            for lo in range(0, len(ids), 2048):
+                at, other = reached(forest[g], x[lo : lo + 2048], reach[lo : lo + 2048])
                 at, other = lo + at[other != block], other[other != block]
-                for i in range(0, len(at), 16 * piece):
-                    j = at[i : i + 16 * piece]
+                visits[at] = True
+                for i in range(0, len(at), 8192):
+                    j = at[i : i + 8192]
                     none = np.zeros(len(j), np.int64)
-                    yield _lists(g, h[j], ids[j], none, np.empty(0), none[:0], block=pa.array(other[i : i + 16 * piece]), vec=_vectors(x[j]), reach=pa.array(reach[j]))
+                    yield _lists(g, h[j], ids[j], none, np.empty(0), none[:0], block=pa.array(other[i : i + 8192]), vec=_vectors(x[j]), reach=pa.array(reach[j]))
+            yield _lists(g, h, ids, count, d, ids[c], visits)
 
         for batch in batches:
             b = batch.column(0).to_numpy()
@@ -381,8 +526,8 @@ def _search(sent, k: int, cap: int, piece: int, within: dict[int, float] | None)
                         yield from flush()
                     block, held = b[lo], Held(k, cap)
                 part = batch.slice(lo, hi - lo)
-                g = part.column(2)[0].as_py()
-                if out := held.add(part.column(5).to_numpy(), part.column(3).to_numpy(), _matrix(part.column(4))):
+                g = part.column(1)[0].as_py()
+                if out := held.add(part.column(4).to_numpy(), part.column(2).to_numpy(), _matrix(part.column(3))):
                     h, ids, near = out
                     yield _lists(g, h, ids, np.full(len(ids), k), np.zeros(near.size), near.ravel())
         if held.n:
@@ -392,20 +537,17 @@ def _search(sent, k: int, cap: int, piece: int, within: dict[int, float] | None)
 
 
 def _visited(sent, far: dict[int, float]):
-    """The rows that a visit can reach, with their block in the first tree."""
+    """The rows that a visit can reach, with their block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = cloudpickle.loads(sent.value)
         for batch in batches:
-            group = batch.column(0).to_numpy()
-            for g in far.keys() & {*np.unique(group).tolist()}:
-                part = batch.filter(pa.array(group == g))
-                x = _matrix(part.column(2))
-                at, _ = reached(forest[g][0], x, np.full(len(x), far[g]))
+            for part, x, block in _placed_batches({g: forest[g] for g in far}, batch, False):
+                g = part.column(0)[0].as_py()
+                at, _ = reached(forest[g], x, np.full(len(x), far[g]))
                 some = np.flatnonzero(np.bincount(at, minlength=len(x)) > 1)
-                part, (block, _) = part.take(pa.array(some)), strings(forest[g][0], x[some])
-                n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(block), *part.columns, pa.nulls(n, pa.float64())], ["block", *part.schema.names, "reach"])
+                part = part.take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([pa.array(block[some]), *part.columns, pa.nulls(len(some), pa.float64())], ["block", *part.schema.names, "reach"])
 
     return run
 
@@ -435,98 +577,39 @@ def _visits(k: int, cap: int, piece: int):
     return run
 
 
-def fit_forest(rows: DataFrame, trees: int, cap: int, seed: int) -> tuple[dict[int, list[Tree]], int]:
-    """Trees of each group, and the number of blocks: cut by a sample of at most SAMPLE rows, then each block above the cap by
-    one of its own until none is left that can be cut."""
-    counts = {r["grp"]: r["n"] for r in rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each group
-    if not counts:
-        return {}, 0
-    each = max(64, min(SAMPLE_GROUP, SAMPLE // len(counts)))
-    share = F.create_map(*[F.lit(v) for g, n in counts.items() for v in (g, min(1.0, each / n))])[F.col("grp")]
-    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30)).select("grp", "vec").toPandas()
-    forest, blocks = {}, 0
-    for g, part in picked.groupby("grp"):
-        x = np.stack(part["vec"].to_numpy()) + 0.0
-        forest[int(g)] = []
-        for t in range(trees):
-            tree = fit_tree(x, counts[g], cap, blocks, np.random.default_rng([seed, int(g), t]))
-            forest[int(g)].append(tree)
-            blocks += tree.n_blocks
-            if tree.n_blocks == 1 and counts[g] <= cap:
-                break
-    for g in counts.keys() - forest.keys():  # a small group of which no row was drawn
-        raise ValueError(f"no sample of group {g}")
-    while coarse := {b: (g, t) for g, trees_ in forest.items() for t, tree in enumerate(trees_) for b in tree.coarse}:
-        sent = rows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(forest))
-        placed = _placed(rows, sent).where(F.col("block").isin(list(coarse)))  # at most one for some 500 rows of the sample of its tree
-        # copies count once, as only a few of them are held
-        sizes = {r["block"]: r["n"] for r in placed.groupBy("block").agg(F.approx_count_distinct("h").alias("n")).collect()}
-        share = F.create_map(*[F.lit(v) for b, n in sizes.items() for v in (b, min(1.0, SAMPLE_GROUP / n))])[F.col("block")]
-        part = placed.where(F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30)).groupBy("block", "h").agg(F.first("vec").alias("vec"))
-        cuts = {r["block"]: cloudpickle.loads(bytes(r["cuts"])) for r in part.groupBy("block").applyInPandas(_refit(sent, sizes, coarse, cap, seed), "block bigint, cuts binary").collect()}
-        for trees_ in forest.values():
-            for tree in trees_:
-                tree.coarse = []
-        for b, sub in sorted(cuts.items()):
-            if sub.n_blocks > 1:
-                g, t = coarse[b]
-                sub.low, sub.high = ([c if c >= 0 else c - blocks for c in side] for side in (sub.low, sub.high))
-                sub.coarse = [c + blocks for c in sub.coarse]
-                graft(forest[g][t], b, sub)
-                blocks += sub.n_blocks
-    return forest, blocks
-
-
-def _refit(sent, sizes: dict[int, int], coarse: dict[int, tuple[int, int]], cap: int, seed: int):
-    """Cuts of a block by its sample; its blocks are numbered from 0."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        b = int(part["block"].iloc[0])
-        g, t = coarse[b]
-        x = np.stack(part.sort_values("h")["vec"].to_numpy()) + 0.0
-        tree = fit_tree(x, sizes[b], cap, 0, np.random.default_rng([seed, g, t, b]), cloudpickle.loads(sent.value)[g][t].centre)
-        return pd.DataFrame({"block": [b], "cuts": [cloudpickle.dumps(tree)]})
-
-    return run
-
-
-def _placed(rows: DataFrame, sent) -> DataFrame:
-    return _hashed(rows).mapInArrow(_assign(sent), "block bigint, code bigint, grp int, id bigint, vec array<double>, h bigint")
-
-
-def _hashed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("h", F.xxhash64(F.transform("vec", lambda x: x + 0.0)))
-
-
 def nearest(
-    df: DataFrame, group_col: str, id_col: str, vec_col: str, k: int = K, trees: int = TREES, cap: int = CAP, seed: int = 11, piece: int = PIECE, within: dict[int, float] | None = None
+    df: DataFrame, group_col: str, id_col: str, vec_col: str, k: int = K, trees: int = TREES, candidates: int = CANDIDATES, cap: int = CAP, seed: int = 11, within: dict[int, float] | None = None
 ) -> DataFrame:
     """(grp, id, near): for every row the k nearest other rows of its group by Euclidean distance, near an array of (d, id)
     in ascending order; ties go to the smaller id. Groups and ids are integers.
 
-    All vectors of a group have the same length and are finite (see `usable_rows`). An id counts once. Equal vectors of
-    different ids are neighbours at distance 0. A row of a group with fewer than k others has a shorter list. An empty
-    table gives an empty result. cap: rows that are searched together; within: a radius for each group beyond which neighbours
-    may be missing or others stand in their place (groups without one: 0), which saves visits.
+    All vectors of a group have the same length and are finite (see `usable_rows`). An id counts once; its copies have the
+    same vector. Equal vectors of different ids are neighbours at distance 0. A row of a group with fewer than k others has a
+    shorter list. An empty table gives an empty result. cap: rows that are searched together; within: a radius for each group
+    beyond which neighbours may be missing or others stand in their place (groups without one: 0), which saves visits.
     """
     spark = df.sparkSession
     rows = df.select(F.col(group_col).cast("int").alias("grp"), F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec")).where("grp is not null and id is not null and vec is not null")
-    forest, blocks = fit_forest(rows, trees, cap, seed)
-    sent = spark.sparkContext.broadcast(cloudpickle.dumps(forest))  # cuts: one for each block
+    rows = rows.withColumn("h", F.xxhash64(F.transform("vec", lambda x: x + 0.0)))
+    forest, blocks = fit_forest(rows, cap, seed)
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(forest))  # a cut for each block
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * blocks, 4000))
-    found = _placed(rows, sent).repartition(parts, "block").sortWithinPartitions("block", "code", "id").mapInArrow(_search(sent, k, cap, piece, within), LISTS)
-    if all(len(t) == 1 and t[0].n_blocks == 1 for t in forest.values()):
+    placed = rows.mapInArrow(_assign(sent), "block bigint, grp int, id bigint, vec array<double>, h bigint")
+    found = placed.repartition(parts, "block").sortWithinPartitions("block", "id").mapInArrow(_search(sent, k, trees, candidates, cap, within), LISTS)
+    if not forest:
         return found.select("grp", "id", "near")
     found = cut(found)
-    lists = found.where("block is null")
-    far = {r["grp"]: r["far"] for r in found.where("block is not null").groupBy("grp").agg(F.max("reach").alias("far")).collect()}  # a row for each group
-    if far:
-        visitors = found.where("block is not null").select("block", "grp", "id", "vec", "h", "reach")
-        members = _hashed(rows).mapInArrow(_visited(sent, far), "block bigint, grp int, id bigint, vec array<double>, h bigint, reach double")
-        both = members.unionByName(visitors).repartition(parts, "block").sortWithinPartitions("block", F.col("reach").isNotNull(), "id")
-        lists = lists.unionByName(both.mapInArrow(_visits(k, cap, piece), LISTS))
-    every = F.array_distinct(F.flatten(F.collect_list("near")))  # a list of k from each tree and visit
-    return lists.groupBy("grp", "id").agg(F.slice(F.array_sort(every), 1, k).alias("near"))
+    lists = found.where("block is null").select("grp", "id", "near", "visits")
+    far = {r["grp"]: r["far"] for r in found.where("block is not null").groupBy("grp").agg(F.max("reach").alias("far")).collect()}  # a row for each group with cuts
+    if not far:
+        return lists.drop("visits")
+    visitors = found.where("block is not null").select("block", "grp", "id", "vec", "h", "reach")
+    members = rows.mapInArrow(_visited(sent, far), "block bigint, grp int, id bigint, vec array<double>, h bigint, reach double")
+    both = members.unionByName(visitors).repartition(parts, "block").sortWithinPartitions("block", F.col("reach").isNotNull(), "id")
+    more = both.mapInArrow(_visits(k, cap, PIECE), LISTS).select("grp", "id", "near")
+    every = F.array_distinct(F.flatten(F.collect_list("near")))  # a list of k from each visit
+    joined = lists.where("visits").drop("visits").unionByName(more).groupBy("grp", "id").agg(F.slice(F.array_sort(every), 1, k).alias("near"))
+    return lists.where("not visits").drop("visits").unionByName(joined)
 
 
 def recall(df: DataFrame, group_col: str, id_col: str, vec_col: str, found: DataFrame, queries: float = 0.05, seed: int = 3) -> float:

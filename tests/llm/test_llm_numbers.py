@@ -172,61 +172,77 @@ def neighbours(ids, x, k):
 
 def test_nearest_is_exact_in_a_block(spark):
     groups = shifted(GROUPS)
-    got = {r["id"]: [(n["d"], n["id"]) for n in r["near"]] for r in P5.nearest(frame(spark, groups), "m", "row", "e", 5, piece=32).collect()}
+    got = {r["id"]: [(n["d"], n["id"]) for n in r["near"]] for r in P5.nearest(frame(spark, groups), "m", "row", "e", 5, candidates=16).collect()}
     want = {}
     for ids, x, _ in groups.values():
         want |= neighbours(ids, x, 5)
     assert got == want
 
 
-def test_nearest_over_many_blocks_keeps_recall(spark):
+def vectors(spark, x):
+    return spark.createDataFrame([(1, i, v) for i, v in enumerate(x.tolist())], "m int, row int, e array<double>").repartition(4)
+
+
+def test_nearest_over_200_blocks(spark):
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(3000, 6))
-    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(x.tolist())], "m int, row int, e array<double>")
-    got = P5.nearest(df, "m", "row", "e", 5, trees=4, cap=600)
-    assert got.count() == 3000
-    assert P5.recall(df, "m", "row", "e", got, 0.1) >= 0.9
+    clustered = rng.normal(0, 20, (40, 8))[rng.integers(0, 40, 6000)] + rng.normal(0, 0.5, (6000, 8))
+    for x, within in ((rng.normal(size=(6000, 3)), None), (clustered, {1: 1.0})):
+        df = vectors(spark, x)
+        rows = df.selectExpr("m grp", "cast(row as bigint) id", "e vec", "xxhash64(e) h")
+        assert P5.fit_forest(rows, 32, 11)[1] >= 200
+        got = P5.nearest(df, "m", "row", "e", 5, cap=32, candidates=16, within=within)
+        if within:
+            near = got.selectExpr("grp", "id", "filter(near, n -> n.d <= 1) near")
+            want = neighbours(np.arange(len(x)), x, 5)
+            assert {r["id"]: [n["id"] for n in r["near"]] for r in near.collect()} == {i: [j for d, j in v if d.expected <= 1] for i, v in want.items()}
+        else:
+            assert got.count() == len(x) and P5.recall(df, "m", "row", "e", got, 0.1) == 1.0
 
 
 def test_nearest_leaves_its_block(spark):
     x = np.random.default_rng(1).normal(size=(1500, 4))
-    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(x.tolist())], "m int, row int, e array<double>")
+    df = vectors(spark, x)
     want = neighbours(np.arange(1500), x, 5)
     for trees in (1, 2):
-        got = {r["id"]: [(n["d"], n["id"]) for n in r["near"]] for r in P5.nearest(df, "m", "row", "e", 5, trees=trees, cap=300, piece=64).collect()}
+        got = {r["id"]: [(n["d"], n["id"]) for n in r["near"]] for r in P5.nearest(df, "m", "row", "e", 5, trees=trees, cap=300, candidates=64).collect()}
         assert got == want
     got = {r["id"]: [(n["d"], n["id"]) for n in r["near"] if n["d"] <= 0.3] for r in P5.nearest(df, "m", "row", "e", 5, cap=300, within={1: 0.3}).collect()}
     assert got == {i: [n for n in v if n[0].expected <= 0.3] for i, v in want.items()}
 
 
 def test_blocks_above_the_cap_are_cut_further(spark, monkeypatch):
-    monkeypatch.setattr(P5, "SAMPLE_GROUP", 64)
+    monkeypatch.setattr(P5, "SAMPLE", 64)
     x = np.concatenate([np.random.default_rng(2).normal(size=(1500, 3)), np.ones((500, 3))])
-    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(x.tolist())], "m int, row int, e array<double>")
-    forest, blocks = P5.fit_forest(df.selectExpr("m grp", "cast(row as bigint) id", "e vec"), 2, 100, 11)
-    for tree in forest[1]:
-        block, _ = P5.strings(tree, x[:1500])
-        assert np.bincount(block).max() <= 200 and tree.n_blocks <= blocks
-    got = {r["id"]: [n["id"] for n in r["near"]] for r in P5.nearest(df, "m", "row", "e", 5, cap=100, piece=64).collect()}
+    df = vectors(spark, x)
+    forest, blocks = P5.fit_forest(df.selectExpr("m grp", "cast(row as bigint) id", "e vec", "xxhash64(e) h"), 100, 11)
+    sizes = np.bincount(P5.prefixes(forest[1], x[:1500]))
+    assert sizes.max() <= 140 and (sizes > 0).sum() == forest[1].n_blocks <= blocks
+    got = {r["id"]: [n["id"] for n in r["near"]] for r in P5.nearest(df, "m", "row", "e", 5, cap=100, candidates=32).collect()}
     assert got == {i: [j for _, j in v] for i, v in neighbours(np.arange(len(x)), x, 5).items()}
 
 
 def test_recall_over_several_blocks_with_the_registered_parameters(spark):
     rng = np.random.default_rng(3)
-    x = np.concatenate([rng.normal(size=(30_000, 8)), rng.normal(3, 0.1, (15_000, 8))])
-    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(x.tolist())], "m int, row int, e array<double>")
+    df = vectors(spark, np.concatenate([rng.normal(size=(30_000, 8)), rng.normal(3, 0.1, (15_000, 8))]))
     assert P5.recall(df, "m", "row", "e", P5.nearest(df, "m", "row", "e"), 0.02) == 1.0
 
 
+def test_intervals_share_leading_bits():
+    x = RNG.normal(size=(200, 3))
+    t = P5.sort_strings(x, np.random.default_rng(0), 16)
+    assert sorted(t.order) == list(range(200)) and (t.size[0] == 200).all() and (np.diff(t.size, axis=0) <= 0).all()
+    rank = np.argsort(t.order)
+    assert ((t.start <= rank) & (rank < t.start + t.size)).all()
+
+
 def test_nearest_with_many_copies(spark):
     rows = [(1, i, [1.0, 2.0] if i % 3 == 0 else [float(i), 0.0 if i % 2 else -0.0]) for i in range(120)]
     df = spark.createDataFrame(rows, "m int, row int, e array<double>")
     ids, x = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
     want = {i: [j for _, j in n] for i, n in neighbours(ids, x, 3).items()}
     for cap in (1000, 16):
-        got = {r["id"]: [n["id"] for n in r["near"]] for r in P5.nearest(df.repartition(4), "m", "row", "e", 3, cap=cap, piece=8).collect()}
-        assert all(got[i] == want[i] for i in range(0, 120, 3))
-        assert cap == 16 or got == want
+        got = {r["id"]: [n["id"] for n in r["near"]] for r in P5.nearest(df.repartition(4), "m", "row", "e", 3, cap=cap).collect()}
+        assert got == want
 
 
 def test_nearest_of_few_rows(spark):
@@ -242,7 +258,7 @@ def test_block_search(n, dim, k, seed):
     rng = np.random.default_rng(seed)
     x = rng.integers(0, 4, (n, dim)).astype(float)
     ids = rng.permutation(500)[:n]
-    r, c, d = P5.nearest_in_block(ids, x, k, piece=7)
+    r, c, d = P5.nearest_in_block(ids, x, k, candidates=7)
     got = {}
     for a, b in zip(r, c, strict=True):
         got.setdefault(int(ids[a]), []).append(int(ids[b]))
