@@ -1,16 +1,20 @@
 """Similarity clusters by power iteration on sparse affinities.
 
-Affinities are kept factored, so that a cluster with a third of all rows has no pairs: every row is tied to an anchor, a row
-within the radius that stands for its neighbourhood. Z holds these ties; D^-1 Z Z' with D its row sums is the normalised
-affinity.  Anchors come from two rounds: leaders of each input chunk (nothing is shuffled), then leaders of grid cells over
-a few projections, into which a row goes as a guest wherever a row within the radius may live.  As rows are taken by
-ascending id, all chunks of a set of mutually similar rows find the same anchor, its smallest id.
-
-Several random vectors are iterated over the affinity, each step two aggregations; the rows are grouped in the space of the
-iterated vectors.  With one anchor for each row the affinity is a projector: one step reaches its fixed point, equal for the
-rows of a cluster and different (by independent random starts) for those of two, so k-means has zero inertia with one centre
-for each distinct point, and that is the grouping used.  `spectral_clusters` is the general form for a wanted number of
-clusters (module p4_spectral): rows are tied to several anchors by Gaussian affinities, iterated, and cut by k-means.
+The affinity of two rows is 1 - d^2 / 2 r^2 up to the radius r, else 0.  It is kept factored, since a cluster with a third of
+all rows would have n^2 pairs: leaders of each input chunk stand for the rows within the radius (nothing is shuffled), and
+leaders are tied by their affinity to anchors, leaders picked in each cell of a grid over a few projections.  Besides its home
+cell a leader visits the cells above it that lie within the radius, so any two leaders within the radius of each other meet in
+one cell.  Z holds these sparse ties; D^-1 Z Z' with D its row sums is the normalised affinity, seen from the anchors.
+
+As a cell knows only its own leaders, a cluster that lies across cells has several anchors, and which of them belong together
+is what the power iteration finds: several random vectors over the anchors go through the normalised affinity by joins, until
+no value changes.  They then agree on every set of rows tied together and differ (by independent random starts) between two.
+k-means on these points has one centre for each distinct point: it is seeded on a grid, centres on both sides of a grid line
+are merged on a shifted one, and a leader goes with the nearest of the centres that it is tied to.  Anchors without a leader
+in common with another are at their fixed point from the start and need no steps.
+
+Cells with too many leaders are first thinned by a further round of leaders in salted parts, then cut along further projections.
+`spectral_clusters` (module p4_spectral) is the form for a wanted number of clusters.
 """
 
 from __future__ import annotations
@@ -19,17 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from metricloom.llm.shared import cut, small, usable_rows
 
-#: Rows of one group that are compared at once in an input chunk or grid cell.
-CHUNK = 4_096
-#: Side of a grid cell in radii, and projections of the grid.
-SIDE, AXES = 6, 3
-VECTORS = 3
+#: Rows of one group that are compared at once in an input chunk, and leaders in a grid cell.
+CHUNK, AT_ONCE = 4_096, 1_024
+#: Side of a grid cell in radii, and projections of a grid; leaders above which a cell is thinned and cut further.
+SIDE, AXES, MOST = 6.0, 3, 20_000
+#: Iterated vectors; largest change of a value (of size 1) at which they stop; steps after which they stop in any case.
+VECTORS, TOL, ROUNDS = 4, 1e-11, 200
+#: Grid of the seeds of k-means.
+GRID = 1e-5
 TYPICAL = 3
 
 
@@ -111,132 +118,274 @@ def _local(chunk: int):
     return run
 
 
-def _cells(side: float, axes: int):
-    """(grp, id, r, vec) to those and (cell, home): a row for the home cell and each cell where rows within r may live."""
+def _cells(side: float, axes: int, depth: int):
+    """(grp, id, r, vec, cell) to the same: a row for the home cell, and one for each cell above that a row within r may have
+    as its home. Cells of the depth before are cut along `axes` further projections, shorter once all dimensions had a turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             group = batch.column(0).to_numpy()
             for g in np.unique(group).tolist():
                 part = batch.filter(pa.array(group == g))
-                x, r = _matrix(part.column(3)), part.column(2).to_numpy()
+                x, r, before = _matrix(part.column(3)), part.column(2).to_numpy(), part.column(4).to_numpy()
                 q = min(axes, x.shape[1])
-                turn = np.linalg.qr(np.random.default_rng(x.shape[1]).standard_normal((x.shape[1], q)))[0]
+                turn = np.linalg.qr(np.random.default_rng([x.shape[1], depth]).standard_normal((x.shape[1], q)))[0]
                 p = (x @ turn) / r[:, None]  # in radii
-                reach = 1 + 1e-9 + 1e-12 * np.abs(p)
-                lo, hi = np.floor((p - reach) / side).astype(np.int64), np.floor((p + reach) / side).astype(np.int64)
-                home = np.floor(p / side).astype(np.int64)
-                for corner in range(1 << q):
-                    up = (corner >> np.arange(q)) & 1 == 1
-                    cell = np.where(up, hi, lo)
-                    fresh = np.flatnonzero(~(up & (hi == lo)).any(1))
-                    key = np.full(len(fresh), 0x51ED270B, np.int64)
+                width = side / 2 ** (depth * q // x.shape[1])
+                home = np.floor(p / width).astype(np.int64)
+                above = np.floor((p + 1 + 1e-9 + 1e-12 * np.abs(p)) / width).astype(np.int64)
+                steps = int((above - home).max()) + 1  # 2, unless cells got shorter than the radius
+                for corner in np.ndindex(*[steps] * q):
+                    cell = home + np.array(corner)
+                    fresh = np.flatnonzero((cell <= above).all(1))
+                    key = before[fresh] ^ np.int64(0x51ED270B + depth)
                     for j in range(q):
                         key = key * 0x5851F42D4C957F2D + cell[fresh, j] * 0x14057B7EF767814F + 1
                         key ^= key >> 29
-                    own = (cell[fresh] == home[fresh]).all(1)
                     take = part.take(pa.array(fresh))
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), *take.columns], ["cell", "home", *take.schema.names])
+                    yield pa.RecordBatch.from_arrays([*take.columns[:4], pa.array(key)], CELL_NAMES)
 
     return run
 
 
-def _anchors(chunk: int):
-    """Over rows sorted by group, cell and id: (leader, anchor) of the rows at home."""
+CELL_NAMES = ["grp", "id", "r", "vec", "cell"]
+CELLS = "grp int, id bigint, r double, vec array<double>, cell bigint"
+
+
+def _near(x: np.ndarray, y: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and columns within r, and their affinity."""
+    i, j = np.nonzero(near_mask(x, y, r))
+    return i, j, 1 - ((x[i] - y[j]) ** 2).sum(1) / (2 * r * r)
+
+
+def _anchors(at_once: int):
+    """Over rows sorted by group, cell and id: ties (grp, leader, anchor, w) of every leader to all anchors within its radius.
+    A leader out of reach of the anchors so far becomes one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, kept_ids, kept_x = None, [], []
-
-        def feed(home, ids, r, x) -> pa.RecordBatch:
-            anchor = np.full(len(ids), -1)
-            for ki, kx in zip(kept_ids, kept_x, strict=True):
-                left = np.flatnonzero(anchor < 0)
-                if len(left):
-                    mask = near_mask(x[left], kx, r)
-                    hit = mask.any(1)
-                    anchor[left[hit]] = ki[mask[hit].argmax(1)]
-            left = np.flatnonzero(anchor < 0)
+        now, kept = None, []
+
+        def feed(ids: np.ndarray, r: float, x: np.ndarray) -> Iterator[tuple]:
+            tied = np.zeros(len(ids), bool)
+            for ki, kx in kept:
+                i, j, w = _near(x, kx, r)
+                tied[i] = True
+                yield ids[i], ki[j], w
+            left = np.flatnonzero(~tied)
             if len(left):
                 lead = leaders(ids[left], x[left], r)
-                anchor[left] = ids[left][lead]
                 own = left[lead == np.arange(len(left))]
-                kept_ids.append(ids[own])
-                kept_x.append(x[own])
-            return pa.RecordBatch.from_arrays([pa.array(ids[home]), pa.array(anchor[home])], ["leader", "anchor"])
+                kept.append((ids[own], x[own]))
+                i, j, w = _near(x, x[own], r)
+                yield ids[i], ids[own][j], w
 
         for batch in batches:
-            cell, group = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            group, cell = batch.column(0).to_numpy(), batch.column(4).to_numpy()
             edges = np.r_[0, np.flatnonzero((cell[1:] != cell[:-1]) | (group[1:] != group[:-1])) + 1, len(cell)]
+            out: list[tuple] = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if (group[a], cell[a]) != now:
                     now = (group[a], cell[a])
-                    kept_ids.clear()
-                    kept_x.clear()
-                for c in range(a, b, chunk):
-                    p = batch.slice(c, min(chunk, b - c))
-                    home = p.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                    yield feed(home, p.column(3).to_numpy(), float(p.column(4)[0].as_py()), _matrix(p.column(5)))
+                    kept.clear()
+                for c in range(a, b, at_once):
+                    p = batch.slice(c, min(at_once, b - c))
+                    for leader, anchor, w in feed(p.column(1).to_numpy(), float(p.column(2)[0].as_py()), _matrix(p.column(3))):
+                        out.append((np.full(len(leader), group[a], np.int32), leader, anchor, w))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["grp", "leader", "anchor", "w"])
 
     return run
 
 
-def anchored(df: DataFrame, group_col: str, id_col: str, vec_col: str, radius_col: str, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """Members (grp, id, leader), each id once, and ties (leader, anchor). The radius is the same for all rows of a group."""
+LOCAL = "grp int, id bigint, r double, leader bigint, vec array<double>"
+
+
+def _hot(cells: DataFrame, most: int) -> tuple[DataFrame, object, int]:
+    """(grp, cell, parts) of the cells with more than `most` rows, the hint for joins with them, and their number of rows."""
+    hot, hint = small(cells.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most))
+    return hot.select("grp", "cell", F.ceil(F.col("n") / most).alias("parts")), hint, hot.agg(F.sum("n")).first()[0] or 0
+
+
+def _thinned(leads: DataFrame, chunk: int, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Leaders after further rounds in the salted parts of hot cells, and (id, leader) of those that have one now."""
+    moved = None
+    while True:
+        cells = leads.withColumn("cell", F.lit(0).cast("bigint")).mapInArrow(_cells(SIDE, AXES, 0), CELLS)
+        hot, hint, n = _hot(cells, most)
+        if not n:
+            return leads, moved
+        first = cells.groupBy("id").agg(F.min("cell").alias("cell"))  # one of a leader's cells
+        split = leads.join(first, "id").join(hint(hot), ["grp", "cell"], "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")))
+        part = split.where("parts is not null").repartition("grp", "cell", "salt").sortWithinPartitions("grp", "cell", "salt").select("grp", "id", "r", "vec")
+        again = cut(part.mapInArrow(_local(chunk), LOCAL))
+        left = again.where("size(vec) > 0")
+        before, after = again.count(), left.count()
+        step = again.where("leader <> id").groupBy("id").agg(F.min("leader").alias("leader"))
+        if moved is None:
+            moved = step
+        else:
+            up = step.withColumnsRenamed({"id": "leader", "leader": "_up"})
+            moved = moved.join(up, "leader", "left").select("id", F.coalesce("_up", "leader").alias("leader")).unionByName(step)
+        moved = cut(moved)
+        leads = cut(split.where("parts is null").select("grp", "id", "r", "vec").unionByName(left.select("grp", "id", "r", "vec")))
+        if after > 0.7 * before:
+            return leads, moved
+
+
+def _split_cells(leads: DataFrame, most: int) -> DataFrame:
+    """Leaders in their cells, those with too many of them cut along further projections for as long as that helps."""
+    cells = leads.withColumn("cell", F.lit(0).cast("bigint")).mapInArrow(_cells(SIDE, AXES, 0), CELLS)
+    hot, hint, n = _hot(cells, most)
+    depth = 0
+    done = None
+    while n:
+        depth += 1
+        marked = cut(cells).join(hint(hot), ["grp", "cell"], "left")
+        calm = marked.where("parts is null").select(*CELL_NAMES)
+        done = calm if done is None else done.unionByName(calm)
+        cells = marked.where("parts is not null").select(*CELL_NAMES).mapInArrow(_cells(SIDE, AXES, depth), CELLS)
+        hot, hint, now = _hot(cells, most)
+        if now >= n:
+            break
+        n = now
+    return cells if done is None else done.unionByName(cells)
+
+
+def anchored(df: DataFrame, group_col: str, id_col: str, vec_col: str, radius_col: str, chunk: int = CHUNK, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """Members (grp, id, leader), each id once, and ties (grp, leader, anchor, w). The radius is the same for all rows of a
+    group."""
     rows = df.select(F.col(group_col).cast("int").alias("grp"), F.col(id_col).cast("bigint").alias("id"), F.col(radius_col).cast("double").alias("r"), F.col(vec_col).alias("vec"))
     rows = rows.where("grp is not null and id is not null and vec is not null and r > 0")
-    local = cut(rows.mapInArrow(_local(chunk), "grp int, id bigint, r double, leader bigint, vec array<double>"))
-    leads = local.where("size(vec) > 0").select("grp", "id", "r", "vec")
-    cells = leads.mapInArrow(_cells(SIDE, AXES), "cell bigint, home boolean, grp int, id bigint, r double, vec array<double>")
-    ties = cells.repartition("grp", "cell").sortWithinPartitions("grp", "cell", "id").mapInArrow(_anchors(chunk), "leader bigint, anchor bigint")
-    return local.groupBy("id").agg(F.min("grp").alias("grp"), F.min("leader").alias("leader")), cut(ties.groupBy("leader").agg(F.min("anchor").alias("anchor")))
+    local = cut(rows.mapInArrow(_local(chunk), LOCAL))
+    leads, moved = _thinned(local.where("size(vec) > 0").select("grp", "id", "r", "vec"), chunk, most)
+    members = local.groupBy("id").agg(F.min("grp").alias("grp"), F.min("leader").alias("leader"))
+    if moved is not None:
+        up = moved.select(F.col("id").alias("leader"), F.col("leader").alias("_up"))
+        members = members.join(up, "leader", "left").select("grp", "id", F.coalesce("_up", "leader").alias("leader"))
+    cells = _split_cells(leads, most)
+    ties = cells.repartition("grp", "cell").sortWithinPartitions("grp", "cell", "id").mapInArrow(_anchors(AT_ONCE), "grp int, leader bigint, anchor bigint, w double")
+    return members, cut(ties.groupBy("leader", "anchor").agg(F.min("grp").alias("grp"), F.max("w").alias("w")))
+
+
+def _start(i: int) -> Column:
+    return F.xxhash64("anchor", F.lit(i)).cast("double") / 2.0**63
+
+
+def iterate(ties: DataFrame, bridges: DataFrame, vectors: int = VECTORS, tol: float = TOL, rounds: int = ROUNDS) -> DataFrame:
+    """(anchor, grp, t, v0..) of the anchors that share a leader with another. bridges: (leader, links) of leaders with several
+    ties. t: sum of an anchor's ties."""
+    v = [f"v{i}" for i in range(vectors)]
+    shared = bridges.select(F.explode("links").alias("x")).groupBy(F.col("x.anchor").alias("anchor")).agg(F.sum("x.w").alias("b"))
+    sums = ties.groupBy("anchor").agg(F.min("grp").alias("grp"), F.sum("w").alias("t"))
+    act, hint = small(sums.join(shared, "anchor").select("anchor", "grp", "t", "b", *[_start(i).alias(c) for i, c in enumerate(v)]))
+    for _ in range(rounds):
+        at = bridges.select("leader", F.explode("links").alias("x")).select("leader", F.col("x.anchor").alias("anchor"), F.col("x.w").alias("w")).join(hint(act.drop("grp", "b")), "anchor")
+        mass = F.sum(F.col("w") * F.col("t"))
+        u = at.groupBy("leader").agg(F.collect_list(F.struct("anchor", "w")).alias("links"), *[(F.sum(F.col("w") * F.col("t") * F.col(c)) / mass).alias(c) for c in v])  # a leader's few ties
+        back = u.select(F.explode("links").alias("x"), *v).groupBy(F.col("x.anchor").alias("anchor")).agg(*[F.sum(F.col("x.w") * F.col(c)).alias(f"m{c}") for c in v])
+        # leaders with this tie alone keep the anchor's own value
+        new = [(((F.col("t") - F.col("b")) * F.col(c) + F.col(f"m{c}")) / F.col("t")).alias(c) for c in v]
+        moved = F.greatest(*[F.abs(n - F.col(c)) for n, c in zip(new, v, strict=True)], F.lit(0.0))
+        step = cut(hint(act).join(back, "anchor").select("anchor", "grp", "t", "b", *new, moved.alias("moved")))
+        act = step.drop("moved")
+        if (step.agg(F.max("moved")).first()[0] or 0.0) <= tol:
+            break
+    return act.drop("b")
 
 
-def similarity_clusters(df: DataFrame, group_col: str, id_col: str, vec_col: str, radius_col: str, vectors: int = VECTORS, chunk: int = CHUNK) -> DataFrame:
-    """(grp, id, first_id, size): the cluster of every row, named by its smallest id; a row on its own has size 1.
+def _key(columns: list[str], shift: float) -> Column:
+    return F.xxhash64("grp", *[F.floor(F.col(c) / GRID + F.lit(shift)) for c in columns])
 
-    Exact where similarity (distance at most the radius) splits the rows into sets of mutually similar rows; elsewhere a row
-    goes with the leader of smallest id in its reach. Rows with a null column or a radius of 0 or less are left out; an id
-    counts once; equal vectors are similar; an empty table gives an empty result.
-    """
-    members, ties = anchored(df, group_col, id_col, vec_col, radius_col, chunk)
-    tied = members.join(ties, "leader")  # at most 2 * CHUNK rows have one leader
-    start = [(F.xxhash64("id", F.lit(i)).cast("double") / 2.0**63).alias(f"v{i}") for i in range(vectors)]
-    step = tied.select("grp", "id", "anchor", *start).groupBy("grp", "anchor").agg(
-        *[F.avg(f"v{i}").alias(f"v{i}") for i in range(vectors)], F.min("id").alias("_min"), F.count(F.lit(1)).alias("_n")
-    )
-    point = [f"v{i}" for i in range(vectors)]
-    step = cut(step)
-    centres = step.groupBy("grp", *point).agg(F.min("_min").alias("first_id"), F.sum("_n").alias("size"))
-    named = step.join(centres, ["grp", *point]).select("anchor", "first_id", "size")
-    return members.join(ties.join(named, "anchor").select("leader", "first_id", "size"), "leader").select("grp", "id", "first_id", "size")
+
+def embedded_clusters(act: DataFrame, vectors: int) -> DataFrame:
+    """(anchor, t, v0.., c0.., first_id): k-means of the iterated points; c the centre, first_id its smallest anchor."""
+    v, c = ([f"{x}{i}" for i in range(vectors)] for x in "vc")
+    keyed = act.withColumn("k0", _key(v, 0.0))
+    seeds = keyed.groupBy("k0").agg(F.min("grp").alias("grp"), F.min("anchor").alias("lo"), F.count(F.lit(1)).alias("n"), *[F.avg(a).alias(b) for a, b in zip(v, c, strict=True)])
+    seeds = cut(seeds.withColumn("k1", _key(c, 0.5)))
+    centres = seeds.groupBy("k1").agg(F.min("lo").alias("first_id"), *[(F.sum(F.col(x) * F.col("n")) / F.sum("n")).alias(x) for x in c])
+    named = seeds.select("k0", "k1").join(centres, "k1").drop("k1")
+    return keyed.join(named, "k0").drop("k0", "grp")
 
 
-def typical_members(rows: DataFrame, clusters: DataFrame, id_col: str, vec_col: str, top: int = TYPICAL) -> DataFrame:
-    """(grp, first_id, size, rank, id): of each cluster the `top` rows of highest internal affinity.
+def similarity_clusters(
+    df: DataFrame, group_col: str, id_col: str, vec_col: str, radius_col: str, vectors: int = VECTORS, chunk: int = CHUNK, most: int = MOST, rounds: int = ROUNDS, sizes: bool = True
+) -> DataFrame:
+    """(grp, id, first_id, size): the cluster of every row, named by its smallest id; a row on its own has size 1. sizes: with
+    the last column.
 
-    A member's mean squared distance to all members is its squared distance to their mean plus a constant, so the mean
-    ranks members as all pairs would. Ties go to the smaller id."""
-    x = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).dropDuplicates(["id"]).join(clusters, "id")
+    Exact where similarity (distance at most the radius) splits the rows into sets of mutually similar rows; elsewhere sets
+    that are tied together by rows within the radius fall into one cluster if they mix within `rounds` steps. Rows with a null
+    column or a radius of 0 or less are left out; an id counts once; equal vectors are similar; an empty table gives an empty
+    result.
+    """
+    members, ties = anchored(df, group_col, id_col, vec_col, radius_col, chunk, most)
+    linked = ties.groupBy("leader").agg(F.collect_list(F.struct("anchor", "w")).alias("links"))  # a leader's few ties
+    bridges = cut(linked.where("size(links) > 1"))
+    placed, hint = small(embedded_clusters(iterate(ties, bridges, vectors, rounds=rounds), vectors))
+    alone = linked.where("size(links) = 1").select("leader", F.col("links")[0]["anchor"].alias("anchor"))
+    alone = alone.join(hint(placed.select("anchor", "first_id")), "anchor", "left").select("leader", F.coalesce("first_id", "anchor").alias("first_id"))
+    at = bridges.select("leader", F.explode("links").alias("x")).select("leader", F.col("x.anchor").alias("anchor"), F.col("x.w").alias("w")).join(hint(placed), "anchor")
+    v, c = ([f"{x}{i}" for i in range(vectors)] for x in "vc")
+    mass = F.col("w") * F.col("t")
+    own = at.groupBy("leader").agg(
+        F.collect_list(F.struct((F.col("anchor") != F.col("leader")).alias("other"), F.array(*c).alias("c"), "first_id")).alias("near"), F.array(*[F.sum(mass * F.col(a)) / F.sum(mass) for a in v]).alias("u")
+    )
+    gap = lambda x: F.aggregate(F.zip_with(x, "u", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    own = own.select("leader", F.array_min(F.transform("near", lambda x: F.struct(x["other"], gap(x["c"]).alias("gap"), x["first_id"])))["first_id"].alias("first_id"))
+    out = members.join(alone.unionByName(own), "leader").select("grp", "id", "first_id")  # at most some CHUNK * MOST rows have one leader
+    if not sizes:
+        return out
+    out = cut(out)
+    counts, hint = small(out.groupBy("first_id").agg(F.count(F.lit(1)).alias("size")))
+    return out.join(hint(counts), "first_id").select("grp", "id", "first_id", "size")
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, first_id, vec) to the sums of a batch by cluster."""
+    for batch in batches:
+        group = batch.column(0).to_numpy()
+        for g in np.unique(group).tolist():
+            part = batch.filter(pa.array(group == g))
+            names, at = np.unique(part.column(1).to_numpy(), return_inverse=True)
+            o = np.argsort(at, kind="stable")
+            start = np.searchsorted(at[o], np.arange(len(names)))
+            total = np.add.reduceat(_matrix(part.column(2))[o], start, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(at)), _vectors(total)], ["first_id", "n", "s"])
+
+
+def typical_members(rows: DataFrame, clusters: DataFrame, id_col: str, vec_col: str, radius_col: str, top: int = TYPICAL) -> DataFrame:
+    """(grp, first_id, size, rank, id, affinity): of each cluster the `top` rows of highest internal affinity, the mean of
+    1 - d^2 / 2 r^2 over all members. Ties go to the smaller id.
+
+    The mean of d^2 over all members is the squared distance to their mean plus their variance, so no pairs are needed."""
+    x = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.col(radius_col).cast("double").alias("r")).dropDuplicates(["id"]).join(clusters, "id")
     x = cut(x)
-    means = x.select("first_id", F.posexplode("vec").alias("i", "v")).groupBy("first_id", "i").agg(F.avg("v").alias("m"))
-    means = means.groupBy("first_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))  # a vector for each cluster
+    many = x.where("size > 1")
+    parts = many.select("grp", "first_id", "vec").mapInArrow(_sums, "first_id bigint, n bigint, s array<double>")
+    flat = parts.select("first_id", "n", F.posexplode("s").alias("i", "v")).groupBy("first_id", "i").agg((F.sum("v") / F.sum("n")).alias("m"))
+    means = flat.groupBy("first_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))  # a vector for each cluster
     means, hint = small(means)
     off = F.aggregate(F.zip_with("vec", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    w = Window.partitionBy("first_id").orderBy("off", "id")
-    ranked = x.join(hint(means), "first_id").select("grp", "first_id", "size", "id", F.round(off, 9).alias("off")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    return ranked.select("grp", "first_id", "size", "rank", "id")
+    away = cut(many.join(hint(means), "first_id").select("grp", "first_id", "size", "id", "r", off.alias("off")))
+    spread = away.groupBy("first_id").agg(F.avg("off").alias("spread"))
+    near = F.round(F.col("off") / (F.col("r") * F.col("r")), 9)
+    w = Window.partitionBy("first_id").orderBy("near", "id")
+    ranked = away.withColumn("near", near).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).join(spread, "first_id")
+    affinity = F.round(1 - (F.col("off") + F.col("spread")) / (2 * F.col("r") * F.col("r")), 6)
+    single = x.where("size = 1").select("grp", "first_id", "size", F.lit(1).alias("rank"), "id", F.lit(1.0).alias("affinity"))
+    return ranked.select("grp", "first_id", "size", "rank", "id", affinity.alias("affinity")).unionByName(single)
 
 
 def q_found(spark: SparkSession, d: str) -> DataFrame:
-    found = similarity_clusters(usable_rows(spark, d), "matrix_id", "row_id", "elements", "similar_within")
+    found = similarity_clusters(usable_rows(spark, d), "matrix_id", "row_id", "elements", "similar_within", sizes=False)
     return found.where("id <> first_id").select(F.col("first_id").alias("first_row_id"), F.col("id").alias("row_id"))
 
 
 def q_clusters(spark: SparkSession, d: str) -> DataFrame:
     rows = usable_rows(spark, d)
     found = similarity_clusters(rows, "matrix_id", "row_id", "elements", "similar_within")
-    top = typical_members(rows, found, "row_id", "elements")
-    return top.select(F.col("grp").alias("matrix_id"), F.col("first_id").alias("first_row_id"), "size", "rank", F.col("id").alias("row_id"))
+    top = typical_members(rows, found, "row_id", "elements", "similar_within")
+    return top.select(F.col("grp").alias("matrix_id"), F.col("first_id").alias("first_row_id"), "size", "rank", F.col("id").alias("row_id"), "affinity")
 
 
 QUERIES = {"p4_found": q_found, "p4_clusters": q_clusters}
@@ -247,7 +396,8 @@ ORACLES = {
     "p4_found": f"WITH {_PAIRS} SELECT first_row_id, row_id FROM first WHERE first_row_id <> row_id",
     "p4_clusters": f"""WITH {_PAIRS},
 x AS (SELECT first.*, elements, count(*) OVER (PARTITION BY first_row_id) AS size FROM first JOIN rows USING (row_id)),
-means AS (SELECT first_row_id, list(m ORDER BY i) AS mean FROM (SELECT first_row_id, i, avg(elements[i]) AS m FROM (SELECT first_row_id, elements, unnest(range(1, len(elements) + 1)) AS i FROM x) GROUP BY ALL) GROUP BY ALL),
-ranked AS (SELECT matrix_id, first_row_id, size, row_id, row_number() OVER (PARTITION BY first_row_id ORDER BY round(list_distance(elements, mean) ** 2, 9), row_id) AS rank FROM x JOIN means USING (first_row_id))
-SELECT matrix_id, first_row_id, size, rank, row_id FROM ranked WHERE rank <= 3""",
+near AS (SELECT b.matrix_id, b.first_row_id, b.size, b.row_id, avg(1 - list_distance(a.elements, b.elements) ** 2 / (2 * similar_within ** 2)) AS affinity
+  FROM x a JOIN x b USING (first_row_id) JOIN matrix_headers h ON h.matrix_id = b.matrix_id GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY first_row_id ORDER BY round(affinity, 9) DESC, row_id) AS rank FROM near)
+SELECT matrix_id, first_row_id, size, rank, row_id, round(affinity, 6) AS affinity FROM ranked WHERE rank <= 3""",
 }

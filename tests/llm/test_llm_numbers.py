@@ -114,10 +114,10 @@ def shifted(groups):
     return {g: (ids + 1000 * g, x, label) for g, (ids, x, label) in groups.items()}
 
 
-@pytest.mark.parametrize("chunk", [4096, 16])
-def test_similarity_clusters(spark, chunk):
+@pytest.mark.parametrize(("chunk", "most"), [(4096, 20_000), (16, 20_000), (16, 6)])
+def test_similarity_clusters(spark, chunk, most):
     groups = shifted(GROUPS)
-    got = {r["id"]: (r["first_id"], r["size"]) for r in P4.similarity_clusters(frame(spark, groups), "m", "row", "e", "r", chunk=chunk).collect()}
+    got = {r["id"]: (r["first_id"], r["size"]) for r in P4.similarity_clusters(frame(spark, groups), "m", "row", "e", "r", chunk=chunk, most=most).collect()}
     want = {}
     for ids, _, label in groups.values():
         for c in set(label):
@@ -126,6 +126,26 @@ def test_similarity_clusters(spark, chunk):
     assert got == want
 
 
+def across_cells(spark):
+    """Cliques on a line and in space, each across a border of the grid's cells."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + rng.uniform(-0.25, 0.25, (12, 3)) for c in rng.uniform(-200, 200, (150, 3))])
+    return x, spark.createDataFrame([(1, i, v, 1.0) for i, v in enumerate(x.tolist())], "m int, row int, e array<double>, r double").repartition(3)
+
+
+def test_iteration_joins_the_anchors_of_a_cluster(spark, monkeypatch):
+    x, df = across_cells(spark)
+    want = {i: (i // 12 * 12, 12) for i in range(len(x))}
+    result = lambda **more: {r["id"]: (r["first_id"], r["size"]) for r in P4.similarity_clusters(df, "m", "row", "e", "r", **more).collect()}
+    assert result() == want
+    assert result(rounds=0) != want  # without the power iteration clusters fall apart into their anchors
+
+
+def test_few_vectors_and_chains(spark):
+    chain = spark.createDataFrame([(1, i, [i * 0.8], 1.0) for i in range(12)], "m int, row int, e array<double>, r double").repartition(3)
+    assert {r["first_id"] for r in P4.similarity_clusters(chain, "m", "row", "e", "r", chunk=2, rounds=5).collect()} <= {*range(12)}
+
+
 def test_clusters_of_odd_input(spark):
     schema = "m int, row int, e array<double>, r double"
     df = spark.createDataFrame([(1, 1, [0.0], 1.0), (1, 2, None, 1.0), (None, 3, [0.0], 1.0), (1, None, [0.0], 1.0), (1, 4, [0.0], None), (1, 5, [0.0], 0.0), (1, 6, [0.0], 1.0)], schema)
@@ -142,13 +162,14 @@ def test_typical_members(spark):
     groups = shifted(GROUPS)
     df = frame(spark, groups, extra=False)
     found = P4.similarity_clusters(df, "m", "row", "e", "r")
-    top = P4.typical_members(df, found, "row", "e", 2).collect()
-    ids, x, label = groups[1]
-    for c in set(label):
-        mine = label == c
-        off = ((x[mine] - x[mine].mean(0)) ** 2).sum(1).round(9)
-        want = [int(i) for _, i in sorted(zip(off, ids[mine], strict=True))][:2]
-        assert [r["id"] for r in sorted(top, key=lambda r: r["rank"]) if r["first_id"] == ids[mine].min()] == want
+    top = P4.typical_members(df, found, "row", "e", "r", 2).collect()
+    for ids, x, label in groups.values():
+        for c in set(label):
+            mine = label == c
+            d = ((x[mine][:, None] - x[mine][None]) ** 2).sum(2)
+            affinity = (1 - d / 2).mean(1)
+            want = [(int(i), pytest.approx(a, abs=2e-6)) for a, i in sorted(zip(affinity.round(9), ids[mine], strict=True), key=lambda p: (-p[0], p[1]))][:2]
+            assert [(r["id"], r["affinity"]) for r in sorted(top, key=lambda r: r["rank"]) if r["first_id"] == ids[mine].min()] == want
 
 
 def test_spectral_clusters_separate_groups(spark):
