@@ -1,8 +1,9 @@
 """Mixes of sources by target shares of tokens.
 
 Documents are counted by source and exact token length.  A source gives whole passes while its budget holds them; of the
-rest each length gives its proportional number of documents, and a bounded-knapsack dynamic program over the lengths left
-fits the remaining tokens.  If no choice of them does, it starts from all documents of the source and keeps what comes nearer.
+rest each length gives its proportional number of documents, rounded by largest remainders (equal ones in the order of a
+seeded hash), so that the documents added are as long as the source's.  A bounded-knapsack dynamic program over the lengths
+left fits the last tokens.  If no choice of them does, it starts from all documents of the source and keeps what comes nearer.
 Which documents of a length are taken is settled by a seeded hash.  Only the counts by length of the sources in the mixes
 reach the driver.
 """
@@ -85,7 +86,7 @@ def fit_counts(rest: int, lengths: dict[int, int], budget: int = BUDGET) -> dict
 
 
 def mix_plan(sized: DataFrame, targets: DataFrame) -> list[dict]:
-    """For each row of the targets what its source has and gives: tokens, target_tokens, passes, rest, short."""
+    """For each row of the targets what its source has and is asked for: tokens, target_tokens, passes, rest."""
     per = {r["source"]: r["tokens"] for r in sized.where("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("tokens")).join(targets.select("source").distinct(), "source").collect()}  # a row for each target source
     total = sized.agg(F.sum("n_tokens")).first()[0] or 0
     plan = []
@@ -94,7 +95,7 @@ def mix_plan(sized: DataFrame, targets: DataFrame) -> list[dict]:
         want = r["target_share"] * r["size_ratio"] * total
         passes = min(r["max_uses"], int(want // have)) if have else 0
         rest = int(want - passes * have) if have and passes < r["max_uses"] else 0
-        plan.append(r.asDict() | {"tokens": have, "target_tokens": want, "passes": passes, "rest": rest, "short": r["max_uses"] * have < want})
+        plan.append(r.asDict() | {"tokens": have, "target_tokens": want, "passes": passes, "rest": rest})
     return plan
 
 
@@ -103,8 +104,18 @@ def _sized(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return cut(token_counts(docs, ["doc_id", "source"], "text", **more))
 
 
+def _by_remainder(rest: int, n_tokens: np.ndarray, f: np.ndarray, h: np.ndarray, reserve: int) -> np.ndarray:
+    """Positions of the lengths that give one document more, by descending remainder, until all but `reserve` of the rest is
+    filled or the next doesn't fit."""
+    o = np.lexsort((h, -f))
+    o = o[f[o] > 0]
+    return o[: int(np.searchsorted(np.cumsum(n_tokens[o]), rest - reserve, "right"))]
+
+
 def mix(sized: DataFrame, targets: DataFrame, seed: int = SEED, budget: int = BUDGET) -> tuple[DataFrame, list[dict]]:
-    """(mix_id, doc_id, source, n_tokens, uses) of the documents used, and the plan.
+    """(mix_id, doc_id, source, n_tokens, uses) of the documents used, and the plan: for each row of the targets its columns,
+    the source's tokens, target_tokens, the tokens given, and whether the source is short, i.e. gives every document max_uses
+    times and yet less than its target.
 
     sized: doc_id, source, n_tokens. A document is used at most max_uses times, in whole passes and at most one partial pass;
     the tokens given never exceed the target. A source that is short gives all it may. Documents of 0 tokens, and those
@@ -116,28 +127,43 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = SEED, budget: int = BU
     rows = spark.createDataFrame([(p["mix_id"], p["source"], p["passes"], p["rest"], p["tokens"]) for p in plan], schema)
     docs = sized.where("n_tokens > 0 and source is not null")
     lens = cut(docs.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n")))
-    base = lens.join(F.broadcast(rows), "source").withColumn("take", F.floor(F.col("n") * (F.col("rest") / F.col("tokens"))))  # rows: one for each target
-    base = base.withColumn("take", F.least("take", "n"))
-    left = {(r["mix_id"], r["source"]): r["rest"] - r["given"] for r in base.groupBy("mix_id", "source", "rest").agg(F.sum(F.col("take") * F.col("n_tokens")).alias("given")).collect()}
+    part = F.col("n") * (F.col("rest") / F.col("tokens"))
+    base = lens.join(F.broadcast(rows), "source").withColumns({"take": F.least(F.floor(part), "n"), "f": part - F.floor(part), "h": F.xxhash64("n_tokens", F.lit(seed))})  # rows: one for each target
     # at most sqrt(2 * tokens) lengths for each target
-    counts = base.where("rest > 0").select("mix_id", "source", "n_tokens", "n", "take").collect()
-    have: dict = {}
-    for r in counts:
-        have.setdefault((r["mix_id"], r["source"]), {})[r["n_tokens"]] = (r["n"], r["take"])
-    extra = []
-    for key, rest in left.items():
+    counts = base.where("rest > 0").select("mix_id", "source", "n_tokens", "n", "take", "f", "h").toPandas()
+    extra, limits = [], []
+    asked = {(p["mix_id"], p["source"]): p["rest"] for p in plan}
+    for (mix_id, source), group in counts.groupby(["mix_id", "source"]):
+        key = (int(mix_id), source)
+        size, n, take, f, h = (group[c].to_numpy() for c in ("n_tokens", "n", "take", "f", "h"))
+        rest = asked[key] - int((take * size).sum())
+        more = _by_remainder(rest, size, f, h, budget // 16)
+        if len(more):
+            limits.append((*key, float(f[more[-1]]), int(h[more[-1]])))
+            take = take.copy()
+            take[more] += 1
+            rest -= int(size[more].sum())
         if rest <= 0:
             continue
-        more = fit_counts(rest, {n: c - t for n, (c, t) in have[key].items()}, budget)
-        if gap := rest - sum(n * c for n, c in more.items()):
-            given = sum(n * t for n, (_, t) in have[key].items())
-            anew = fit_counts(rest + given, {n: c for n, (c, _) in have[key].items()}, budget)
-            if sum(n * c for n, c in anew.items()) > rest + given - gap:
-                more = {n: anew.get(n, 0) - t for n, (_, t) in have[key].items()}
-        extra += [(*key, n, c) for n, c in more.items()]
+        taken, left = dict(zip(size.tolist(), take.tolist(), strict=True)), dict(zip(size.tolist(), (n - take).tolist(), strict=True))
+        fill = fit_counts(rest, left, budget)
+        if gap := rest - sum(k * c for k, c in fill.items()):
+            given = int((take * size).sum())
+            anew = fit_counts(rest + given, {k: left[k] + taken[k] for k in taken}, budget)
+            if sum(k * c for k, c in anew.items()) > rest + given - gap:
+                fill = {k: anew.get(k, 0) - t for k, t in taken.items()}
+        extra += [(*key, k, c) for k, c in fill.items() if c]
     extra_df = spark.createDataFrame(extra, "mix_id int, source string, n_tokens bigint, extra bigint")
-    takes = base.join(extra_df, ["mix_id", "source", "n_tokens"], "left").select("mix_id", "source", "n_tokens", "passes", (F.col("take") + F.coalesce("extra", F.lit(0))).alias("take")).where("passes > 0 or take > 0")
+    limit_df = spark.createDataFrame(limits, "mix_id int, source string, _f double, _h bigint")
+    rounded = F.coalesce((F.col("f") > 0) & ((F.col("f") > F.col("_f")) | (F.col("f") == F.col("_f")) & (F.col("h") <= F.col("_h"))), F.lit(False)).cast("int")
+    takes = base.join(F.broadcast(limit_df), ["mix_id", "source"], "left").join(extra_df, ["mix_id", "source", "n_tokens"], "left")  # limit_df: one row for each target
+    takes = takes.select("mix_id", "source", "n_tokens", "n", "passes", (F.col("take") + rounded + F.coalesce("extra", F.lit(0))).alias("take")).where("passes > 0 or take > 0")
     takes, hint = small(takes)
+    given = {(r["mix_id"], r["source"]): r["given"] for r in takes.groupBy("mix_id", "source").agg(F.sum((F.col("passes") * F.col("n") + F.col("take")) * F.col("n_tokens")).alias("given")).collect()}  # a row for each target
+    for p in plan:
+        p["given"] = given.get((p["mix_id"], p["source"]), 0)
+        p["short"] = p["given"] < p["target_tokens"] and p["given"] == p["max_uses"] * p["tokens"]
+    takes = takes.drop("n")
 
     h = F.xxhash64("doc_id", F.lit(seed))
     ranked = docs.select("doc_id", "source", "n_tokens", h.alias("h"), F.pmod(F.shiftright(h, 40), F.lit(BUCKETS)).alias("b"))
@@ -176,7 +202,8 @@ def q_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_found(spark: SparkSession, d: str) -> DataFrame:
-    plan = mix_plan(*_inputs(spark, d))
+    """The mixes are fitted by their lengths; which documents are taken is left out."""
+    _, plan = mix(*_inputs(spark, d))
     return _plan_rows(spark, plan).where("short").select("mix_id", "source")
 
 

@@ -193,6 +193,21 @@ def test_mix_of_long_texts(spark):
     assert got.doc_id.is_unique and got.groupby("source").n_tokens.sum().to_dict() == wish
 
 
+def test_added_documents_are_as_long_as_the_source(spark):
+    """Millions of lengths by counts: the rounding takes no side for long texts."""
+    rng = np.random.default_rng(8)
+    size = np.maximum(1, rng.lognormal(6, 1.2, 20_000).astype(int))
+    sized = spark.createDataFrame([(i, "a", int(n)) for i, n in enumerate(size)], "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([(1, "a", 0.4, 1, 1.0)], "mix_id int, source string, target_share double, max_uses int, size_ratio double")
+    got, plan = P7.mix(sized, targets)
+    got = got.toPandas()
+    assert got.n_tokens.sum() == int(0.4 * size.sum()) == plan[0]["given"] and not plan[0]["short"]
+    assert abs(got.n_tokens.mean() / size.mean() - 1) < 0.05
+    f = np.full(1000, 0.4)
+    more = P7._by_remainder(200_000, np.arange(1, 1001), f, rng.permutation(1000), 0)
+    assert abs((np.arange(1, 1001)[more]).mean() / 500 - 1) < 0.1
+
+
 def test_fitted_counts_beyond_the_budget():
     assert P7.fit_counts(100_000, {60_000: 1, 50_000: 2}) == {50_000: 2}
     assert P7.fit_counts(99_999, {60_000: 1, 50_000: 2}) == {60_000: 1}
