@@ -3,18 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the checkpoint folder that all executors share: later steps neither repeat the plan nor depend on
-    an executor's memory. The folder is spark.checkpoint.dir of the session; only a local session gets one of its own."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share: spark.checkpoint.dir of the session; only a local session gets one of
+    its own."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="metricloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the checkpoint folder: later steps neither repeat the plan nor depend on an executor's memory."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
+
+def stored(df: DataFrame) -> DataFrame:
+    """As `cut`, in a Parquet table, which takes less space and reads only the columns that a later step needs."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
