@@ -60,8 +60,25 @@ def test_hot_span_and_long_text(spark):
     df = spark.createDataFrame(rows, "seq_id int, seq string")
     got = {(r["rid"], r["span_start"], r["span_end"]) for r in P2.shared_spans(df, "seq_id", "seq", 64).collect()}
     assert got == {(i, 0, 80) for i in range(300)} | {(1000, 1000, 4000), (1001, 1, 3001)}
-    later = {r["rid"]: r["non_first"] for r in P2.shared_spans(df, "seq_id", "seq", 64).collect()}
-    assert not later[0] and later[1] and not later[1000] and later[1001]
+    left = {r["rid"]: (r["txt"], r["n_removed"]) for r in P2.cleaned(df, "seq_id", "seq", 64).collect()}
+    assert left[0] == (rows[0][1], 0) and left[1] == (chr(0x4E01), 80) and left[1000] == (long, 0) and left[1001] == ("N", 3000)
+
+
+def test_cleaned_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(P2, "MOST_BITS", 7)  # a map that lets through nearly all
+    rng = np.random.default_rng(3)
+    texts = {i: "".join(rng.choice(list("AC"), rng.integers(0, 40))) for i in range(20)}
+    df = spark.createDataFrame([*texts.items(), (4, texts[4]), (50, None)], "seq_id int, seq string").repartition(3)
+    runs = {}
+    for i, t in sorted(texts.items()):
+        for p in range(len(t) - 5):
+            runs.setdefault(t[p : p + 6], i)
+    want = {50: (None, None)}
+    for i, t in texts.items():
+        gone = {q for p in range(len(t) - 5) if runs[t[p : p + 6]] < i for q in range(p, p + 6)}
+        want[i] = ("".join(c for q, c in enumerate(t) if q not in gone), len(gone))
+    assert {r["rid"]: (r["txt"], r["n_removed"]) for r in P2.cleaned(df, "seq_id", "seq", 6).collect()} == want
+    assert {r["rid"]: r["n_later"] for r in P2.shared_shares(df, "seq_id", "seq", 6).collect()} == {i: n for i, (_, n) in want.items()}
 
 
 def test_shares(spark):
