@@ -30,7 +30,7 @@ HOT_SHARE = 4096
 #: Symbols that are hashed at once.
 BLOCK = 1 << 20
 #: Bits of the map for each shared anchor, and of the whole map at most (as a power of 2). A fuller map lets more through.
-EACH, MOST_BITS = 16, 30
+EACH, MOST_BITS = 256, 30
 
 _U = np.uint64
 _SEEDS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
@@ -59,14 +59,14 @@ def _codes(text: str) -> np.ndarray:
 
 
 def window_argmin(h: np.ndarray, width: int) -> np.ndarray:
-    """Position of the smallest value (the first, of equals) in each window, by doubling."""
-    at, size = np.arange(len(h)), 1
+    """Position of the smallest value (the first, of equals in the leading bits) in each window, by doubling."""
+    low = _U((1 << max(1, len(h).bit_length())) - 1)
+    least, size = (h & ~low) | np.arange(len(h), dtype=_U), 1
     while size < width:
         step = min(size, width - size)
-        a, b = at[:-step], at[step:]
-        at = np.where(h[b] < h[a], b, a)
+        least = np.minimum(least[:-step], least[step:])
         size += step
-    return at
+    return (least & low).astype(np.int64)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
@@ -131,8 +131,13 @@ def _runs(length: int, k: int, sent):
             keep = np.repeat(hit, np.diff(np.r_[first, len(pos)]))
             pos, piece = pos[keep], piece[keep]
             if len(pos):
-                h1, h2 = (run_hashes(codes, length, s)[pos].view(np.int64) for s in _SEEDS)
-                cols = (h1, h2, rid[piece], pos - offset[piece] + start[piece])
+                some = np.zeros(len(size), bool)
+                some[piece] = True
+                part = codes[np.repeat(some, size)]  # of pieces with such runs
+                now = np.cumsum(size * some) - size * some
+                at = pos - offset[piece]
+                h1, h2 = (run_hashes(part, length, s)[at + now[piece]].view(np.int64) for s in _SEEDS)
+                cols = (h1, h2, rid[piece], at + start[piece])
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h1", "h2", "rid", "pos"])
 
     return run
