@@ -13,6 +13,7 @@ The histogram of the leading bits is also a summary that can be added up: days o
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -105,9 +106,15 @@ def radix_percentiles(
     return at.select(*g, "p", "n", key_value(near).alias("value"), F.lit(rel).alias("rel_error"))
 
 
+def _rank(p: float) -> Column:
+    """ceil(p * n) in whole numbers; p is taken as the nearest ratio with a denominator up to a million."""
+    ratio = Fraction(p).limit_denominator(10**6)
+    return F.expr(f"(n * {ratio.numerator}L + {ratio.denominator - 1}L) div {ratio.denominator}L")
+
+
 def _at_ranks(hist: DataFrame, probs: Sequence[float]) -> DataFrame:
     """The buckets that hold the ranks of probs: hist with _t (p, rank), once for each."""
-    ranks = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.ceil(F.lit(float(p)) * F.col("n") - 1e-9).alias("rank")) for p in probs])
+    ranks = F.array(*[F.struct(F.lit(float(p)).alias("p"), _rank(p).alias("rank")) for p in probs])
     return hist.withColumn("_t", F.explode(ranks)).where("_t.rank <= _cum and _t.rank > _cum - _c")
 
 
@@ -201,6 +208,19 @@ g AS (SELECT *, abs(x) AS a, CASE WHEN x = 0 THEN 0 ELSE floor(log2(abs(x))) END
 e AS (SELECT *, e0 + CASE WHEN pow(2, e0) > a THEN -1 WHEN pow(2, e0 + 1) <= a THEN 1 ELSE 0 END AS e FROM g),
 k AS (SELECT *, CASE WHEN x = 0 THEN 0 ELSE (e + 1023) * 1024 + (a / pow(2, e) - 1) * 1024 END AS k FROM e)
 SELECT dataset_id, run_ts::DATE::VARCHAR AS day, metric_name, (CASE WHEN x < 0 THEN -ceil(k) ELSE floor(k) END)::BIGINT AS digit, count(*) AS n FROM k GROUP BY ALL""",
+    "p1_merged": f"""WITH {_LONG},
+g AS (SELECT *, abs(x) AS a, CASE WHEN x = 0 THEN 0 ELSE floor(log2(abs(x))) END AS e0 FROM long),
+e AS (SELECT *, e0 + CASE WHEN pow(2, e0) > a THEN -1 WHEN pow(2, e0 + 1) <= a THEN 1 ELSE 0 END AS e FROM g),
+k AS (SELECT *, CASE WHEN x = 0 THEN 0 ELSE (e + 1023) * 1024 + (a / pow(2, e) - 1) * 1024 END AS k FROM e),
+digits AS (SELECT dataset_id, metric_name, (CASE WHEN x < 0 THEN -ceil(k) ELSE floor(k) END)::BIGINT AS digit FROM k),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, metric_name ORDER BY digit) AS rn, count(*) OVER (PARTITION BY dataset_id, metric_name) AS n FROM digits),
+ps AS (SELECT unnest([0.25, 0.5, 0.75, 0.9, 0.99])::DOUBLE AS p),
+held AS (SELECT *, CASE WHEN digit < 0 THEN -digit ELSE digit END AS m, CASE WHEN digit < 0 THEN -digit - 1 ELSE digit END AS i FROM ranked, ps WHERE rn = ceil(p * n - 1e-9)),
+edges AS (SELECT dataset_id, metric_name, p, n,
+  CASE WHEN digit = 0 THEN 0 WHEN digit > 0 THEN pow(2, m // 1024 - 1023) * (1 + (m % 1024) / 1024) ELSE -pow(2, m // 1024 - 1023) * (1 + (m % 1024) / 1024) END AS low,
+  CASE WHEN digit = 0 THEN (pow(2, 42) - 1) * pow(2, -537) * pow(2, -537) WHEN digit > 0 THEN pow(2, i // 1024 - 1023) * (1 + (i % 1024 + 1) / 1024 - pow(2, -52))
+    ELSE -pow(2, i // 1024 - 1023) * (1 + (i % 1024) / 1024 + pow(2, -52)) END AS high FROM held)
+SELECT *, low + (high - low) / 2 AS estimate, pow(2, -11)::DOUBLE AS rel_error FROM edges""",
     "p1_found": f"""WITH {_LONG},
 q AS (SELECT dataset_id, metric_name, quantile_disc(x, 0.5) AS med, quantile_disc(x, 0.9) AS p90 FROM long GROUP BY ALL)
 SELECT DISTINCT dataset_id, metric_name FROM q JOIN spread_limits USING (metric_name) WHERE p90 >= min_ratio * med""",

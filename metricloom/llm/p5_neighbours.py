@@ -634,7 +634,7 @@ def recall(df: DataFrame, group_col: str, id_col: str, vec_col: str, found: Data
 def q_neighbours(spark: SparkSession, d: str) -> DataFrame:
     near = nearest(usable_rows(spark, d), "matrix_id", "row_id", "elements")
     out = near.select(F.col("grp").alias("matrix_id"), F.col("id").alias("row_id"), F.posexplode("near").alias("rank", "n"))
-    return out.select("matrix_id", "row_id", (F.col("rank") + 1).alias("rank"), F.col("n.id").alias("neighbour_id"), F.round("n.d", 9).alias("distance"))
+    return out.select("matrix_id", "row_id", (F.col("rank") + 1).alias("rank"), F.col("n.id").alias("neighbour_id"), F.round("n.d", 6).alias("distance"))
 
 
 def q_found(spark: SparkSession, d: str) -> DataFrame:
@@ -646,10 +646,11 @@ def q_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p5_neighbours": q_neighbours, "p5_found": q_found}
-ORACLES = {
-    "p5_found": """WITH rows AS (SELECT DISTINCT matrix_id, row_id, elements, similar_within FROM matrix_rows JOIN matrix_headers USING (matrix_id)
+_BEST = """rows AS (SELECT DISTINCT matrix_id, row_id, elements, similar_within FROM matrix_rows JOIN matrix_headers USING (matrix_id)
   WHERE len(elements) = n_columns AND len(list_filter(elements, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-near AS (SELECT a.row_id AS a, b.row_id AS b, a.similar_within AS r, list_distance(a.elements, b.elements) AS d FROM rows a JOIN rows b ON a.matrix_id = b.matrix_id AND a.row_id <> b.row_id),
-best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM near)
-SELECT DISTINCT least(a, b) AS row_id_a, greatest(a, b) AS row_id_b FROM best WHERE k <= 5 AND d <= r""",
+near AS (SELECT a.matrix_id, a.row_id AS a, b.row_id AS b, a.similar_within AS r, list_distance(a.elements, b.elements) AS d FROM rows a JOIN rows b ON a.matrix_id = b.matrix_id AND a.row_id <> b.row_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM near)"""
+ORACLES = {
+    "p5_found": f"WITH {_BEST} SELECT DISTINCT least(a, b) AS row_id_a, greatest(a, b) AS row_id_b FROM best WHERE k <= 5 AND d <= r",
+    "p5_neighbours": f"WITH {_BEST} SELECT matrix_id, a AS row_id, k::INT AS rank, b AS neighbour_id, round(d, 6) AS distance FROM best WHERE k <= 5",
 }

@@ -6,7 +6,7 @@ associatively; as its state depends on the place in the current class run only,
 shifted comparisons over the array.  Slices between boundaries are grouped by a rolling hash (equality is then verified
 symbol by symbol), each distinct slice is merged once, and merges are cached for the worker's life.
 
-Slice and token offsets are kept, so that ids can be cut and decoded again.
+`token_offsets` gives the place of every token in its text, so that ids can be cut and decoded again.
 """
 
 from __future__ import annotations
@@ -250,6 +250,29 @@ def token_counts(df: DataFrame, keep: list[str], text_col: str, vocabulary: str
     return df.select(*keep, F.col(text_col).alias("_txt")).mapInArrow(_counts(_vocabulary(df.sparkSession, vocabulary)), f"{fields}, n_tokens bigint")
 
 
+def token_offsets(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(id, ids, starts, n_bytes): the ids, at which byte of the text (in UTF-8) each token starts, and the bytes of the text.
+    Ids a to b - 1 decode to the bytes from starts[a] up to starts[b]. Null and empty texts have empty lists."""
+    raw = _vocabulary(df.sparkSession, vocabulary)
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(raw.value)
+        size = np.zeros(max(enc.ranks.values()) + 1, np.int64)
+        size[list(enc.ranks.values())] = [len(w) for w in enc.ranks]
+        for batch in batches:
+            done = 0
+            for texts in blocks(batch.column(1).to_pylist()):
+                ids, offsets, _ = enc.encode(texts)
+                total = np.r_[0, np.cumsum(size[ids])]
+                starts = total[:-1] - np.repeat(total[offsets[:-1]], np.diff(offsets))
+                lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int32())) for x in (ids, starts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(texts)), *lists, pa.array(np.diff(total[offsets]))], ["id", "ids", "starts", "n_bytes"])
+                done += len(texts)
+
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("txt")).mapInArrow(run, f"id {kind}, ids array<int>, starts array<int>, n_bytes bigint")
+
+
 def decode_ids(df: DataFrame, id_col: str, ids_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, text): the bytes of the ids, joined. Null and empty lists give an empty text; bytes that are no UTF-8, as when a
     list was cut inside a character, give U+FFFD."""
@@ -269,6 +292,13 @@ def q_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def q_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document whether its tokens start in order from its first byte, and the bytes that they cover."""
+    at = token_offsets(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
+    rising = F.aggregate("starts", F.lit(-1), lambda a, x: F.when((a >= -1) & (x > a), x).otherwise(-2)) >= -1
+    return at.select(F.col("id").alias("doc_id"), (rising & (F.coalesce(F.get("starts", F.lit(0)), F.lit(0)) == 0)).alias("in_order"), "n_bytes")
+
+
 def q_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """The decoded ids of each document against its text."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
@@ -277,5 +307,8 @@ def q_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.join(docs, back["id"] == docs["doc_id"]).select("doc_id", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
 
 
-QUERIES = {"p6_ids": q_ids, "p6_roundtrip": q_roundtrip}
-ORACLES = {"p6_roundtrip": "SELECT doc_id, true AS same FROM documents"}
+QUERIES = {"p6_ids": q_ids, "p6_roundtrip": q_roundtrip, "p6_offsets": q_offsets}
+ORACLES = {
+    "p6_roundtrip": "SELECT doc_id, true AS same FROM documents",
+    "p6_offsets": "SELECT doc_id, true AS in_order, coalesce(strlen(text), 0)::BIGINT AS n_bytes FROM documents",
+}

@@ -132,7 +132,7 @@ def test_ids_of_any_text(coder, reference, texts):
     assert encoded(coder, texts) == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_ids_and_counts_of_a_table(spark, reference):
+def test_ids_and_counts_of_a_table(spark, coder, reference):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(99, None), (None, "abc"), (5, "again")]
     df = spark.createDataFrame(rows, "key int, text string").withColumn("ids", F.lit("x")).withColumn("id", F.lit(3))
     got = sorted(((r["id"] is None, r["id"] or 0), list(r["ids"])) for r in P6.token_ids(df, "key", "text").collect())
@@ -142,6 +142,13 @@ def test_ids_and_counts_of_a_table(spark, reference):
     back = P6.decode_ids(P6.token_ids(df.where("key is not null"), "key", "text"), "id", "ids")
     assert sorted(r["text"] for r in back.collect()) == sorted(t or "" for k, t in rows if k is not None)
     assert P6.token_ids(df.limit(0), "key", "text").count() == 0
+    texts, word = {k: t or "" for k, t in rows if k != 5}, {v: k for k, v in coder.ranks.items()}
+    for r in P6.token_offsets(df.where("key is null or key <> 5"), "key", "text").collect():
+        raw = texts[r["id"]].encode()
+        assert r["n_bytes"] == len(raw)
+        assert [raw[a : a + len(word[i])] for a, i in zip(r["starts"], r["ids"], strict=True)] == [word[i] for i in r["ids"]]
+        assert sum(len(word[i]) for i in r["ids"]) == len(raw)
+    assert P6.token_offsets(df.limit(0), "key", "text").count() == 0
 
 
 def test_blocks_and_cache(coder, monkeypatch):
