@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from metricloom.llm.p3_subset import LEAVES, _matrix, _squares, cluster_features
+from metricloom.llm.p3_subset import LEAVES, _matrix, _squares, cluster_features, weighted
 from metricloom.llm.shared import cut, usable_rows
 
 #: Anchors of a row; iterated vectors; iterations.
@@ -73,7 +73,7 @@ def spectral_clusters(df: DataFrame, group_col: str, id_col: str, vec_col: str,
     spark = df.sparkSession
     rows = df.select(F.col(group_col).cast("int").alias("grp"), F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec")).where("grp is not null and id is not null and vec is not null")
     groups = [r["grp"] for r in rows.select("grp").distinct().collect()]  # a row for each group
-    found = cluster_features(rows, dict.fromkeys(groups, leaves)).toPandas()
+    found = cluster_features(weighted(rows.withColumn("grp", F.col("grp").cast("bigint"))), dict.fromkeys(groups, leaves)).toPandas()
     anchors: dict = {}
     for g, part in found.groupby("grp"):
         mean = np.stack(part["mean"].to_numpy())

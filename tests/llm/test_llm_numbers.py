@@ -289,15 +289,25 @@ def test_block_search(n, dim, k, seed):
 # -- subsets
 
 
-def test_features_add_up_far_from_the_origin():
+@pytest.mark.parametrize("branches", [4, 64])
+def test_features_add_up_far_from_the_origin(branches):
     x = RNG.normal(1e6, 1, (2000, 3))
-    f, _ = P3.condense((np.ones(len(x)), x, np.zeros(len(x))), 50)
-    n, mean, dev = f
-    assert len(n) <= 50 and n.sum() == 2000
+    tree = P3.FeatureTree(branches=branches)
+    for a in range(0, 2000, 300):
+        part = x[a : a + 300]
+        tree.insert((np.ones(len(part)), part, np.zeros(len(part))))
+        tree = P3.condense(tree, 50)
+    n, mean, dev = P3.entries(tree)
+    assert 10 <= len(n) <= 50 and n.sum() == 2000 and max(len(f[0]) for f in tree.leaf_nodes()) <= branches
     total = dev.sum() + (n * ((mean - x.mean(0)) ** 2).sum(1)).sum()
     assert total == pytest.approx(((x - x.mean(0)) ** 2).sum(), rel=1e-6)
 
 
+def test_quotas():
+    assert P3._quotas(10, np.array([1.0, 1.0, 2.0]), np.array([9, 1, 9])).tolist() == [3, 1, 6]
+    assert P3._quotas(5, np.array([1.0, 1.0]), np.array([1, 2])).tolist() == [1, 2]
+
+
 def test_ward_cut_finds_separate_groups():
     x = np.concatenate([RNG.normal(c, 0.1, (20, 2)) for c in ((0, 0), (9, 0), (0, 9))])
     got = P3.ward_cut((np.ones(60), x, np.zeros(60)), 3)
@@ -318,6 +328,22 @@ def test_subset_covers_clusters_and_counts(spark):
         assert {label[ids == i][0] for i in got[request]} == set(range(12))
 
 
+@pytest.mark.parametrize("one", [4, 30])
+def test_large_requests_are_divided(spark, one):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 50, (60, 3))
+    x = np.concatenate([centres[i] + rng.normal(0, 0.2, (300 if i == 0 else 10, 3)) for i in range(60)])
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(x.tolist())] + [(2, 10_000 + i, [1.0, 1.0]) for i in range(50)], "m int, row int, e array<double>").repartition(3)
+    df = df.unionByName(df.limit(20))
+    asked = spark.createDataFrame([(1, 1, 120), (2, 1, 60), (3, 2, 40), (4, 1, 3)], "request int, grp int, size int")
+    got = {}
+    for r in P3.varied_subset(df, "m", "row", "e", asked, one=one).collect():
+        got.setdefault(r["request"], set()).add(r["id"])
+    assert {r: len(v) for r, v in got.items()} == {1: 120, 2: 60, 3: 40, 4: 3}
+    label = np.repeat(np.arange(60), [300] + [10] * 59)
+    assert len({label[i] for i in got[1]}) >= 54 and sum(label[i] == 0 for i in got[1]) <= 40
+
+
 def test_subset_of_equal_rows_and_of_nothing(spark):
     df = spark.createDataFrame([(1, i, [1.0, 1.0]) for i in range(9)] + [(1, None, [1.0, 1.0]), (1, 10, None)], "m int, row int, e array<double>")
     asked = spark.createDataFrame([(1, 1, 4)], "request int, grp int, size int")
