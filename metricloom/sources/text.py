@@ -1,7 +1,8 @@
 """Readers of the text formats and of Parquet: each gives a DataFrame with a fixed schema.
 
-Files are read by Spark's own text and CSV readers and stay distributed. Where a format's order matters (headers, row limits),
-lines are numbered by `numbered_lines`. Lines that don't parse are left out; an empty file gives an empty DataFrame.
+Files are read by Spark's own text reader and stay distributed. Where a format's order matters (headers, row limits), lines are
+numbered by `numbered_lines`. A path may be a folder, each file of it with its own header; its files follow one another by
+name. Lines that don't parse are left out; an empty file gives an empty DataFrame.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 LOADERS: dict[str, Callable[..., DataFrame]] = {}
@@ -33,9 +33,24 @@ def load(spark: SparkSession, kind: str, path: str, **options: object) -> DataFr
     return LOADERS[kind](spark, path, **options)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(no, line), numbered from 0 in the order of the file."""
-    return spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF(T.StructType([T.StructField("no", T.LongType()), T.StructField("line", T.StringType())]))
+def _numbered(spark: SparkSession, path: str, header: int, **options: str) -> DataFrame:
+    """(no, line, place, file, block): lines numbered from 0 in the order of the files, headers not counted (theirs is null).
+    place: number in the own file. The lines of each block of a file are counted first; there is a row for each block."""
+    raw = spark.read.options(**options).text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_m")
+    )
+    blocks = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("_m").alias("_first"))
+    order = Window.orderBy("file", "block")
+    blocks = blocks.withColumn("_before", F.sum("n").over(order) - F.col("n")).withColumn("_files", F.dense_rank().over(Window.orderBy("file")))
+    blocks = blocks.withColumn("_start", F.min("_before").over(Window.partitionBy("file"))).drop("n")
+    out = raw.join(F.broadcast(blocks), ["file", "block"]).withColumn("_at", F.col("_before") + F.col("_m") - F.col("_first"))  # blocks: one for each split that is read
+    place = F.col("_at") - F.col("_start")
+    return out.select(F.when(place >= header, F.col("_at") - header * F.col("_files")).alias("no"), "line", place.alias("place"), "file", "block")
+
+
+def numbered_lines(spark: SparkSession, path: str, header: int = 0) -> DataFrame:
+    """(no, line), numbered from 0 in the order of the files, without the first `header` lines of each."""
+    return _numbered(spark, path, header).where("no is not null").select("no", "line")
 
 
 def _numbers(text: Column, split: str = r"[\s,]+") -> Column:
@@ -43,7 +58,7 @@ def _numbers(text: Column, split: str = r"[\s,]+") -> Column:
 
 
 def _first(df: DataFrame, limit: int | None, by: str = "id") -> DataFrame:
-    """The first rows in file order; ids are dense, so this is a filter and no sort."""
+    """The first lines in file order; numbers are dense, so this is a filter and no sort."""
     return df if limit is None else df.where(F.col(by) < limit)
 
 
@@ -54,7 +69,7 @@ def _complete(v: Column) -> Column:
 @loader("vector")
 def read_vectors(spark: SparkSession, path: str, limit: int | None = None, dims: int | None = None) -> DataFrame:
     """(id, v): header `dim n`, then a row of numbers for each vector; the first `dims` values count."""
-    rows = numbered_lines(spark, path).where("no > 0").select((F.col("no") - 1).alias("id"), _numbers(F.col("line")).alias("v"))
+    rows = numbered_lines(spark, path, 1).select(F.col("no").alias("id"), _numbers(F.col("line")).alias("v"))
     rows = _first(rows, limit).where(_complete(F.col("v")))
     return rows.withColumn("v", F.slice("v", 1, dims)) if dims else rows
 
@@ -68,7 +83,7 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
 @loader("dimacs")
 def read_dimacs(spark: SparkSession, path: str, limit: int | None = None, skip: int = 0, dims: int | None = None) -> DataFrame:
     """(id, v): header `base query dim`; `skip` rows are passed over first. ids count from the first row kept."""
-    rows = numbered_lines(spark, path).where(F.col("no") > skip).select((F.col("no") - 1 - skip).alias("id"), _numbers(F.col("line")).alias("v"))
+    rows = numbered_lines(spark, path, 1).where(F.col("no") >= skip).select((F.col("no") - skip).alias("id"), _numbers(F.col("line")).alias("v"))
     rows = _first(rows, limit).where(_complete(F.col("v")))
     return rows.withColumn("v", F.slice("v", 1, dims)) if dims else rows
 
@@ -84,14 +99,18 @@ def read_strings(spark: SparkSession, path: str, limit: int | None = None) -> Da
 def read_fasta(spark: SparkSession, path: str, max_symbols: int | None = None) -> DataFrame:
     """(seq_id, ident, seq): records open with `>`; their lines are joined without blanks. Records beyond the first
     max_symbols symbols are left out, the one that crosses is cut."""
-    raw = spark.read.option("lineSep", "\n>").text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("seq_id bigint, raw string")
-    clean = F.regexp_replace("raw", "^>", "")
-    recs = raw.select("seq_id", F.trim(F.substring_index(F.regexp_replace(clean, "\r", ""), "\n", 1)).alias("ident"), F.when(F.instr(clean, "\n") > 0, F.regexp_replace(F.substring(clean, F.instr(clean, "\n") + 1, F.length(clean)), r"\s+", "")).otherwise("").alias("seq"))
-    recs = recs.where("ident <> '' or seq <> ''")
+    raw = _numbered(spark, path, 0, lineSep="\n>").select(F.col("no").alias("seq_id"), F.col("line").alias("raw"), "file", "block")
+    clean = F.regexp_replace(F.regexp_replace("raw", "^>", ""), "\r", "")
+    body = F.when(F.instr(clean, "\n") > 0, F.regexp_replace(F.substring(clean, F.instr(clean, "\n") + 1, F.length(clean)), r"\s+", "")).otherwise("")
+    recs = raw.select("seq_id", F.trim(F.substring_index(clean, "\n", 1)).alias("ident"), body.alias("seq"), "file", "block").where("ident <> '' or seq <> ''")
     if max_symbols is None:
-        return recs
-    before = F.sum(F.length("seq")).over(Window.orderBy("seq_id")) - F.length("seq")  # a limited read, as the format's option asks
-    return recs.withColumn("_b", before).where(F.col("_b") < max_symbols).select("seq_id", "ident", F.substring("seq", F.lit(1), (F.lit(max_symbols) - F.col("_b")).cast("int")).alias("seq"))
+        return recs.drop("file", "block")
+    # symbols before a record: of earlier blocks (a row each), and of earlier records of its block
+    blocks = recs.groupBy("file", "block").agg(F.sum(F.length("seq")).alias("n"))
+    blocks = blocks.withColumn("_earlier", F.sum("n").over(Window.orderBy("file", "block")) - F.col("n")).drop("n")
+    inside = F.sum(F.length("seq")).over(Window.partitionBy("file", "block").orderBy("seq_id")) - F.length("seq")
+    cut = recs.join(F.broadcast(blocks), ["file", "block"]).withColumn("_b", F.col("_earlier") + inside).where(F.col("_b") < max_symbols)  # blocks: one for each split that is read
+    return cut.select("seq_id", "ident", F.substring("seq", F.lit(1), (F.lit(max_symbols) - F.col("_b")).cast("int")).alias("seq"))
 
 
 def _fragments_of(kind: str) -> None:
@@ -110,16 +129,14 @@ for _k in ("dna", "rna", "peptide"):
 @loader("ms")
 def read_ms(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """(id, peaks): line 1 the count, then `id peak peak ...`; peaks ascending."""
-    rows = numbered_lines(spark, path).where("no > 0").select("no", _numbers(F.col("line")).alias("n")).where(_complete(F.col("n")))
-    rows = _first(rows.withColumn("no", F.col("no") - 1), limit, "no")
+    rows = _first(numbered_lines(spark, path, 1).select("no", _numbers(F.col("line")).alias("n")).where(_complete(F.col("n"))), limit, "no")
     return rows.select(F.element_at("n", 1).cast("bigint").alias("id"), F.array_sort(F.slice("n", F.lit(2), F.size("n"))).alias("peaks"))
 
 
 @loader("msms")
 def read_msms(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """(id, spectrum (precursor, peaks)): line 1 the count, then `id precursor peak ...`."""
-    rows = numbered_lines(spark, path).where("no > 0").select("no", _numbers(F.col("line")).alias("n")).where(_complete(F.col("n")) & (F.size("n") >= 2))
-    rows = _first(rows.withColumn("no", F.col("no") - 1), limit, "no")
+    rows = _first(numbered_lines(spark, path, 1).select("no", _numbers(F.col("line")).alias("n")).where(_complete(F.col("n")) & (F.size("n") >= 2)), limit, "no")
     peaks = F.array_sort(F.slice("n", F.lit(3), F.size("n")))
     return rows.select(F.element_at("n", 1).cast("bigint").alias("id"), F.struct(F.element_at("n", 2).alias("precursor"), peaks.alias("peaks")).alias("spectrum"))
 
@@ -155,9 +172,11 @@ def read_kddcup(spark: SparkSession, path: str, inliers: int | None = None, outl
     where_text = (1, 2, 3)  # Fixed values: columns of text categories (from 0), then of coded flags.
     flags = (6, 11, 20, 21)
     parts = F.split(F.regexp_replace(F.trim("line"), r"\.$", ""), r"\s*,\s*")
-    rows = numbered_lines(spark, path).where("no > 0").select((F.col("no") - 1).alias("id"), parts.alias("p")).where("size(p) = 42")
-    codes = {i: {r["c"]: k for k, r in enumerate(rows.select(F.element_at("p", i + 1).alias("c")).distinct().orderBy("c").limit(1000).collect())} for i in where_text}
-    cat = [F.coalesce(F.create_map(*[F.lit(x) for kv in codes[i].items() for x in kv])[F.element_at("p", i + 1)], F.lit(-1)) if codes[i] else F.lit(-1) for i in where_text]
+    rows = numbered_lines(spark, path, 1).select(F.col("no").alias("id"), parts.alias("p")).where("size(p) = 42")
+    for i in where_text:
+        codes = rows.select(F.element_at("p", i + 1).alias(f"_c{i}")).distinct().withColumn(f"_k{i}", F.row_number().over(Window.orderBy(f"_c{i}")) - 1)  # a row for each category
+        rows = rows.withColumn(f"_c{i}", F.element_at("p", i + 1)).join(codes, f"_c{i}").drop(f"_c{i}")
+    cat = [F.col(f"_k{i}") for i in where_text]
     cat += [F.element_at("p", i + 1).try_cast("int") for i in flags]
     num = [F.element_at("p", i + 1).try_cast("double") for i in range(41) if i not in where_text + flags]
     out = rows.select("id", F.array(*num).alias("num"), F.array(*cat).alias("cat"), (F.element_at("p", 42) == "normal").alias("is_normal")).where(_complete(F.col("num")))
@@ -166,34 +185,30 @@ def read_kddcup(spark: SparkSession, path: str, inliers: int | None = None, outl
 
 def quota(df: DataFrame, label: str, most: dict[bool, int | None], order: str = "id") -> DataFrame:
     """The first rows of each class up to its number; None keeps all."""
-    if all(n is None for n in most.values()):
-        return df
-    r = F.row_number().over(Window.partitionBy(label).orderBy(order))
-    limit = F.when(F.col(label), F.lit(most.get(True))).otherwise(F.lit(most.get(False)))
-    bound = max(n or 0 for n in most.values())
-    if all(n is not None for n in most.values()):  # a constant limit lets each task cut its own rows first
-        return df.withColumn("_r", r).where(F.col("_r") <= bound).where(F.col("_r") <= limit).drop("_r")
-    return df.withColumn("_r", r).where(limit.isNull() | (F.col("_r") <= limit)).drop("_r")
+    out = None
+    for value, n in most.items():
+        part = df.where(F.col(label) == value)
+        part = part if n is None else part.orderBy(order).limit(n)  # each task passes on n rows at most
+        out = part if out is None else out.unionByName(part)
+    return df if all(n is None for n in most.values()) or out is None else out
 
 
 @loader("stock")
 def read_stock(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """(id, name, dates, prices): header, a row of dates, then `id name price ...`."""
-    lines = numbered_lines(spark, path)
-    dates = lines.where("no = 1").select(F.transform(_numbers(F.col("line")), lambda x: x.cast("int")).alias("dates")).limit(1)
+    lines = _numbered(spark, path, 2)
+    dates = lines.where("place = 1").select("file", F.transform(_numbers(F.col("line")), lambda x: x.cast("int")).alias("dates"))  # a row for each file
     parts = F.split(F.trim("line"), r"\s+")
-    rows = lines.where("no > 1").select((F.col("no") - 2).alias("_no"), parts.alias("p")).where("size(p) > 2")
+    rows = lines.where("no is not null").select("file", F.col("no").alias("_no"), parts.alias("p")).where("size(p) > 2")
     prices = F.transform(F.slice("p", F.lit(3), F.size("p")), lambda x: x.try_cast("double"))
-    rows = _first(rows, limit, "_no").select(F.element_at("p", 1).try_cast("int").alias("id"), F.element_at("p", 2).alias("name"), prices.alias("prices")).where(_complete(F.col("prices")))
-    head = dates.collect()  # one row
-    given = F.array(*[F.lit(x) for x in head[0]["dates"]]) if head and head[0]["dates"] else F.array().cast("array<int>")
-    return rows.select("id", "name", given.alias("dates"), "prices")
+    rows = _first(rows, limit, "_no").select("file", F.element_at("p", 1).try_cast("int").alias("id"), F.element_at("p", 2).alias("name"), prices.alias("prices")).where(_complete(F.col("prices")))
+    return rows.join(dates, "file", "left").select("id", "name", F.coalesce("dates", F.array().cast("array<int>")).alias("dates"), "prices")
 
 
 @loader("labelled_vector")
 def read_labelled_vectors(spark: SparkSession, path: str, inliers: int | None = None, outliers: int | None = None) -> DataFrame:
     """(id, v, is_normal): header, then the values and a tag, 1 for normal."""
-    rows = numbered_lines(spark, path).where("no > 0").select((F.col("no") - 1).alias("id"), _numbers(F.col("line")).alias("n")).where(_complete(F.col("n")) & (F.size("n") > 1))
+    rows = numbered_lines(spark, path, 1).select(F.col("no").alias("id"), _numbers(F.col("line")).alias("n")).where(_complete(F.col("n")) & (F.size("n") > 1))
     out = rows.select("id", F.slice("n", F.lit(1), F.size("n") - 1).alias("v"), (F.element_at("n", -1) == 1).alias("is_normal"))
     return quota(out, "is_normal", {True: inliers, False: outliers})
 
@@ -202,7 +217,7 @@ def read_labelled_vectors(spark: SparkSession, path: str, inliers: int | None =
 def read_labelled_dna(spark: SparkSession, path: str, inliers: int | None = None, outliers: int | None = None) -> DataFrame:
     """(id, seq, is_normal): header, then a sequence and its flag."""
     parts = F.split(F.trim("line"), r"\s+")
-    rows = numbered_lines(spark, path).where("no > 0").select((F.col("no") - 1).alias("id"), parts.alias("p")).where("size(p) = 2")
+    rows = numbered_lines(spark, path, 1).select(F.col("no").alias("id"), parts.alias("p")).where("size(p) = 2")
     out = rows.select("id", F.element_at("p", 1).alias("seq"), (F.element_at("p", 2) == "1").alias("is_normal"))
     return quota(out, "is_normal", {True: inliers, False: outliers})
 
