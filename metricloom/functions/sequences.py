@@ -18,27 +18,27 @@ RNA_SYMBOLS = DNA_SYMBOLS.replace("T", "U")
 # Amino acids in the order of their codes; any other symbol has the next code.
 PEPTIDE_SYMBOLS = "ARNDCQEGHILKMFPSTWYV"
 # Weights of an amino acid (R, N, D, ... V) against each before it (A, R, N, ...); 7 against any other symbol.
-PEPTIDE_WEIGHTS = """
-2
-22
-222
-3444
-22224
-222242
-2222322
-22224222
-233333323
-2333433331
-22224222233
-222342323212
-3444444432242
-22223222223224
-222232222232232
-2222322222222322
-54567566554443555
-444434443324314434
-2322332232132222253
-"""
+PEPTIDE_WEIGHTS = (
+    (2,),  # R
+    (2, 2),  # N
+    (2, 2, 2),  # D
+    (3, 4, 4, 4),  # C
+    (2, 2, 2, 2, 4),  # Q
+    (2, 2, 2, 2, 4, 2),  # E
+    (2, 2, 2, 2, 3, 2, 2),  # G
+    (2, 2, 2, 2, 4, 2, 2, 2),  # H
+    (2, 3, 3, 3, 3, 3, 3, 2, 3),  # I
+    (2, 3, 3, 3, 4, 3, 3, 3, 3, 1),  # L
+    (2, 2, 2, 2, 4, 2, 2, 2, 2, 3, 3),  # K
+    (2, 2, 2, 3, 4, 2, 3, 2, 3, 2, 1, 2),  # M
+    (3, 4, 4, 4, 4, 4, 4, 4, 3, 2, 2, 4, 2),  # F
+    (2, 2, 2, 2, 3, 2, 2, 2, 2, 2, 3, 2, 2, 4),  # P
+    (2, 2, 2, 2, 3, 2, 2, 2, 2, 2, 3, 2, 2, 3, 2),  # S
+    (2, 2, 2, 2, 3, 2, 2, 2, 2, 2, 2, 2, 2, 3, 2, 2),  # T
+    (5, 4, 5, 6, 7, 5, 6, 6, 5, 5, 4, 4, 4, 3, 5, 5, 5),  # W
+    (4, 4, 4, 4, 3, 4, 4, 4, 3, 3, 2, 4, 3, 1, 4, 4, 3, 4),  # Y
+    (2, 3, 2, 2, 3, 3, 2, 2, 3, 2, 1, 3, 2, 2, 2, 2, 2, 5, 3),  # V
+)
 PEPTIDE_OTHER = 7.0
 
 
@@ -64,7 +64,7 @@ def _nucleotide_weights(symbols: str, thymine: str) -> tuple[tuple[str, float],
 
 
 def _peptide_weights() -> tuple[tuple[str, float], ...]:
-    rows = PEPTIDE_WEIGHTS.split()
+    rows = PEPTIDE_WEIGHTS
     half = {(PEPTIDE_SYMBOLS[i], PEPTIDE_SYMBOLS[j]): float(w) for i, row in enumerate(rows, 1) for j, w in enumerate(row)}
     return tuple((a + b, w) for (x, y), w in half.items() for a, b in ((x, y), (y, x)))
 

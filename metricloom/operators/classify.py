@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metricloom.functions.metrics import LINF
 from metricloom.operators.index import CellIndex, build
+from metricloom.operators.pivots import Pivot, embed
 from metricloom.operators.table import MetricTable
 
 
@@ -22,6 +24,14 @@ def classify(train: CellIndex, labels: DataFrame, id_col: str, label_col: str, q
     return vote(train.knn_join(queries, k, query_id, value), labels, id_col, label_col)
 
 
+def classify_in_pivot_space(train: MetricTable, labels: DataFrame, id_col: str, label_col: str, queries: DataFrame, pivots: list[Pivot], k: int = 1, query_id: str = "query_id", value: str = "v") -> DataFrame:
+    """(query_id, prediction) by the k nearest rows in pivot space: the Chebyshev distance of pivot distances, a lower bound of
+    the metric itself."""
+    near = build(MetricTable(embed(train, pivots, scalar=False), "id", "pd", LINF), "vp", 2, 3)
+    asked = embed(MetricTable(queries, query_id, value, train.metric), pivots, scalar=False)
+    return classify(near, labels, id_col, label_col, asked, k, "id", "pd")
+
+
 def split(table: MetricTable, share: float, seed: int) -> tuple[DataFrame, DataFrame]:
     """Training and test rows by a hash of the id: the same for any partitioning and on any retry."""
     h = F.pmod(F.xxhash64(F.col(table.id_col), F.lit(seed)), F.lit(1_000_000))

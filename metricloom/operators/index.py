@@ -9,21 +9,25 @@ one column.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from metricloom.functions import transforms as X
+from metricloom.functions.metrics import Metric
 from metricloom.operators.pivots import Pivot, distances, embed, plain, select_pivots
 from metricloom.operators.table import MetricTable
 
 #: Cells of an index, at most: their bounds are kept on the driver and sent to the tasks.
-MAX_CELLS = 4_096
+MAX_CELLS = 65_536
+#: Entries of a table of queries by cells that is made at once.
+ENTRIES = 1 << 22
 BIG = float(np.finfo(float).max)
 
 Bounds = tuple[np.ndarray, np.ndarray]
@@ -226,6 +230,7 @@ class CellIndex:
     counts: list[int]
     low: np.ndarray = field(repr=False)
     high: np.ndarray = field(repr=False)
+    recipe: dict | None = None  # how `build` made it, from which `open_index` has the levels again
 
     @property
     def pd(self) -> list[str]:
@@ -242,28 +247,38 @@ class CellIndex:
         return near.where(F.size("cells") > 1).count()
 
     def _placed(self, queries: DataFrame) -> DataFrame:
-        """Queries (query_id, v, r, pd0..) with the cells that their balls may meet."""
+        """Queries (query_id, v, r, pd0..) with the cells that their balls may meet, and those of them that lie in it whole."""
         low, high, levels, cells = self.low, self.high, self.levels, np.array(self.cells, np.int32)
         k, n = len(self.pivots), len(queries.columns)
 
+        def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+            q = np.stack([batch.column(n - k + i).to_numpy(zero_copy_only=False) for i in range(k)], 1).astype(float)
+            exact = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+            r = exact * (1 + 1e-9) + 1e-12 * (1 + q.max(1, initial=0.0))
+            each = [lv.bounds(q, r) for lv in levels] + [X.ball(q, r[:, None])]
+            lo, hi = (np.concatenate([e[i] for e in each], 1) for i in range(2))
+            slack = 1e-9 * np.where(np.isfinite(lo), np.abs(lo), 0), 1e-9 * np.where(np.isfinite(hi), np.abs(hi), 0)
+            lo, hi = lo - slack[0], hi + slack[1]
+            hit = np.ones((len(q), len(cells)), bool)
+            for j in range(low.shape[1]):
+                hit &= (low[None, :, j] <= hi[:, j, None]) & (high[None, :, j] >= lo[:, j, None])
+            inside = np.zeros_like(hit)  # all rows of the cell within the radius, whatever their distance
+            for j in range(k):
+                inside |= (q[:, j, None] + high[None, :, low.shape[1] - k + j]) * (1 + 1e-9) <= exact[:, None]
+            lists = []
+            for found in (hit, hit & inside):
+                offsets = np.r_[0, np.cumsum(found.sum(1))].astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells[np.nonzero(found)[1]])))
+            return pa.RecordBatch.from_arrays([*batch.columns, *lists], [*batch.schema.names, "cells", "whole"])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step = max(1, ENTRIES // max(1, len(cells)))
             for batch in batches:
-                q = np.stack([batch.column(n - k + i).to_numpy(zero_copy_only=False) for i in range(k)], 1).astype(float)
-                r = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
-                r = r * (1 + 1e-9) + 1e-12 * (1 + q.max(1, initial=0.0))
-                each = [lv.bounds(q, r) for lv in levels] + [X.ball(q, r[:, None])]
-                lo, hi = (np.concatenate([e[i] for e in each], 1) for i in range(2))
-                slack = 1e-9 * np.where(np.isfinite(lo), np.abs(lo), 0), 1e-9 * np.where(np.isfinite(hi), np.abs(hi), 0)
-                lo, hi = lo - slack[0], hi + slack[1]
-                hit = np.ones((len(q), len(cells)), bool)
-                for j in range(low.shape[1]):
-                    hit &= (low[None, :, j] <= hi[:, j, None]) & (high[None, :, j] >= lo[:, j, None])
-                offsets = np.r_[0, np.cumsum(hit.sum(1))].astype(np.int32)
-                found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells[np.nonzero(hit)[1]]))
-                yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "cells"])
+                for a in range(0, batch.num_rows, step):
+                    yield part(batch.slice(a, step))
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema.fields)
-        return queries.mapInArrow(run, f"{schema}, cells array<int>")
+        return queries.mapInArrow(run, f"{schema}, cells array<int>, whole array<int>")
 
     def _queries(self, queries: DataFrame, query_id: str, value: str, radius: float | Column) -> DataFrame:
         r = radius if isinstance(radius, Column) else F.lit(float(radius))
@@ -292,6 +307,30 @@ class CellIndex:
             pairs = pairs.observe(counted, F.count(F.lit(1)).alias("distance_count"))
         return pairs.where("distance <= r").select("query_id", "id", "distance")
 
+    def accepted(self, queries: DataFrame) -> DataFrame:
+        """(query_id, r, id, distance) as `candidates`, but without the distance (null) where none is needed: the row's cell
+        lies in the ball whole, or the query's and the row's distance to a pivot add up to the radius at most."""
+        asked = self._placed(queries).select("query_id", F.col("v").alias("qv"), "r", "whole", *[F.col(c).alias(f"q{c}") for c in self.pd], F.explode("cells").alias("cell"))
+        asked = asked.withColumn("whole", F.array_contains("whole", F.col("cell")))
+        rows = self.members.select("id", F.col("v").alias("mv"), *[F.col(c).alias(f"m{c}") for c in self.pd], F.col("cell").alias("mcell"))
+        bound, sure = F.lit(True), F.col("whole")
+        for c in self.pd:
+            bound = bound & (F.abs(F.col(f"q{c}") - F.col(f"m{c}")) <= F.col("r") * (1 + 1e-9) + 1e-12 * (1 + F.col(f"q{c}")))
+            sure = sure | ((F.col(f"q{c}") + F.col(f"m{c}")) * (1 + 1e-9) <= F.col("r"))
+        distance = F.array(F.when(~sure, self.table.metric.column(F.col("qv"), F.col("mv"))))
+        return asked.join(rows, (F.col("cell") == F.col("mcell")) & (F.col("whole") | bound)).select("query_id", "r", "id", F.explode(distance).alias("distance"))
+
+    def range_ids(self, queries: DataFrame, radius: float | Column, query_id: str = "query_id", value: str = "v") -> DataFrame:
+        """(query_id, id): as `range_join` without the distances, which saves those of rows that are accepted unseen."""
+        found = self.accepted(self._queries(queries, query_id, value, radius))
+        return found.where("distance is null or distance <= r").select("query_id", "id")
+
+    def actions(self, queries: DataFrame, radius: float | Column, query_id: str = "query_id", value: str = "v") -> DataFrame:
+        """(query_id, pruned, accepted, opened): for each query the cells without results, with nothing but results, and those
+        in between."""
+        placed = self._placed(self._queries(queries, query_id, value, radius))
+        return placed.select("query_id", (F.lit(len(self.cells)) - F.size("cells")).alias("pruned"), F.size("whole").alias("accepted"), (F.size("cells") - F.size("whole")).alias("opened"))
+
     def stats(self, queries: DataFrame, radius: float | Column, query_id: str = "query_id", value: str = "v") -> DataFrame:
         """For each query: cells visited, exact distances computed (pivots included), results, prune rate (share of cells left
         out) and exclusion rate (share of rows that needed no exact distance)."""
@@ -346,48 +385,66 @@ class CellIndex:
         return out.select("query_id", "v", F.explode("cells").alias("cell"))
 
 
-def assign_cells(embedded: DataFrame, pd: list[str], levels: list[Level]) -> DataFrame:
-    """Rows (.., pd0..) with their cell: level by level, cuts at fractions are taken within the parent cell."""
+def assign_cells(embedded: DataFrame, pd: list[str], levels: list[Level], leaf_size: int | None = None) -> DataFrame:
+    """Rows (.., pd0..) with their cell: level by level, cuts at fractions are taken within the parent cell. With leaf_size
+    only cells of more rows are cut further, and cells are numbered anew after each level."""
     cols = [F.col(c) for c in pd]
     out = embedded.withColumn("cell", F.lit(0))
     size = 1
     for n, level in enumerate(levels):
         size *= level.codes()
-        if size > MAX_CELLS:
+        big = None
+        if leaf_size is not None:
+            sizes = {r["cell"]: r["n"] for r in out.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each cell
+            big = [c for c, m in sizes.items() if m > leaf_size]
+            if not big or len(sizes) + len(big) * (level.codes() - 1) > MAX_CELLS:
+                return out
+        elif size > MAX_CELLS:
             raise ValueError(f"{size} cells; at most {MAX_CELLS}")
+        code: Column = F.lit(0)
+        fan = level.codes()
         if level.assign is not None:
-            out = out.withColumn("cell", F.col("cell") * level.fanout + level.assign(cols))
-            continue
-        names = [f"_f{n}_{j}" for j in range(level.n_features)]
-        out = out.withColumns(dict(zip(names, level.features(cols), strict=True)))
-        if level.thresholds:
-            for name, cuts in zip(names, level.thresholds, strict=True):
-                if len(cuts):
-                    out = out.withColumn("cell", F.col("cell") * (len(cuts) + 1) + bucket(F.col(name), cuts))
+            code = level.assign(cols)
         else:
-            cut = out.groupBy("cell").agg(*[F.percentile_approx(name, list(level.fractions), 10_000).alias(f"_c{j}") for j, name in enumerate(names)])
-            got = cut.collect()  # a row for each cell
-            if len(got) <= 1:  # one parent cell: its cuts are literals
-                cuts = [list(got[0][1 + j] or ()) if got else [] for j in range(len(names))]
+            names = [f"_f{n}_{j}" for j in range(level.n_features)]
+            out = out.withColumns(dict(zip(names, level.features(cols), strict=True)))
+            if level.thresholds:
+                for name, cuts in zip(names, level.thresholds, strict=True):
+                    if len(cuts):
+                        code = code * (len(cuts) + 1) + bucket(F.col(name), cuts)
             else:
-                given = out.sparkSession.createDataFrame([tuple(r) for r in got], "cell int, " + ", ".join(f"_c{j} array<double>" for j in range(len(names))))
-                out = out.join(F.broadcast(given), "cell")  # MAX_CELLS rows at most
-                cuts = [F.col(f"_c{j}") for j in range(len(names))]
-            code = F.col("cell")
-            for name, c in zip(names, cuts, strict=True):
-                code = code * (len(level.fractions) + 1) + bucket(F.col(name), c)
-            out = out.withColumn("cell", code).drop(*[f"_c{j}" for j in range(len(names))])
-        out = out.drop(*names)
+                some = out if big is None else out.where(F.col("cell").isin(big))
+                cut = some.groupBy("cell").agg(*[F.percentile_approx(name, list(level.fractions), 10_000).alias(f"_c{j}") for j, name in enumerate(names)])
+                got = cut.collect()  # a row for each cell
+                if len(got) <= 1 and big is None:  # one parent cell: its cuts are literals
+                    cuts = [list(got[0][1 + j] or ()) if got else [] for j in range(len(names))]
+                else:
+                    given = out.sparkSession.createDataFrame([tuple(r) for r in got], "cell int, " + ", ".join(f"_c{j} array<double>" for j in range(len(names))))
+                    out = out.join(F.broadcast(given), "cell", "left")  # MAX_CELLS rows at most
+                    cuts = [F.col(f"_c{j}") for j in range(len(names))]
+                for name, c in zip(names, cuts, strict=True):
+                    code = code * (len(level.fractions) + 1) + bucket(F.col(name), c)
+        if big is None:
+            out = out.withColumn("cell", F.col("cell") * fan + code)
+        else:
+            start, numbers = 0, []
+            for c in sorted(sizes):
+                numbers.append((c, start, c in big))
+                start += fan if c in big else 1
+            # MAX_CELLS rows at most
+            out = out.join(F.broadcast(out.sparkSession.createDataFrame(numbers, "cell int, _start int, _big boolean")), "cell")
+            out = out.withColumn("cell", F.col("_start") + F.when(F.col("_big"), code).otherwise(0)).drop("_start", "_big")
+        out = out.drop(*[c for c in out.columns if c.startswith((f"_f{n}_", "_c"))])
     return out
 
 
-def build_index(table: MetricTable, pivots: list[Pivot], levels: list[Level], keep: bool = True) -> CellIndex:
+def build_index(table: MetricTable, pivots: list[Pivot], levels: list[Level], keep: bool = True, leaf_size: int | None = None, recipe: dict | None = None) -> CellIndex:
     """Places all rows in cells and takes the cells' bounds: one pass for each level with fractions and one for the bounds.
     keep: cache the members. The metric must obey the triangle inequality."""
     if not table.metric.triangle:
         raise ValueError(f"{table.metric.name} does not obey the triangle inequality; use a linear scan")
     pd = [f"pd{i}" for i in range(len(pivots))]
-    members = assign_cells(embed(table, pivots), pd, levels)
+    members = assign_cells(embed(table, pivots), pd, levels, leaf_size)
     if keep:
         members = members.persist()
     cols = [F.col(c) for c in pd]
@@ -396,17 +453,51 @@ def build_index(table: MetricTable, pivots: list[Pivot], levels: list[Level], ke
     if len(rows) > MAX_CELLS:
         raise ValueError(f"{len(rows)} cells; at most {MAX_CELLS}")
     low, high = (np.array([r[c] for r in rows], float).reshape(len(rows), len(feats)) for c in ("lo", "hi"))
-    return CellIndex(table, pivots, levels, members, [r["cell"] for r in rows], [r["n"] for r in rows], low, high)
+    return CellIndex(table, pivots, levels, members, [r["cell"] for r in rows], [r["n"] for r in rows], low, high, recipe)
 
 
-def build(table: MetricTable, family: str, k: int = 2, parts: int = 2, selection: str = "fft", depth: int = 1, **options: object) -> CellIndex:
-    """By name. depth above 1 repeats the family's levels within the cells: with pivots of its own for each depth out of one
-    pool (mixed mode), so that every depth adds directions."""
-    pool = select_pivots(table, k * depth, selection, **options)
+def _levels(family: str, k: int, parts: int, depth: int, n_pivots: int) -> list[Level]:
     levels: list[Level] = []
     for i in range(depth):
-        levels += [shifted(level, i * k, len(pool)) for level in FAMILIES[family](k, parts)] if (i + 1) * k <= len(pool) else []
-    return build_index(table, pool, levels or FAMILIES[family](k, parts))
+        levels += [shifted(level, i % max(1, n_pivots // k) * k, n_pivots) for level in FAMILIES[family](k, parts)] if k <= n_pivots else []
+    return levels or FAMILIES[family](k, parts)
+
+
+def build(table: MetricTable, family: str, k: int = 2, parts: int = 2, selection: str = "fft", depth: int = 1, leaf_size: int | None = None, **options: object) -> CellIndex:
+    """By name. depth above 1 repeats the family's levels within the cells: with pivots of its own for each depth out of one
+    pool (mixed mode), so that every depth adds directions. With leaf_size, cells are cut until they have no more rows than
+    that: as deep as it takes, up to MAX_CELLS, `depth` sets of pivots in turn. Families with fixed cuts (gh, gnat) cut each
+    cell once for each set."""
+    pool = select_pivots(table, k * depth, selection, **options)
+    deep = depth if leaf_size is None else max(depth, 24)
+    recipe = {"family": family, "k": k, "parts": parts, "depth": deep, "metric": table.metric.name}
+    return build_index(table, pool, _levels(family, k, parts, deep, len(pool)), leaf_size=leaf_size, recipe=recipe)
+
+
+def save_index(index: CellIndex, path: str) -> None:
+    """Members by cell, the cells with their bounds, and what is needed to search them again. For indexes made by `build`."""
+    from metricloom.sources.sinks import write_index
+
+    if index.recipe is None:
+        raise ValueError("only indexes made by name can be saved")
+    write_index(index.members, index.cell_rows(), path)
+    about = index.recipe | {"pivots": [[str(p.id), p.value] for p in index.pivots]}
+    index.members.sparkSession.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def open_index(spark: SparkSession, path: str, metric: Metric) -> CellIndex:
+    """An index written by `save_index`: nothing is built, members are read when they are searched, and only those in cells
+    that the queries meet if the cells have folders."""
+    about = json.loads(spark.read.text(f"{path}/about").first()["value"])
+    if about["metric"] != metric.name:
+        raise ValueError(f"the index was made for {about['metric']}, not {metric.name}")
+    pool = [Pivot(i, v) for i, v in about["pivots"]]
+    members = spark.read.parquet(f"{path}/members")
+    cells = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()  # MAX_CELLS rows at most
+    low, high = (np.array([r[c] for r in cells], float).reshape(len(cells), -1) for c in ("lo", "hi"))
+    recipe = {k: about[k] for k in ("family", "k", "parts", "depth", "metric")}
+    levels = _levels(about["family"], about["k"], about["parts"], about["depth"], len(pool))
+    return CellIndex(MetricTable(members.select("id", "v"), "id", "v", metric), pool, levels, members, [r["cell"] for r in cells], [r["n"] for r in cells], low, high, recipe)
 
 
 def shifted(level: Level, by: int, total: int) -> Level:

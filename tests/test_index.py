@@ -123,7 +123,7 @@ def test_nulls_extra_columns_and_empty(spark):
 def test_limits(spark):
     t = make(spark, FIXTURES["uniform"])
     with pytest.raises(ValueError):
-        I.build_index(t, pivots.fixed(t, [0, 1, 2]), [I.vp(range(3), 20)])
+        I.build_index(t, pivots.fixed(t, [0, 1, 2]), [I.vp(range(3), 50)])
     with pytest.raises(ValueError):
         I.build_index(MetricTable(t.df, "id", "v", M.PEARSON), pivots.fixed(t, [0]), [I.vp()])
     with pytest.raises(ValueError):
@@ -174,3 +174,33 @@ def test_experiment(spark):
 
     got = compare(make(spark, FIXTURES["uniform"]), spark.createDataFrame(QUERIES, "query_id int, v array<double>"), 0.35, verify=True).collect()
     assert len(got) == 16 and all(r["correct"] for r in got)
+
+
+@pytest.mark.parametrize(("name", "family"), [("uniform", "vp"), ("uniform", "gh"), ("degenerate", "rgh")])
+def test_leaf_size_and_saved_indexes(spark, tmp_path, name, family):
+    t = make(spark, FIXTURES[name])
+    asked = t.rows().where("id % 3 = 0").withColumnRenamed("id", "query_id")
+    want = {(r["query_id"], r["id"]) for r in I.scan_join(t, asked, 0.4).collect()}
+    ix = I.build(t, family, 2, 2, depth=2, leaf_size=12)
+    assert {(r["query_id"], r["id"]) for r in ix.range_join(asked, 0.4).collect()} == want
+    assert {(r["query_id"], r["id"]) for r in ix.range_ids(asked, 0.4).collect()} == want
+    if (name, family) == ("uniform", "vp"):
+        assert max(ix.counts) <= 12 < sum(ix.counts)
+    I.save_index(ix, str(tmp_path / "ix"))
+    back = I.open_index(spark, str(tmp_path / "ix"), t.metric)
+    assert sorted(back.counts) == sorted(ix.counts)
+    assert {(r["query_id"], r["id"]) for r in back.range_join(asked, 0.4).collect()} == want
+    with pytest.raises(ValueError):
+        I.open_index(spark, str(tmp_path / "ix"), M.L1)
+
+
+def test_accept_all(spark):
+    t = make(spark, FIXTURES["uniform"])
+    asked = t.rows().withColumnRenamed("id", "query_id")
+    ix = I.build(t, "vp", 2, 4)
+    for r in (0.0, 0.5, 100.0):
+        want = {(x["query_id"], x["id"]) for x in I.scan_join(t, asked, r).collect()}
+        assert {(x["query_id"], x["id"]) for x in ix.range_ids(asked, r).collect()} == want
+    assert ix.accepted(ix._queries(asked, "query_id", "v", 100.0)).where("distance is not null").count() == 0
+    got = ix.actions(asked, 100.0).first()
+    assert (got["pruned"], got["accepted"], got["opened"]) == (0, len(ix.cells), 0)

@@ -3,6 +3,7 @@
 import pytest
 from conftest import same
 
+from metricloom.plans import io_queries  # noqa: F401  (registers its queries)
 from metricloom.plans.queries import ORACLES, QUERIES
 
 
