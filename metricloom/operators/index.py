@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from metricloom.functions import transforms as X
 from metricloom.functions.metrics import Metric
+from metricloom.operators.durable import cut as cut_plan
 from metricloom.operators.pivots import Pivot, distances, embed, plain, select_pivots
 from metricloom.operators.table import MetricTable
 
@@ -390,14 +391,16 @@ def assign_cells(embedded: DataFrame, pd: list[str], levels: list[Level], leaf_s
     only cells of more rows are cut further, and cells are numbered anew after each level."""
     cols = [F.col(c) for c in pd]
     out = embedded.withColumn("cell", F.lit(0))
-    size = 1
+    size, unchanged, before = 1, 0, 0
     for n, level in enumerate(levels):
         size *= level.codes()
         big = None
         if leaf_size is not None:
+            out = cut_plan(out) if n else out  # else every level would repeat those above it
             sizes = {r["cell"]: r["n"] for r in out.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each cell
             big = [c for c, m in sizes.items() if m > leaf_size]
-            if not big or len(sizes) + len(big) * (level.codes() - 1) > MAX_CELLS:
+            unchanged, before = (unchanged + 1, before) if len(sizes) == before else (0, len(sizes))
+            if not big or unchanged >= max(2, len(pd)) or len(sizes) + len(big) * (level.codes() - 1) > MAX_CELLS:
                 return out
         elif size > MAX_CELLS:
             raise ValueError(f"{size} cells; at most {MAX_CELLS}")

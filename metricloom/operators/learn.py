@@ -277,6 +277,29 @@ def learned_log(xs: np.ndarray, queries: np.ndarray, r: float) -> I.Level:
     return _grid(xs, queries, r, lambda w, cut: I.log(w, thresholds=(cut,)), [(w,) for w in _angles()], score)
 
 
+def _least_cost(xs: np.ndarray, queries: np.ndarray, r: float, make: Callable[..., I.Level], options: Sequence[tuple], score: Callable[..., np.ndarray]) -> float:
+    best = 1.0
+    for option in options:
+        s = score(xs, *option)
+        s = s[np.isfinite(s)]
+        if len(s) > 1 and s.max() > s.min():
+            for q in QUANTILES:
+                cut = float(np.quantile(s, q, method="nearest"))
+                best = min(best, _cost(make(*option, cut), cut, queries, r, s))
+    return best
+
+
+def power_cost(xs: np.ndarray, queries: np.ndarray, r: float) -> float:
+    """Share of rows that queries visit at the best boundary of the power family."""
+    options = [(rho, w) for rho in RHOS for w in _angles(4)]
+    return _least_cost(xs, queries, r, lambda rho, w, cut: I.power(rho, w, thresholds=(cut,)), options, lambda x, rho, w: np.maximum(x, X.EPS) ** rho @ np.array(w))
+
+
+def log_cost(xs: np.ndarray, queries: np.ndarray, r: float) -> float:
+    """As `power_cost`, for the log family."""
+    return _least_cost(xs, queries, r, lambda w, cut: I.log(w, thresholds=(cut,)), [(w,) for w in _angles(8)], lambda x, w: np.log(np.maximum(x, X.EPS)) @ np.array(w))
+
+
 def expected_exclusion(xs: np.ndarray, r: float) -> I.Level:
     """Of all directions the one whose best cut has the highest expected exclusion."""
     best: tuple[float, list[float], float] = (-1.0, [1.0], 0.0)

@@ -193,30 +193,41 @@ def clara(table: MetricTable, k: int, seed: int = 0, samples: int = 20) -> list[
     return best[1]
 
 
+def pair_score(x: np.ndarray, y: np.ndarray, apart: float) -> float:
+    """How well two pivots serve a partition by thirds of their distance ratio; x, y: distances of rows to them, apart: theirs.
+
+    In favour: gaps of the log ratio at both cuts, even parts, rows near either pivot for their mean distance, a wide ratio.
+    Against: large cover radii of the parts, and pivots nearer to or farther from each other than rows are on average."""
+    n = len(x)
+    tiny = 1e-12
+    ratio = np.log((x + tiny) / (y + tiny))
+    s = np.sort(ratio)
+    at = np.array([n // 3, 2 * n // 3])
+    low, high = s[at]
+    if n < 9 or high <= low + tiny:
+        return -np.inf
+    near = np.minimum(x, y)
+    mean = (x.mean() + y.mean()) / 2 + tiny
+    spread = float(np.subtract(*np.quantile(s, [0.9, 0.1])))
+    gaps = (s[np.minimum(at + 2, n - 1)] - s[np.maximum(at - 2, 0)]).sum() / (spread + tiny)
+    parts = [(ratio < low, x), (ratio > high, y), ((ratio >= low) & (ratio <= high), near)]
+    even = 1 - sum(abs(m.mean() - 1 / 3) for m, _ in parts)
+    cover = sum(d[m].max(initial=0.0) for m, d in parts) / (3 * mean)
+    # Weights of gaps, evenness, nearness, spread (which counts up to 4), cover radii and the pivots' distance.
+    return float(1.8 * gaps + 2.0 * even + 0.7 * near.mean() / mean + 0.2 * min(spread, 4.0) - 1.6 * cover - 0.5 * abs(apart / mean - 1))
+
+
 def right_up_pair(table: MetricTable, seed: int = 0, candidates: int = 64, evaluated: int = 384) -> list[Pivot]:
-    """The pair that scores best by gap, balance and spread of the distance ratio, for ratio partitions."""
-    s = sample(table, max(candidates, evaluated), seed)
-    full = distance_matrix(table.metric, s, s)
-    cand = _fft_matrix(full, candidates)
-    d = full[cand][:, :evaluated]
-    best, pair = -np.inf, cand[:2]
-    for a in range(len(cand)):
-        for b in range(a + 1, len(cand)):
-            x, y = d[a], d[b]
-            score = np.sort((x - y) / np.maximum(x + y, 1e-12))
-            n = len(score)
-            lo, hi = score[n // 3], score[2 * n // 3]
-            spread = max(score[-1] - score[0], 1e-12)
-            gap = (hi - lo) / spread
-            share = np.histogram(score, [-1.0001, lo, hi, 1.0001])[0] / n
-            balance = 1 - np.abs(share - 1 / 3).sum()
-            far = full[cand[a], cand[b]] / max(full.max(), 1e-12)
-            ties = 1 - len(np.unique(score)) / n
-            # Weights of gap, balance, distance, spread and of ties and a collapsed middle.
-            value = 1.8 * gap + 2 * balance + 0.7 * far + 0.2 * spread - 1.6 * ties - 0.5 * (hi <= lo)
-            if value > best:
-                best, pair = value, [cand[a], cand[b]]
-    return [s[i] for i in pair]
+    """The pair of farthest-first candidates with the best `pair_score`, over rows of a sample; the first two candidates if no
+    pair has one."""
+    s = sorted(sample(table, max(candidates, evaluated), seed), key=lambda p: p.id)
+    if len(s) < 3:
+        return s
+    d = distance_matrix(table.metric, s, s)
+    cand = _fft_matrix(d, candidates)
+    pairs = [(pair_score(d[a], d[b], d[a, b]), -i, a, b) for i, (a, b) in enumerate((a, b) for n, a in enumerate(cand) for b in cand[n + 1 :]) if d[a, b] > 0]
+    best = max(pairs, default=(-np.inf, 0, *cand[:2]))
+    return [s[i] for i in (best[2:] if best[0] > -np.inf else cand[:2])]
 
 
 def incremental(table: MetricTable, k: int, seed: int = 0, pairs: int = 300, candidates: int = 100) -> list[Pivot]:
@@ -237,23 +248,30 @@ def incremental(table: MetricTable, k: int, seed: int = 0, pairs: int = 300, can
     return [s[cand[i]] for i in out]
 
 
-def medoid_pair(table: MetricTable, transform: Callable[[np.ndarray], np.ndarray] = lambda d: d, share: float = 0.25, seed: int = 0, rows: int = 256) -> list[Pivot]:
-    """Of pairs at least `share` of the largest distance apart the one whose transformed distances tell sample rows best apart
-    for the spread that they have. transform: as of the index's coordinates (power, log)."""
-    s = sample(table, rows, seed)
+def medoid_pair(table: MetricTable, kind: str = "power", queries: list[Pivot] | None = None, radius: float | None = None, share: float = 0.25, seed: int = 0, rows: int = 256, candidates: int = 12) -> list[Pivot]:
+    """Of pairs of central sample rows at least `share` of the largest distance apart, the one whose best boundary (of the
+    power or log family, see `learn`) lets training queries visit the fewest rows; the farthest-first pair if none is better.
+    Of equally good pairs the farther apart. Without queries a third of the sample asks, at a tenth of its largest distance."""
+    from metricloom.operators import learn
+
+    s = sorted(sample(table, rows, seed), key=lambda p: p.id)
+    if len(s) < 3:
+        return s
     d = distance_matrix(table.metric, s, s)
-    med = np.argsort(d.sum(1), kind="stable")[:64]
-    best, pair = -np.inf, [0, int(d[0].argmax())]
+    asked = d[::3] if queries is None else distance_matrix(table.metric, queries, s)
+    r = float(d.max()) / 10 if radius is None else radius
+    cost = {"power": learn.power_cost, "log": learn.log_cost}[kind]
+    value = lambda a, b: (cost(d[:, [a, b]], asked[:, [a, b]], r), -d[a, b])
+    first = _fft_matrix(d, 2)
+    if len(first) < 2:
+        return [s[i] for i in first]
+    best, pair = value(*first), first
+    med = np.argsort(d.sum(1), kind="stable")[:candidates].tolist()
+    far = share * d[np.ix_(med, med)].max()
     for i, a in enumerate(med):
         for b in med[i + 1 :]:
-            if d[a, b] < share * d[np.ix_(med, med)].max():
-                continue
-            score = transform(d[a]) - transform(d[b])
-            score = score[np.isfinite(score)]
-            middle = np.median(score)
-            value = np.abs(score - middle).mean() / max(score.max() - score.min(), 1e-12)
-            if value > best:
-                best, pair = value, [int(a), int(b)]
+            if d[a, b] >= far and d[a, b] > 0 and (v := value(a, b)) < best:
+                best, pair = v, [a, b]
     return [s[i] for i in pair]
 
 
@@ -304,12 +322,21 @@ def density_farthest(table: MetricTable, k: int, candidates: int = 20, width: st
     return [cand[i] for i in _fft_matrix(distance_matrix(table.metric, cand, cand), k)] if cand else []
 
 
+def density_peak_farthest(table: MetricTable, k: int, share: float = 0.4, seed: int = 0) -> list[Pivot]:
+    """The sample row with most sample rows within `share` of the largest distance, ties to the smallest id, and from there on
+    farthest first."""
+    s = sorted(sample(table, SAMPLE, seed), key=lambda p: p.id)
+    if not s:
+        return []
+    d = distance_matrix(table.metric, s, s)
+    return [s[i] for i in _fft_matrix(d, k, int((d <= share * d.max()).sum(1).argmax()))]
+
+
 METHODS: dict[str, Callable[..., list[Pivot]]] = {
     "fft": farthest_first, "random": random_pivots, "pca": pca_pivots, "epcaf": epcaf, "pam": pam, "clara": clara,
     "at_right_up": lambda t, k=2, **o: right_up_pair(t, **o), "incremental": incremental, "pca_on_fft": pca_on_fft,
-    "power_medoid": lambda t, k=2, rho=2.0, **o: medoid_pair(t, lambda d: np.maximum(d, 1e-12) ** rho, **o),
-    "log_medoid": lambda t, k=2, **o: medoid_pair(t, lambda d: np.log(np.maximum(d, 1e-12)), **o),
-    "density": density_segments, "density_peak": density_peaks, "density_dispar": lambda t, k, **o: density_segments(t, k, width="range", **o),
+    "power_medoid": lambda t, k=2, **o: medoid_pair(t, "power", **o), "log_medoid": lambda t, k=2, **o: medoid_pair(t, "log", **o),
+    "density": density_segments, "density_peak": density_peaks, "density_peak_farthest": density_peak_farthest, "density_dispar": lambda t, k, **o: density_segments(t, k, width="range", **o),
     "density_farthest": density_farthest, "dispar_farthest": lambda t, k, **o: density_farthest(t, k, width="range", **o),
 }
 
@@ -331,12 +358,3 @@ def embed(table: MetricTable, pivots: list[Pivot], scalar: bool = True) -> DataF
     statistics that an array would not have."""
     rows, d = table.rows(), distances(table, pivots)
     return rows.select("id", "v", *[c.alias(f"pd{i}") for i, c in enumerate(d)]) if scalar else rows.select("id", "v", F.array(*d).alias("pd"))
-
-
-def root_neighbours(embedded: DataFrame, cuts: dict[str, float], r: float) -> DataFrame:
-    """(n): rows within r of a root cut, for which a search must visit more than one part."""
-    near = F.lit(False)
-    for c, t in cuts.items():
-        near = near | (F.abs(F.col(c) - t) <= r)
-    return embedded.where(near).agg(F.count(F.lit(1)).alias("n"))
-

@@ -320,3 +320,43 @@ SELECT x.id, (arg_min(it.c, (sqrt((x.v[1] - it.a) ** 2 + (x.v[2] - it.b) ** 2),
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Twelve rounds of k-means."""
     return cluster.kmeans(parts(spark, d).rows(), 4, rounds=12, tol=-1.0)[0].select("id", "cluster")
+
+
+_NATIONS = "x AS (SELECT n_nationkey AS id, n_name AS v FROM nation), d AS (SELECT a.id AS a, b.id AS b, levenshtein(a.v, b.v)::DOUBLE AS d FROM x a, x b)"
+
+
+def _nations(spark: SparkSession, d: str) -> MetricTable:
+    return MetricTable(_table(spark, d, "nation"), "n_nationkey", "n_name", M.EDIT)
+
+
+@query(
+    "pivots_density_peak_farthest",
+    f"""WITH {_NATIONS}, f AS (SELECT a AS id FROM d WHERE d <= 0.4 * (SELECT max(d) FROM d) GROUP BY a ORDER BY count(*) DESC, a LIMIT 1),
+g AS (SELECT b AS id FROM d JOIN f ON a = id ORDER BY d DESC, b LIMIT 1),
+h AS (SELECT b AS id FROM d WHERE a IN (SELECT id FROM f UNION ALL SELECT id FROM g) GROUP BY b ORDER BY min(d) DESC, b LIMIT 1)
+SELECT 0 AS no, id::VARCHAR AS id FROM f UNION ALL SELECT 1, id::VARCHAR FROM g UNION ALL SELECT 2, id::VARCHAR FROM h""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return pivots.pivot_rows(spark, pivots.select_pivots(_nations(spark, d), 3, "density_peak_farthest")).drop("value")
+
+
+@query(
+    "pivots_right_up",
+    f"""WITH {_NATIONS}, r AS (SELECT p.a, p.b, p.d AS apart, x.d AS x, y.d AS y, ln((x.d + 1e-12) / (y.d + 1e-12)) AS r FROM d p JOIN d x ON x.a = p.a JOIN d y ON y.a = p.b AND y.b = x.b WHERE p.d > 0),
+s AS (SELECT a, b, list(r ORDER BY r) AS s, count(*)::INT AS n, quantile_cont(r, 0.9) - quantile_cont(r, 0.1) AS spread, avg(least(x, y)) AS near, (avg(x) + avg(y)) / 2 + 1e-12 AS mean FROM r GROUP BY ALL),
+c AS (SELECT *, s[n // 3 + 1] AS low, s[2 * n // 3 + 1] AS high,
+  s[least(n // 3 + 2, n - 1) + 1] - s[greatest(n // 3 - 2, 0) + 1] + s[least(2 * n // 3 + 2, n - 1) + 1] - s[greatest(2 * n // 3 - 2, 0) + 1] AS gaps FROM s),
+m AS (SELECT a, b, apart, any_value(gaps) / (any_value(spread) + 1e-12) AS gaps, any_value(spread) AS spread, any_value(near) / any_value(mean) AS near, any_value(mean) AS mean,
+  1 - abs(avg((r < low)::INT) - 1 / 3) - abs(avg((r > high)::INT) - 1 / 3) - abs(avg((r BETWEEN low AND high)::INT) - 1 / 3) AS even,
+  (coalesce(max(x) FILTER (r < low), 0) + coalesce(max(y) FILTER (r > high), 0) + coalesce(max(least(x, y)) FILTER (r BETWEEN low AND high), 0)) / 3 / any_value(mean) AS cover
+  FROM r JOIN c USING (a, b) WHERE high > low + 1e-12 GROUP BY a, b, apart),
+best AS (SELECT max(1.8 * gaps + 2 * even + 0.7 * near + 0.2 * least(spread, 4) - 1.6 * cover - 0.5 * abs(apart / mean - 1)) AS best FROM m WHERE a < b OR a > b)
+SELECT round(best, 6) AS best FROM best""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The score of the best pair."""
+    t = _nations(spark, d)
+    a, b = pivots.select_pivots(t, 2, "at_right_up")
+    every = pivots.sample(t, 25)
+    x, y = (pivots.distance_matrix(t.metric, [p], every)[0] for p in (a, b))
+    return spark.createDataFrame([(round(pivots.pair_score(x, y, t.metric.value(a.value, b.value)), 6),)], "best double")
