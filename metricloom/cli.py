@@ -1,7 +1,7 @@
 """Command line: build an index, query it, cluster, map to pivot space, detect outliers.
 
     python -m metricloom.cli build  --type vector --file f.txt --index vp --pivots 2 --parts 3 --out DIR
-    python -m metricloom.cli query  --type vector --file f.txt --queries q.txt --radius 0.2 [--number N] --index vp --out DIR
+    python -m metricloom.cli query  --type vector --file f.txt --queries q.txt --radius 0.2 [--number N] [--saved DIR] --index vp --out DIR
     python -m metricloom.cli cluster --type vector --file f.txt --method kmeans --k 3 --out DIR
     python -m metricloom.cli map    --type vector --file f.txt --pivots 3 --out DIR
     python -m metricloom.cli outliers --type vector --file f.txt --algorithm orca --n 10 --k 5 --out DIR
@@ -31,13 +31,6 @@ def open_table(spark: SparkSession, kind: str, path: str, metric: str | None = N
     return MetricTable(text.load(spark, kind, path, **options), "id", value, M.METRICS[metric] if metric else default)
 
 
-def search(table: MetricTable, queries: DataFrame, radius: float, family: str, k: int, parts: int, selection: str) -> DataFrame:
-    """Range search by index, or for metrics without the triangle inequality query by query."""
-    if table.metric.triangle:
-        return index.build(table, family, k, parts, selection).range_join(queries, radius)
-    return index.scan_join(table, queries, radius)
-
-
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="metricloom", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = p.add_subparsers(dest="command", required=True)
@@ -56,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--parts", type=int, default=3)
         c.add_argument("--depth", type=int, default=1)
         c.add_argument("--queries")
+        c.add_argument("--saved", help="folder that `build` wrote; query searches it instead of building")
         c.add_argument("--number", type=int)
         c.add_argument("--radius", type=float, default=0.0)
         c.add_argument("--method", choices=("kmeans", "dbscan", "birch"), default="kmeans")
@@ -79,17 +73,20 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame:
     table = open_table(spark, a.type, a.file, a.metric, **options)
     if a.command == "build":
         ix = index.build(table, a.index, a.pivots, a.parts, a.selection, a.depth)
-        cells = ix.cell_rows()
-        sinks.write_index(ix.members, cells, a.out)
+        index.save_index(ix, a.out)
         sinks.write_pivots(pivots.pivot_rows(spark, ix.pivots), f"{a.out}/pivots")
-        return cells
+        return ix.cell_rows()
     if a.command == "query":
         q = open_table(spark, a.type, a.queries or a.file, a.metric, **options).rows().withColumnRenamed("id", "query_id")
         q = q.orderBy("query_id").limit(a.number) if a.number else q
-        found = search(table, q, a.radius, a.index, a.pivots, a.parts, a.selection)
+        if not table.metric.triangle:
+            found = index.scan_join(table, q, a.radius)
+            found.write.mode("overwrite").parquet(f"{a.out}/results")
+            return found
+        ix = index.open_index(spark, a.saved, table.metric) if a.saved else index.build(table, a.index, a.pivots, a.parts, a.selection, a.depth)
+        found = ix.range_join(q, a.radius)
         found.write.mode("overwrite").parquet(f"{a.out}/results")
-        if table.metric.triangle:
-            sinks.write_statistics(index.build(table, a.index, a.pivots, a.parts, a.selection).stats(q, a.radius), f"{a.out}/statistics")
+        sinks.write_statistics(ix.stats(q, a.radius), f"{a.out}/statistics")
         return found
     p = pivots.select_pivots(table, a.pivots, a.selection)
     if a.command == "map":

@@ -8,11 +8,12 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.functions.metrics import L2, Metric
-from metricloom.operators.durable import cut
+from metricloom.operators.durable import cut, stored
 from metricloom.operators.index import CellIndex
 from metricloom.operators.pivots import Pivot, embed
 from metricloom.operators.table import MetricTable
@@ -64,8 +65,7 @@ def kmeans(rows: DataFrame, k: int, value: str = "v", rounds: int = 300, tol: fl
 
 
 def neighbours(index: CellIndex, eps: float) -> DataFrame:
-    """(query_id, id): the other rows within eps of each row. Pairs are formed cell by cell and meant to be aggregated at
-    once; they are never stored."""
+    """(query_id, id): the other rows within eps of each row. Pairs are formed cell by cell."""
     return index.range_join(index.table.rows().withColumnRenamed("id", "query_id"), eps).where("query_id <> id").select("query_id", "id")
 
 
@@ -73,13 +73,14 @@ def dbscan(index: CellIndex, eps: float, min_samples: int, rounds: int | None =
     """(id, cluster): -1 for noise, else the smallest id of a core row of the cluster. A core row has at least min_samples
     other rows within eps; a border row goes with the smallest label among its core neighbours. It ends when no label changes,
     and raises if that takes more than `rounds`, if given."""
-    pairs = neighbours(index, eps)
+    pairs = stored(neighbours(index, eps))  # formed once: every round below reads them
     core = cut(pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select(F.col("query_id").alias("id")))
     label = core.withColumn("label", F.col("id"))
+    edges = stored(pairs.join(core, "id").join(core.withColumnRenamed("id", "query_id"), "query_id").select("query_id", "id"))
     for i in count():
         if i == rounds:
             raise RuntimeError(f"labels still change after {rounds} rounds")
-        near = pairs.join(label, "id").groupBy("query_id").agg(F.min("label").alias("m")).withColumnRenamed("query_id", "id")
+        near = edges.join(label, "id").groupBy("query_id").agg(F.min("label").alias("m")).withColumnRenamed("query_id", "id")
         step = label.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("m", "label")).alias("new"))
         # a label's own label is nearer to the smallest of its component
         jump = step.select(F.col("id").alias("new"), F.col("new").alias("_up"))
@@ -171,11 +172,28 @@ class FeatureTree:
 
 #: Leaf features that a task passes on at most; beyond it the task doubles its threshold and rebuilds.
 LEAVES = 2_000
+#: Trees merged by one task.
+FAN_IN = 16
+
+
+def _condensed(tree: FeatureTree) -> FeatureTree:
+    """The tree, or one of a higher threshold with at most LEAVES leaf features."""
+    while len(got := tree.leaves()) > LEAVES:
+        tree = FeatureTree(max(tree.threshold * 2, 1e-9), tree.branching)
+        for f in got:
+            tree.insert(f)
+    return tree
 
 
 def birch(rows: DataFrame, k: int, value: str = "v", threshold: float = 0.5, branching: int = 50) -> tuple[DataFrame, list[list[float]]]:
-    """Rows with a column cluster, and the centres: a cluster-feature tree in each task, merged on the driver (LEAVES features
-    of each task at most), its leaves agglomerated by the least distance of weighted centres to k, rows to the nearest."""
+    """Rows with a column cluster, and the centres: a cluster-feature tree in each task, merged FAN_IN at a time by tasks until
+    one of at most LEAVES features is left, its leaves agglomerated by the least distance of weighted centres to k, rows to the
+    nearest."""
+    schema = "part bigint, n bigint, m array<double>, d double"
+
+    def frame(part: int, tree: FeatureTree) -> pd.DataFrame:
+        got = tree.leaves()
+        return pd.DataFrame({"part": part, "n": [f[0] for f in got], "m": [f[1].tolist() for f in got], "d": [f[2] for f in got]})
 
     def trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = FeatureTree(threshold, branching)
@@ -183,21 +201,22 @@ def birch(rows: DataFrame, k: int, value: str = "v", threshold: float = 0.5, bra
             for v in b[value]:
                 if v is not None:
                     tree.insert((1, np.asarray(v, float), 0.0))
-            while len(got := tree.leaves()) > LEAVES:
-                tree = FeatureTree(max(tree.threshold * 2, 1e-9), branching)
-                for f in got:
-                    tree.insert(f)
-        got = tree.leaves()
-        if got:
-            yield pd.DataFrame({"n": [f[0] for f in got], "m": [f[1].tolist() for f in got], "d": [f[2] for f in got]})
+            tree = _condensed(tree)
+        if tree.leaves():
+            yield frame(TaskContext.get().partitionId(), tree)
+
+    def merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        tree = FeatureTree(threshold, branching)
+        for n, m, d in part.sort_values(["n", "d"])[["n", "m", "d"]].itertuples(index=False):
+            tree.insert((n, np.asarray(m, float), d))
+        return frame(int(key[0]), _condensed(tree))
 
+    parts = cut(rows.select(value).mapInPandas(trees, schema))
+    while (parts.agg(F.max("part")).first()[0] or 0) > 0:
+        parts = cut(parts.groupBy(F.floor(F.col("part") / FAN_IN).alias("part")).applyInPandas(merge, schema))
     tree = FeatureTree(threshold, branching)
-    for r in rows.select(value).mapInPandas(trees, "n bigint, m array<double>, d double").orderBy("m").toLocalIterator():
+    for r in parts.orderBy("m").collect():  # LEAVES features
         tree.insert((r["n"], np.array(r["m"]), r["d"]))
-        while len(got := tree.leaves()) > LEAVES:
-            tree = FeatureTree(max(tree.threshold * 2, 1e-9), branching)
-            for f in got:
-                tree.insert(f)
     leaves = tree.leaves()
     if not leaves:
         return rows.withColumn("cluster", F.lit(None).cast("int")), []

@@ -522,16 +522,18 @@ def linear_scan(table: MetricTable, query: Pivot, radius: float) -> DataFrame:
     return table.rows().select("id", d.alias("distance")).where(F.col("distance") <= float(radius))
 
 
-#: Queries of a block of `scan_join`.
-BLOCK = 64
+#: Queries of a block of `scan_join`, and queries that it takes at most: they are literals of its plan.
+BLOCK, MOST_SCANNED = 64, 20_000
 
 
 def scan_join(table: MetricTable, queries: DataFrame, radius: float, query_id: str = "query_id", value: str = "v") -> DataFrame:
     """(query_id, id, distance): a stated set of queries against all rows, in blocks of literals; one pass for each block and
-    no shuffle. For metrics without the triangle inequality and as ground truth; queries may number some thousands."""
+    no shuffle. For metrics without the triangle inequality and as ground truth; raises above MOST_SCANNED queries."""
     kind = queries.schema[query_id].dataType.simpleString()
     out = None
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(value).alias("v")).where("query_id is not null and v is not null").collect()
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(value).alias("v")).where("query_id is not null and v is not null").limit(MOST_SCANNED + 1).collect()
+    if len(asked) > MOST_SCANNED:
+        raise ValueError(f"more than {MOST_SCANNED} queries; ask in parts or through an index")
     for i in range(0, len(asked), BLOCK):
         block = F.array(*[F.struct(F.lit(r["query_id"]).cast(kind).alias("query_id"), Pivot(r["query_id"], plain(r["v"])).column().alias("qv")) for r in asked[i : i + BLOCK]])
         pairs = table.rows().select("id", "v", F.explode(block).alias("q"))
@@ -575,23 +577,36 @@ def build_local(table: MetricTable, family: str, k: int = 2, parts: int = 2, sel
     return LocalIndex(top, subs)
 
 
-def diameter(table: MetricTable) -> float:
+def diameter(table: MetricTable, parts: int = 6) -> float:
     """The largest distance between two rows, exactly; 0 for fewer than two. Needs the triangle inequality.
 
     A far pair gives a lower bound L; with R the largest distance to a pivot, both rows of a farther pair lie at least L - R
-    from it, and only those rows are compared, block by block."""
+    from it. Only those rows are compared, cell by cell: two cells, and two rows, are left out if their distances to a pivot
+    add up to less than L."""
     far = select_pivots(table, 3, "fft")
     if len(far) < 2:
         return 0.0
     low = max(table.metric.value(a.value, b.value) for i, a in enumerate(far) for b in far[i + 1 :])
     rows = embed(table, far)
-    for i in range(len(far)):
-        reach = rows.agg(F.max(f"pd{i}")).first()[0]
+    pd = [f"pd{i}" for i in range(len(far))]
+    for c in pd:
+        reach = rows.agg(F.max(c)).first()[0]
         low = max(low, reach)
-        rows = rows.where(F.col(f"pd{i}") >= (low - reach) * (1 - 1e-9))
-    shell = MetricTable(rows.select("id", "v"), "id", "v", table.metric)
-    found = scan_join(shell, shell.rows().withColumnRenamed("id", "query_id"), float("inf"))
-    return max(low, found.agg(F.max("distance")).first()[0] or 0.0)
+        rows = rows.where(F.col(c) >= (low - reach) * (1 - 1e-9))
+    rows = cut_plan(assign_cells(rows, pd, [vp(range(len(far)), parts)]))
+    tops = rows.groupBy("cell").agg(F.array(*[F.max(c) for c in pd]).alias("hi")).collect()  # a row for each of parts ** 3 cells
+    least = low * (1 - 1e-9)
+    pairs = [(a["cell"], b["cell"]) for i, a in enumerate(tops) for b in tops[i:] if min(x + y for x, y in zip(a["hi"], b["hi"], strict=True)) >= least]
+    if not pairs:
+        return low
+    met = F.broadcast(rows.sparkSession.createDataFrame(pairs, "cell int, other int"))  # at most all pairs of these cells
+    left = rows.select("cell", F.col("v").alias("_a"), *[F.col(c).alias(f"a{c}") for c in pd]).join(met, "cell")
+    right = rows.select(F.col("cell").alias("other"), F.col("v").alias("_b"), *[F.col(c).alias(f"b{c}") for c in pd])
+    near = F.lit(True)
+    for c in pd:
+        near = near & (F.col(f"a{c}") + F.col(f"b{c}") >= least)
+    found = left.join(right, (left["other"] == right["other"]) & near).select(F.explode(F.array(table.metric.column(F.col("_a"), F.col("_b")))).alias("d"))
+    return max(low, found.agg(F.max("d")).first()[0] or 0.0)
 
 
 def knn(table: MetricTable, query: Pivot, k: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from metricloom.operators.durable import cut
 from metricloom.operators.index import CellIndex
 
 
@@ -49,18 +50,30 @@ def hidden_outliers(index: CellIndex, n: int, k: int, candidates: int | None = N
     others, which are then weighed anew; lists hold k + n - 1 neighbours.
 
     A row's weight never exceeds the one over its last k listed neighbours, so rows below the n-th best plain weight by that
-    bound are no candidates; what is left, lists of k + n - 1 for at most `candidates` rows (default 50 n), is decided on the
-    driver. A larger left-over raises, since deciding on part of it would not be exact."""
+    bound are no candidates. What is left, lists of k + n - 1 neighbours, is decided on the driver for at most `candidates`
+    rows (default 50 n), else by a pass over the lists for each outlier."""
     lists = index.knn_join(index.table.rows().withColumnRenamed("id", "query_id"), k + n).where("query_id <> id")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     lists = lists.select("query_id", "id", "distance", F.row_number().over(w).alias("r")).where(F.col("r") < k + n)
-    per = lists.groupBy("query_id").agg(F.sum(F.when(F.col("r") <= k, F.col("distance"))).alias("least"), F.sum(F.when(F.col("r") >= n, F.col("distance"))).alias("most"), F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("near")).persist()
+    per = lists.groupBy("query_id").agg(F.sum(F.when(F.col("r") <= k, F.col("distance"))).alias("least"), F.sum(F.when(F.col("r") >= n, F.col("distance"))).alias("most"), F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("near"))
+    per = cut(per)
     top = per.orderBy(F.desc("least")).limit(n).agg(F.min("least").alias("c")).first()["c"]
     most = candidates or 50 * n
     left = per.where(F.col("most") >= F.lit(top)).select("query_id", "near").limit(most + 1).collect()
-    per.unpersist()
+    kind = index.members.schema["id"].dataType.simpleString()
     if len(left) > most:
-        raise ValueError(f"more than {most} candidates; raise `candidates`")
+        gone, out = [], []
+        for rank in range(1, n + 1):
+            near = F.filter("near", lambda x: ~x["id"].isin(gone)) if gone else F.col("near")
+            weigh = F.aggregate(F.slice(near, 1, k), F.lit(0.0), lambda a, x: a + x["distance"])
+            rest = per.where(F.col("most") >= F.lit(top))
+            rest = rest.where(~F.col("query_id").isin(gone)) if gone else rest
+            best = rest.select("query_id", weigh.alias("w")).orderBy(F.desc("w"), "query_id").limit(1).collect()
+            if not best:
+                break
+            gone.append(best[0]["query_id"])
+            out.append((rank, best[0]["query_id"], float(best[0]["w"])))
+        return index.members.sparkSession.createDataFrame(out, f"rank int, id {kind}, weight double")
     near = {r["query_id"]: [(x["distance"], x["id"]) for x in r["near"]] for r in left}
     gone: set = set()
     out = []
@@ -69,7 +82,6 @@ def hidden_outliers(index: CellIndex, n: int, k: int, candidates: int | None = N
         i = min(weigh, key=lambda x: (-weigh[x], x))
         out.append((rank, i, float(weigh[i])))
         gone.add(i)
-    kind = index.members.schema["id"].dataType.simpleString()
     return index.members.sparkSession.createDataFrame(out, f"rank int, id {kind}, weight double")
 
 

@@ -212,3 +212,20 @@ def test_exclusion_curve_of_all_rows(spark):
     cuts = np.sort(x)[[(k * 2999 + 10) // 20 for k in range(1, 20)]]
     assert got == [(c, pytest.approx(learn.excluded(x, c, np.full(len(x), 0.2)))) for c in cuts]
     assert stats.exclusion_curve(df.limit(0), "s", 0.2).count() == 0
+
+
+def test_hidden_outliers_by_passes(spark):
+    rng = np.random.default_rng(3)
+    t = MetricTable(spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(60, 2)).tolist())], "id int, v array<double>"), "id", "v", M.L2)
+    ix = index.build(t, "vp", 2, 3)
+    plain = [tuple(r) for r in outlier.hidden_outliers(ix, 4, 3).collect()]
+    assert [(a, b, pytest.approx(c)) for a, b, c in plain] == [tuple(r) for r in outlier.hidden_outliers(ix, 4, 3, candidates=1).collect()]
+
+
+def test_trees_of_many_tasks_are_merged(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.1, (40, 2)) for c in ((0, 0), (9, 0), (0, 9))])
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id int, v array<double>").repartition(20)
+    got, centres = cluster.birch(rows, 3, threshold=0.5)
+    assert len(centres) == 3
+    assert sorted(r["n"] for r in got.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()) == [40, 40, 40]
