@@ -315,3 +315,23 @@ def test_held_out_ratings(spark, data):
     placed = cut(P8.reading_levels(docs, P8.fit(docs, labels.where(half))))
     test = P8.ratings(labels.where(~half)).join(placed, "doc_id").where("level is not null").collect()
     assert np.mean([(r["level"] >= 4) == (r["rating"] > 3.5) for r in test]) >= 0.95
+
+
+def test_item_parameters_maximise_the_likelihood():
+    """Presence and absence both count: the fitted parameters come back from drawn mails."""
+    rng = np.random.default_rng(2)
+    level, length = rng.uniform(1, 5, 4000), rng.integers(10, 20, 4000)
+    at = np.round(level / 0.05).astype(int)
+    mails = np.zeros((len(P8.GRID), P8.LENGTHS))
+    np.add.at(mails, (at, length), 1)
+    beta, slope = np.array([-2.0, -1.0, 0.5]), np.array([0.8, -0.6, 0.0])
+    p = 1 / (1 + np.exp(-(beta[:, None] + slope[:, None] * (P8.GRID[at] - 3) + P8._shift()[length])))
+    there = rng.random(p.shape) < p
+    b, s = P8.fit_items(there.sum(1).astype(float), (there * (P8.GRID[at] - 3)).sum(1), mails)
+    assert np.abs(b - beta).max() < 0.2 and np.abs(s - slope).max() < 0.1
+    none = P8.absent(b, s)
+    assert none[20, 12] == pytest.approx(np.log1p(np.exp(b + s * (P8.GRID[20] - 3) + P8._shift()[12])).sum())
+    got = P8.best_level(there.T @ s, length, none)
+    assert np.corrcoef(got, level)[0, 1] > 0.3
+    held = P8.best_level(there.T @ s, length, none, level)
+    assert np.abs(held - level).max() < 0.2
