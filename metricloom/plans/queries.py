@@ -415,7 +415,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return experiment.compare(t, asked(t), 1.5)
 
 
-@query("root_neighbourhood")
+@query(
+    "root_neighbourhood",
+    f"""WITH {PARTS}, a AS (SELECT * FROM x ORDER BY id LIMIT 1), b AS (SELECT x.* FROM x, a ORDER BY list_distance(x.v, a.v) DESC, x.id LIMIT 1),
+p AS (SELECT x.id, list_distance(x.v, a.v) AS p, list_distance(x.v, b.v) AS q FROM x, a, b), f AS (SELECT *, CASE WHEN q = 0 THEN 1.7976931348623157e308 ELSE p / q END AS f FROM p),
+m AS (SELECT f AS cut FROM (SELECT f, row_number() OVER (ORDER BY f) AS i, count(*) OVER () AS n FROM f) WHERE i = ceil(n * 0.5)),
+c AS (SELECT f >= cut AS cell, min(f) AS fl, max(f) AS fh, min(p) AS pl, max(p) AS ph, min(q) AS ql, max(q) AS qh FROM f, m GROUP BY 1),
+k AS (SELECT r, f.id, count(*) AS cells FROM f, c, (VALUES (0.5::DOUBLE), (1.5), (5.0)) t(r)
+  WHERE pl <= p + r AND ph >= p - r AND ql <= q + r AND qh >= q - r AND fh >= greatest(p - r, 0) / (q + r) AND (q <= r OR fl <= (p + r) / (q - r)) GROUP BY ALL)
+SELECT r AS radius, count(*) FILTER (cells > 1) AS n FROM k GROUP BY r""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     ix = index.build(parts(spark, d), "rgh", 2)
     return spark.createDataFrame([(r, ix.root_neighbourhood(r)) for r in (0.5, 1.5, 5.0)], "radius double, n bigint")
@@ -547,9 +556,16 @@ _outliers("outlier_kth", "kth", "max(d)", "k <= 5")
 _outliers("outlier_pfod", "pfod", "sum(d)", "k > 2 AND k <= 7", 2)
 
 
-@query("outlier_hod")
+@query(
+    "outlier_hod",
+    f"""WITH RECURSIVE {POINTS}, n AS (SELECT q.id, list({{'d': {L2}, 'id': x.id}} ORDER BY {L2}, x.id)[1:9] AS near FROM x q JOIN x ON x.id <> q.id GROUP BY q.id),
+g AS (SELECT 0 AS rank, []::INT[] AS gone, NULL::INT AS id, NULL::DOUBLE AS weight UNION ALL
+  SELECT rank + 1, list_append(any_value(gone), arg_min(nid, (-w, nid))), arg_min(nid, (-w, nid)), max(w) FROM
+    (SELECT g.rank, g.gone, n.id AS nid, list_sum(list_transform(list_filter(n.near, lambda t: NOT list_contains(g.gone, t.id))[1:5], lambda t: t.d)) AS w FROM g, n WHERE g.rank < 5 AND NOT list_contains(g.gone, n.id)) GROUP BY rank)
+SELECT rank, id, round(weight, 6) AS weight FROM g WHERE rank > 0""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return outlier.hidden_outliers(index.build(points(spark, d), "vp", 2, 8), 5, 5)
+    return outlier.hidden_outliers(index.build(points(spark, d), "vp", 2, 8), 5, 5).withColumn("weight", F.round("weight", 6))
 
 
 _SCORES = "s AS (SELECT is_normal = false AS positive, length(seq)::DOUBLE AS score FROM (SELECT DISTINCT seq_id, seq, is_normal FROM labelled_dna) WHERE is_normal IS NOT NULL AND seq IS NOT NULL)"
