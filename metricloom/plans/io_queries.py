@@ -360,3 +360,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     every = pivots.sample(t, 25)
     x, y = (pivots.distance_matrix(t.metric, [p], every)[0] for p in (a, b))
     return spark.createDataFrame([(round(pivots.pair_score(x, y, t.metric.value(a.value, b.value)), 6),)], "best double")
+
+
+# -- a search over a table that grows ---------------------------------------------------------------------------------
+
+
+@query(
+    "lineitem_range",
+    """WITH x AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_quantity::DOUBLE AS q, l_extendedprice::DOUBLE AS p FROM lineitem)
+SELECT a.id AS query_id, x.id, round(abs(a.p - x.p) / 1000, 6) AS distance FROM x a JOIN x ON x.q = a.q AND abs(a.p - x.p) <= 20.003 WHERE a.id % 20 = 0""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Quantity and price, so near that the quantity is the same."""
+    rows = _table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.array(F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double") / 1000).alias("v"))
+    t = MetricTable(rows, "id", "v", M.fixed_metric("l2", 2))
+    return index.build(t, "vp", 2, 32).range_join(_asked(t), 0.020003).withColumn("distance", F.round("distance", 6))
