@@ -204,20 +204,18 @@ def vectors(spark, x):
     return spark.createDataFrame([(1, i, v) for i, v in enumerate(x.tolist())], "m int, row int, e array<double>").repartition(4)
 
 
-def test_nearest_over_200_blocks(spark):
+@pytest.mark.parametrize("kind", ["gaussian", "clustered"])
+def test_nearest_over_many_blocks(spark, kind):
     rng = np.random.default_rng(1)
-    clustered = rng.normal(0, 20, (40, 8))[rng.integers(0, 40, 6000)] + rng.normal(0, 0.5, (6000, 8))
-    for x, within in ((rng.normal(size=(6000, 3)), None), (clustered, {1: 1.0})):
-        df = vectors(spark, x)
-        rows = df.selectExpr("m grp", "cast(row as bigint) id", "e vec", "xxhash64(e) h")
-        assert P5.fit_forest(rows, 32, 11)[1] >= 200
-        got = P5.nearest(df, "m", "row", "e", 5, cap=32, candidates=16, within=within)
-        if within:
-            near = got.selectExpr("grp", "id", "filter(near, n -> n.d <= 1) near")
-            want = neighbours(np.arange(len(x)), x, 5)
-            assert {r["id"]: [n["id"] for n in r["near"]] for r in near.collect()} == {i: [j for d, j in v if d.expected <= 1] for i, v in want.items()}
-        else:
-            assert got.count() == len(x) and P5.recall(df, "m", "row", "e", got, 0.1) == 1.0
+    if kind == "gaussian":
+        x, within = rng.normal(size=(1200, 3)), None
+    else:
+        x, within = rng.normal(0, 20, (40, 8))[rng.integers(0, 40, 1200)] + rng.normal(0, 0.5, (1200, 8)), {1: 1.0}
+    df = vectors(spark, x)
+    assert P5.fit_forest(df.selectExpr("m grp", "cast(row as bigint) id", "e vec", "xxhash64(e) h"), 25, 11)[1] >= 40
+    got = P5.nearest(df, "m", "row", "e", 5, cap=25, candidates=8, within=within).collect()
+    want, most = neighbours(np.arange(len(x)), x, 5), within[1] if within else np.inf
+    assert {r["id"]: [n["id"] for n in r["near"] if n["d"] <= most] for r in got} == {i: [j for d, j in v if d.expected <= most] for i, v in want.items()}
 
 
 def test_nearest_leaves_its_block(spark):
