@@ -204,3 +204,69 @@ def test_accept_all(spark):
     assert ix.accepted(ix._queries(asked, "query_id", "v", 100.0)).where("distance is not null").count() == 0
     got = ix.actions(asked, 100.0).first()
     assert (got["pruned"], got["accepted"], got["opened"]) == (0, len(ix.cells), 0)
+
+
+COPIED = [(i, v) for i, (_, v) in enumerate(uniform(40, 3) * 5)]
+ASKED = [(1000 + i, v) for i, (_, v) in enumerate(QUERIES * 3)]
+
+
+@pytest.fixture
+def by_value(monkeypatch):
+    """Copies are looked for in small tables, and pairs of values are counted."""
+    monkeypatch.setattr(I, "COPIES_FROM", 0)
+
+
+@pytest.mark.parametrize("family", ["vp", "pct", "envelope"])
+@pytest.mark.parametrize("few", [True, False])
+def test_values_with_copies_are_compared_once(spark, monkeypatch, by_value, family, few):
+    if not few:
+        monkeypatch.setattr(I, "BROADCAST", 0)
+    t = make(spark, COPIED)
+    p = pivots.fixed(t, [0, 1, 2])
+    ix = I.build_index(t, p, LEVELS[family](learn.coordinates(t, p)))
+    assert ix.copies > 4
+    asked = spark.createDataFrame(ASKED, "query_id int, v array<double>")
+    at, have = dict(ASKED), dict(COPIED)
+    want = {(q, i): round(float(np.linalg.norm(np.array(a) - np.array(v))), 6) for q, a in at.items() for i, v in have.items() if np.linalg.norm(np.array(a) - np.array(v)) <= 0.75}
+    got = ix.range_join(asked, 0.75, digits=6).collect()
+    assert len(got) == len(want) and {(r["query_id"], r["id"]): r["distance"] for r in got} == pytest.approx(want)
+    pairs = ix._pairs(ix._gathered_queries(ix._queries(asked, "query_id", "v", 0.75)), "query_ids")
+    assert pairs.count() * 15 == ix.candidates(ix._queries(asked, "query_id", "v", 0.75)).count()
+    ix.members.unpersist()
+
+
+@pytest.mark.parametrize("radius", [0.0, 0.75, 3.0])
+def test_counts_over_copies(spark, monkeypatch, radius):
+    t, asked = make(spark, COPIED), spark.createDataFrame([*ASKED, (1, None)], "query_id int, v array<double>")
+    ix = I.build_index(t, pivots.fixed(t, [0, 1]), [I.vp(range(2), 3)])
+    want = [sorted(map(tuple, x.collect())) for x in (ix.stats(asked, radius), ix.unseen(asked, radius), ix.range_ids(asked, radius))]
+    monkeypatch.setattr(I, "COPIES_FROM", 0)
+    ix = I.build_index(t, pivots.fixed(t, [0, 1]), [I.vp(range(2), 3)])
+    assert ix.copies > 4
+    got = [sorted(map(tuple, x.collect())) for x in (ix.stats(asked, radius), ix.unseen(asked, radius), ix.range_ids(asked, radius))]
+    assert got == want
+    counter = Observation()
+    ix.range_join(asked, radius, counted=counter).collect()
+    assert counter.get["distance_count"] == sum(r[2] - 2 for r in want[0])
+
+
+def test_many_ids_of_a_value_stand_in_several_rows(spark, monkeypatch, by_value):
+    monkeypatch.setattr(I, "CHUNK", 2)
+    t = make(spark, COPIED)
+    ix = I.build_index(t, pivots.fixed(t, [0, 1]), [I.vp(range(2), 3)])
+    asked = spark.createDataFrame(ASKED, "query_id int, v array<double>")
+    got = [(r["query_id"], r["id"]) for r in ix.range_join(asked, 0.75).collect()]
+    assert len(got) == len(set(got)) and len(got) == I.scan_join(t, asked, 0.75).count()
+    ix.members.unpersist()
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_scan_of_more_queries_than_stand_in_a_plan(spark, monkeypatch, few):
+    words = [(i, w) for i, w in enumerate(["red bolt", "red ring", "old plate", "", "cold plate"] * 4)]
+    t = MetricTable(spark.createDataFrame(words, "id int, v string"), "id", "v", M.EDIT)
+    asked = spark.createDataFrame([*words, (99, None)], "query_id int, v string")
+    want = sorted(map(tuple, I.scan_join(t, asked, 4).collect()))
+    monkeypatch.setattr(I, "MOST_LITERAL", 3)
+    if not few:
+        monkeypatch.setattr(I, "BROADCAST", 0)
+    assert sorted(map(tuple, I.scan_join(t, asked, 4, digits=6).collect())) == want and len(want) > 20
