@@ -139,3 +139,25 @@ def test_command_line_without_triangle(spark, tmp_path):
     f = put(tmp_path, "3\n1 10 20\n2 10.1 30\n3 99\n")
     got = cli.run(spark, ["query", "--type", "ms", "--file", f, "--radius", "1.2", "--out", str(tmp_path / "out")])
     assert {(r["query_id"], r["id"]) for r in got.collect()} == {(1, 1), (2, 2), (3, 3), (1, 2), (2, 1)}
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_kddcup_lines_with_blanks_and_without(spark, tmp_path, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(text, "MOST_CODES", 0)
+    flags, kinds = (6, 11, 20, 21), ["tcp", "udp", "icmp"]
+
+    def line(i, by, end):
+        return by.join(kinds[i % 3] if c in (1, 2, 3) else "1" if c in flags else str(i + 0.5) for c in range(41)) + by + end
+
+    lines = ["41 9", line(0, ",", "normal."), line(1, " , ", "smurf."), line(2, ",", "normal"), line(0, ",", "smurf. "), line(1, ",", "x.y"), line(1, ",", "normal.") + ",7", line(2, ",", "normal.").replace("2.5", "no", 1), "1,2"]
+    (tmp_path / "k").write_text("\n".join(lines))
+    got = {r["id"]: (r["num"], r["cat"], r["is_normal"]) for r in text.load(spark, "kddcup", str(tmp_path / "k")).collect()}
+    code = [1, 2, 0]
+    assert got == {n: ([i + 0.5] * 34, [code[i]] * 3 + [1] * 4, ok) for n, i, ok in ((0, 0, True), (1, 1, False), (2, 2, True), (3, 0, False), (4, 1, False))}
+
+
+def test_kddcup_joins_no_lines_by_a_shuffle(spark, tmp_path):
+    (tmp_path / "k").write_text("41 1\n" + ",".join(["1"] * 41) + ",normal.\n")
+    plan = text.load(spark, "kddcup", str(tmp_path / "k"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
