@@ -270,3 +270,19 @@ def test_scan_of_more_queries_than_stand_in_a_plan(spark, monkeypatch, few):
     if not few:
         monkeypatch.setattr(I, "BROADCAST", 0)
     assert sorted(map(tuple, I.scan_join(t, asked, 4, digits=6).collect())) == want and len(want) > 20
+
+
+@pytest.mark.parametrize("family", ["vp", "gh"])
+def test_leaves_over_copies(spark, tmp_path, by_value, family):
+    t, asked = make(spark, COPIED), spark.createDataFrame(ASKED, "query_id int, v array<double>")
+    want = {(r["query_id"], r["id"]) for r in I.scan_join(t, asked, 0.75).collect()}
+    ix = I.build(t, family, 2, 2, depth=2, leaf_size=3)
+    assert len(ix.levels) == 2 and ix.low.shape[1] == sum(x.n_features for x in ix.levels) + 4  # each level's features once
+    if family == "vp":
+        assert ix.counts == [5] * 40  # cut down to equal rows
+    got = [(r["query_id"], r["id"]) for r in ix.range_join(asked, 0.75).collect()]
+    assert len(got) == len(want) and set(got) == want
+    I.save_index(ix, str(tmp_path / "ix"))
+    back = I.open_index(spark, str(tmp_path / "ix"), t.metric)
+    assert {(r["query_id"], r["id"]) for r in back.range_join(asked, 0.75).collect()} == want
+    ix.members.unpersist()
