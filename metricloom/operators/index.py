@@ -34,8 +34,8 @@ ENTRIES = 1 << 22
 BIG = float(np.finfo(float).max)
 #: Rows from which a search looks for copies, and rows of a value, on average, from which it compares each value only once.
 COPIES_FROM, COPIES = 50_000, 2.0
-#: Ids of a value in one row: about this many, and at most (hashes may exceed it a little).
-CHUNK, MOST_IDS = 1_024, 1 << 20
+#: Ids of a value in one row: about this many, and at most; and ids that are gathered at most (hashes may exceed it a little).
+CHUNK, PIECE, MOST_IDS = 1_024, 2_048, 1 << 20
 #: Entries of queries by cells, and ids in them, that are broadcast at most; more are joined by shuffles.
 BROADCAST, BROADCAST_IDS = 1 << 18, 1 << 22
 
@@ -233,7 +233,11 @@ def gathered(rows: DataFrame, keys: Sequence[str], rest: Sequence[str], ids: str
     chunks = max(1, -(-int(per_value) // CHUNK), -(-most // MOST_IDS))
     rows = rows.withColumn("_part", F.pmod(F.xxhash64(ids), F.lit(chunks)) if chunks > 1 else F.lit(0))
     rows = rows.repartition(parts, *keys, "_part") if parts else rows
-    return rows.groupBy(*keys, "_part").agg(F.collect_list(ids).alias("ids"), *[F.first(c).alias(c) for c in rest]).select("ids", *keys, *rest)
+    rows = rows.groupBy(*keys, "_part").agg(F.collect_list(ids).alias("ids"), *[F.first(c).alias(c) for c in rest])
+    if most > PIECE:  # a value far above the average
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / PIECE).cast("int")), lambda i: F.slice("ids", i * PIECE + 1, F.lit(PIECE)))
+        rows = rows.withColumn("ids", F.explode(pieces))
+    return rows.select("ids", *keys, *rest)
 
 
 def _tasks(spark: SparkSession) -> int:
@@ -248,9 +252,10 @@ def _values(rows: DataFrame, *columns: str) -> tuple[int, float]:
 
 def spread(pairs: DataFrame, *keep: str) -> DataFrame:
     """(query_id, id, keep..) of pairs of gathered rows (query_ids, ids, keep..). `coalesce` changes nothing but ends a compiled
-    stage: together with the join above, the loops that write the rows would grow too long for the JVM to compile."""
-    pairs = pairs.coalesce(1 << 20)
-    return pairs.select(F.explode("query_ids").alias("query_id"), "ids", *keep).select("query_id", F.explode("ids").alias("id"), *keep)
+    stage: together with the join above, the loops that write the rows would grow too long for the JVM to compile, and a stage
+    holds all rows that come of one row before it passes on the first, which for both lists at once are a million."""
+    pairs = pairs.coalesce(1 << 20).select(F.explode("query_ids").alias("query_id"), "ids", *keep)
+    return pairs.coalesce(1 << 20).select("query_id", F.explode("ids").alias("id"), *keep)
 
 
 @dataclass(frozen=True)

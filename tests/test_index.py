@@ -286,3 +286,21 @@ def test_leaves_over_copies(spark, tmp_path, by_value, family):
     back = I.open_index(spark, str(tmp_path / "ix"), t.metric)
     assert {(r["query_id"], r["id"]) for r in back.range_join(asked, 0.75).collect()} == want
     ix.members.unpersist()
+
+
+def test_lists_are_spread_in_stages_of_their_own(spark):
+    import re
+
+    pairs = spark.createDataFrame([([1, 2], [3, 4], 0.5)], "query_ids array<int>, ids array<int>, distance double")
+    out = I.spread(pairs, "distance")
+    assert sorted(map(tuple, out.collect())) == [(1, 3, 0.5), (1, 4, 0.5), (2, 3, 0.5), (2, 4, 0.5)]
+    stages = re.findall(r"\*\((\d+)\) Generate", out._jdf.queryExecution().executedPlan().toString())
+    assert len(stages) == 2 == len(set(stages))
+
+
+def test_lists_of_a_hot_value_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(I, "PIECE", 3, raising=False)
+    rows = spark.createDataFrame([*[(i, "hot") for i in range(10)], (10, "rare")], "id int, v string")
+    got = I.gathered(rows, ["v"], [], "id", 5.5, 11, 2).collect()
+    assert max(len(r["ids"]) for r in got) == 3 and sorted(i for r in got for i in r["ids"]) == list(range(11))
+    assert {i for r in got if r["v"] == "hot" for i in r["ids"]} == set(range(10))
